@@ -352,6 +352,10 @@ def definitions(d) -> dict[str, str]:
                p_partkey * 10 as tbl_rows, p_size % 7 as skew_rows, case when p_size % 5 = 0 then p_size end as skew_sortkey1
         from $part join $nation on n_nationkey = p_partkey % 25"""
 
+    b["statind"] = """
+        select 1000 + p_partkey as stairelid, p_partkey * 10 as stairows, cast(p_size as bigint) as staiins, cast(p_size % 7 as bigint) as staidels
+        from $part"""
+
     # ---- catalog snapshots; every key carries its cluster
     b["ns"] = """
         select n_nationkey % 5 as cluster_id, cast(n_nationkey + 1 as bigint) as oid,
@@ -465,11 +469,14 @@ class Inputs:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
+        return self[name]
+
+    def __getitem__(self, name: str) -> DataFrame:
         if name in TABLES:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         text = SPARK_DEFS[name]
         refs = dict.fromkeys(_REF.findall(text))
-        return self.spark.sql(_REF.sub(r"{\1}", text), **{r: getattr(self, r) for r in refs})
+        return self.spark.sql(_REF.sub(r"{\1}", text), **{r: self[r] for r in refs})
 
 
 def check_sql(text: str) -> str:

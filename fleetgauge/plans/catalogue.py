@@ -1,4 +1,4 @@
 """Loads every report module so that the registry is complete."""
 
-from . import queue_reports  # noqa: F401
+from . import performance_reports, queue_reports  # noqa: F401
 from .registry import CHECKS, QUERIES  # noqa: F401
