@@ -11,6 +11,7 @@ from ..functions.text import leading_word, one_line, statement_class, trimmed
 from .ordered import band_mean, covered, magnitude_bucket, running_total
 from .queue import alert_mask, cursor_text, queue_wait_by_query
 from .rows import between, cut, only, recent, top, user_rows
+from .transactions import commit_rows
 
 SECOND = US["second"]
 WORKTABLE = "Internal Worktable"
@@ -372,14 +373,6 @@ def review_query(querylog: DataFrame, *, query=None, **logs: DataFrame) -> dict[
     return review(only(querylog, query=query), querylog=querylog, **logs)
 
 
-def commit_rows(commitlog: DataFrame) -> DataFrame:
-    """Commit queue and work milliseconds; a sentinel queue start means the commit never queued."""
-    queued_from = F.coalesce(unset_to_null("startqueue"), F.col("startwork"))
-    return commitlog.select("xid", unset_to_null("startqueue").alias("startqueue"), "node",
-                            boundary_diff("millisecond", queued_from, "startwork").alias("queue_ms"),
-                            boundary_diff("millisecond", "startwork", "endtime").alias("commit_ms"), "queuelen")
-
-
 def text_reassembly(querytext: DataFrame, *, max_chunks: int | None = None) -> DataFrame:
     """Whole statement texts from their numbered chunks."""
     chunks = querytext if max_chunks is None else querytext.where(F.col("sequence") < max_chunks)

@@ -334,7 +334,7 @@ def definitions(d) -> dict[str, str]:
                1 + l_partkey % 5 as db_id, max(l_linenumber) as delete_pristine
         from $lineitem group by l_suppkey % 16, l_partkey"""
     b["blocks"] = f"""
-        select 1000 + l_partkey as tbl, 'facts_' || cast(l_partkey as string) as name, l_suppkey % 16 as slice, l_linenumber as col,
+        select 1000 + l_partkey % 100 as tbl, 'facts_' || cast(l_partkey % 100 as string) as name, l_suppkey % 16 as slice, l_linenumber as col,
                l_orderkey as blocknum, {d.whole('l_quantity')} * 3000 - 3000 as num_values,
                cast(case when l_linestatus = 'O' then 1 else 0 end as int) as unsorted,
                cast(case when l_returnflag = 'R' then 1 else 0 end as int) as tombstone
@@ -348,7 +348,7 @@ def definitions(d) -> dict[str, str]:
                case p_size % 3 when 0 then 'EVEN' when 1 then 'KEY(col_1)' else 'ALL' end as diststyle,
                case when p_size % 4 <> 0 then 'col_' || cast(p_size % 4 as string) end as sortkey1,
                case when p_size % 4 = 1 then 'none' end as sortkey1_enc, cast(p_size * 10 as int) as max_varchar,
-               {d.whole('p_retailprice')} as size, p_size % 17 as pct_used, p_size % 40 as unsorted, p_size % 30 as stats_off,
+               {d.whole('p_retailprice * 1000')} as size, p_size % 17 as pct_used, p_size % 40 as unsorted, p_size % 30 as stats_off,
                p_partkey * 10 as tbl_rows, p_size % 7 as skew_rows, case when p_size % 5 = 0 then p_size end as skew_sortkey1
         from $part join $nation on n_nationkey = p_partkey % 25"""
 
