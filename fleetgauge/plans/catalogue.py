@@ -1,4 +1,4 @@
 """Loads every report module so that the registry is complete."""
 
-from . import layout_reports, performance_reports, queue_reports, transaction_reports  # noqa: F401
+from . import catalog_reports, layout_reports, performance_reports, queue_reports, transaction_reports  # noqa: F401
 from .registry import CHECKS, QUERIES  # noqa: F401
