@@ -150,6 +150,17 @@ def concurrency_peak_hourly(queuelog: DataFrame, classcfg: DataFrame, *, as_of,
         F.concat(h, F.lit(":00 - "), h, F.lit(":59")).alias("hour"), "max_slots")
 
 
+def concurrency_at(queuelog: DataFrame, classcfg: DataFrame, *, as_of, step_seconds: int = 3600, horizon_days: float = 7,
+                   first_class: int = FIRST_USER_CLASS) -> DataFrame:
+    """Slots in use at each instant of a grid: an instant-in-interval join without expanding intervals."""
+    step = step_seconds * SECOND
+    low, high = _horizon(as_of, horizon_days)
+    grid = F.explode(F.sequence(F.lit(low), F.lit(high - step), F.lit(step))).alias("pos")
+    marks = _configured(classcfg, first_class).select("service_class", grid).withColumn("delta", F.lit(0).cast("long"))
+    levels = _levels(_slot_changes(queuelog, first_class, step, low, high).unionByName(marks))
+    return levels.where((F.col("pos") < high) & (F.col("level") > 0)).select("service_class", from_us("pos").alias("instant"), F.col("level").alias("slots"))
+
+
 def concurrency_exact(queuelog: DataFrame, *, first_class: int = FIRST_USER_CLASS) -> DataFrame:
     """The true maximum of slots in use, at microsecond resolution, and when it was first reached."""
     levels = _levels(_slot_changes(queuelog, first_class, 1, None, None))
