@@ -106,9 +106,9 @@ def export_layout(blocks: DataFrame, tableinfo: DataFrame, *, table_id=None) ->
 def layout_profile(df: DataFrame, bucket: Column, *, name: str = "bucket") -> DataFrame:
     """How evenly any dataset spreads over a bucketing expression (file, partition column, hash)."""
     per = df.groupBy(bucket.alias(name)).agg(F.count("*").alias("rows"))
-    stats = per.agg(F.sum("rows").alias("t"), F.max("rows").alias("hi"), F.min("rows").alias("lo"))
-    total, hi, lo = (stats.select(c).scalar() for c in ("t", "hi", "lo"))
-    return per.select(name, "rows", F.round(F.col("rows") * 100.0 / total, 4).alias("pct"), F.round(hi / lo, 4).alias("skew"))
+    # one subquery for the three totals
+    s = per.agg(F.struct(F.sum("rows").alias("t"), F.max("rows").alias("hi"), F.min("rows").alias("lo")).alias("s")).scalar()
+    return per.select(name, "rows", F.round(F.col("rows") * 100.0 / s["t"], 4).alias("pct"), F.round(s["hi"] / s["lo"], 4).alias("skew"))
 
 
 def file_sizes(df: DataFrame) -> DataFrame:

@@ -22,26 +22,33 @@ def magnitude_bucket(v: Column) -> Column:
     return F.when(v < 0, -size).otherwise(size)
 
 
+def _chunked(df: DataFrame, keys: Sequence[str], chunk: Column) -> DataFrame:
+    """Rows spread by (group, chunk): one shuffle that every step on a chunk shares."""
+    return df.withColumn("__chunk", chunk).repartition(*keys, "__chunk")
+
+
 def running_total(df: DataFrame, keys: Sequence[str], pos: Sequence[str], chunk: Column,
-                  values: dict[str, str]) -> DataFrame:
+                  values: dict[str, str], totals: dict[str, str] | None = None) -> DataFrame:
     """Add inclusive running sums along the ``pos`` columns: ``values`` maps output to summed column.
 
+    ``totals`` maps output names to columns whose sum over the whole group is added as well.
     ``pos`` must be unique within a group (aggregate first); ``chunk`` must not decrease as
     ``pos`` grows. ``keys`` must not be NULL.
     """
-    keys = list(keys)
-    df = df.withColumn("__chunk", chunk)
-    totals = df.groupBy(*keys, "__chunk").agg(*[F.sum(v).alias(f"__t_{o}") for o, v in values.items()])
+    keys, totals = list(keys), totals or {}
+    parts = _chunked(df, keys, chunk)
+    summed = sorted({*values.values(), *totals.values()})
+    per_chunk = parts.groupBy(*keys, "__chunk").agg(*[F.sum(c).alias(f"__s_{c}") for c in summed])
     before = W.partitionBy(*keys).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
-    carry = totals.select(
+    carry = per_chunk.select(
         *keys, "__chunk",
-        *[F.coalesce(F.sum(f"__t_{o}").over(before), F.lit(0)).alias(f"__c_{o}") for o in values],
+        *[F.coalesce(F.sum(f"__s_{c}").over(before), F.lit(0)).alias(f"__c_{o}") for o, c in values.items()],
+        *[F.sum(f"__s_{c}").over(W.partitionBy(*keys)).alias(o) for o, c in totals.items()],
     )
     inside = W.partitionBy(*keys, "__chunk").orderBy(*pos).rowsBetween(W.unboundedPreceding, 0)
-    local = df.select("*", *[F.sum(v).over(inside).alias(f"__l_{o}") for o, v in values.items()])
+    local = parts.select("*", *[F.sum(c).over(inside).alias(f"__l_{o}") for o, c in values.items()])
     joined = local.join(carry, [*keys, "__chunk"])
-    keep = [c for c in df.columns if c != "__chunk"]
-    return joined.select(*keep, *[(F.col(f"__l_{o}") + F.col(f"__c_{o}")).alias(o) for o in values])
+    return joined.select(*df.columns, *[(F.col(f"__l_{o}") + F.col(f"__c_{o}")).alias(o) for o in values], *totals)
 
 
 def neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
@@ -49,56 +56,76 @@ def neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: C
     """Add columns of the previous (or, with ``ahead``, next) row of the group.
 
     ``cols`` maps output name to source column. ``order`` should be a total order; ``chunk`` must
-    not decrease along it.
+    not decrease along it. ``keys`` must not be NULL.
     """
     keys, order = list(keys), list(order)
-    df = df.withColumn("__chunk", chunk)
+    parts = _chunked(df, keys, chunk)
     place = F.struct(*order)
     row = F.struct(*[F.col(c).alias(o) for o, c in cols.items()])
     sort = [F.col(c).desc() if ahead else F.col(c).asc() for c in order]
     inside = W.partitionBy(*keys, "__chunk").orderBy(*sort)
-    local = df.select("*", F.lag(row).over(inside).alias("__near"), F.row_number().over(inside).alias("__rn"))
-    edge = df.groupBy(*keys, "__chunk").agg((F.min_by if ahead else F.max_by)(row, place).alias("__edge"))
+    local = parts.select("*", F.lag(row).over(inside).alias("__near"), F.row_number().over(inside).alias("__rn"))
+    edge = parts.groupBy(*keys, "__chunk").agg((F.min_by if ahead else F.max_by)(row, place).alias("__edge"))
     across = W.partitionBy(*keys).orderBy(F.col("__chunk").desc() if ahead else F.col("__chunk").asc())
     edge = edge.select(*keys, "__chunk", F.lag("__edge").over(across).alias("__far"))
-    joined = local.join(edge, [*keys, "__chunk"])
     near = F.when(F.col("__rn") == 1, F.col("__far")).otherwise(F.col("__near"))
-    keep = [c for c in df.columns if c != "__chunk"]
-    return joined.select(*keep, *[near[o].alias(o) for o in cols])
+    return local.join(edge, [*keys, "__chunk"]).select(*df.columns, *[near[o].alias(o) for o in cols])
 
 
-def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Distinct values per group with their frequency and the running frequency up to each."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    return running_total(counts, keys, [value], magnitude_bucket(F.col(value)), {"upto": "n"})
+def _targets(probs: dict[str, float], total: Column) -> dict[str, tuple[Column, Column, Column]]:
+    """Zero-based ranks around each wanted quantile, and the share of the way between them."""
+    out = {}
+    for o, p in probs.items():
+        rank = (total - 1) * F.lit(float(p))
+        lo = F.floor(rank).cast("long")
+        out[o] = (lo, F.ceil(rank).cast("long"), rank - lo)
+    return out
+
+
+def _interpolated(ranked: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Quantiles from values covering the ranks ``upto - n`` .. ``upto - 1`` of ``total``."""
+    first, last, v = F.col("upto") - F.col("n"), F.col("upto") - 1, F.col(value).cast("double")
+    aggs = []
+    for o, (lo, hi, share) in _targets(probs, F.col("total")).items():
+        aggs += [F.max(F.when((first <= lo) & (lo <= last), v)).alias(f"__lo_{o}"),
+                 F.max(F.when((first <= hi) & (hi <= last), v)).alias(f"__hi_{o}"), F.max(share).alias(f"__f_{o}")]
+    return ranked.groupBy(*keys).agg(*aggs).select(*keys, *[
+        (F.col(f"__lo_{o}") + (F.col(f"__hi_{o}") - F.col(f"__lo_{o}")) * F.col(f"__f_{o}")).alias(o) for o in probs])
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Exact interpolated quantiles per group: ``probs`` maps output name to probability.
 
-    Counts per distinct value are combined before the shuffle; then only the values around the
-    wanted ranks survive, instead of one value map per group.
+    Distinct values are counted before the shuffle and ranked by a chunked running total, instead
+    of holding one value map per group. Works for any number of groups.
     """
     keys = list(keys)
-    ranked = value_counts(df, keys, value)
-    totals = ranked.groupBy(*keys).agg(F.max("upto").alias("__total"))
-    joined = ranked.join(totals, keys)
-    first = F.col("upto") - F.col("n")          # zero-based rank of the first copy
-    last = F.col("upto") - 1
-    aggs = []
-    for out, p in probs.items():
-        rank = (F.col("__total") - 1) * F.lit(float(p))
-        lo, hi = F.floor(rank).cast("long"), F.ceil(rank).cast("long")
-        v = F.col(value).cast("double")
-        aggs += [
-            F.max(F.when((first <= lo) & (lo <= last), v)).alias(f"__lo_{out}"),
-            F.max(F.when((first <= hi) & (hi <= last), v)).alias(f"__hi_{out}"),
-            F.max(rank - lo).alias(f"__f_{out}"),
-        ]
-    got = joined.groupBy(*keys).agg(*aggs)
-    return got.select(*keys, *[
-        (F.col(f"__lo_{o}") + (F.col(f"__hi_{o}") - F.col(f"__lo_{o}")) * F.col(f"__f_{o}")).alias(o) for o in probs
-    ])
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    ranked = running_total(counts, keys, [value], magnitude_bucket(F.col(value)), {"upto": "n"}, {"total": "n"})
+    return _interpolated(ranked, keys, value, probs)
+
+
+def exact_quantiles_few_groups(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """The same quantiles where the number of groups is known to be small (a fixed set of metrics).
+
+    A first pass counts values per magnitude bucket and finds the buckets the wanted ranks fall in:
+    at most two per quantile and group, so they are broadcast. A second pass shuffles only the
+    values inside those buckets.
+    """
+    keys = list(keys)
+    df = df.where(F.col(value).isNotNull()).select(*keys, value, magnitude_bucket(F.col(value)).alias("__bucket"))
+    along = W.partitionBy(*keys).orderBy("__bucket")
+    hist = df.groupBy(*keys, "__bucket").agg(F.count("*").alias("m")).select(
+        *keys, "__bucket", "m", F.sum("m").over(along).alias("to"), F.sum("m").over(W.partitionBy(*keys)).alias("total"))
+    first, last = F.col("to") - F.col("m"), F.col("to") - 1
+    needed = F.lit(False)
+    for lo, hi, _ in _targets(probs, F.col("total")).values():
+        needed = needed | ((first <= lo) & (lo <= last)) | ((first <= hi) & (hi <= last))
+    wanted = hist.where(needed).select(*keys, "__bucket", first.alias("__before"), "total")
+    near = df.join(F.broadcast(wanted), [*keys, "__bucket"]).groupBy(*keys, "__bucket", "__before", "total", value).agg(F.count("*").alias("n"))
+    inside = W.partitionBy(*keys, "__bucket").orderBy(value)
+    ranked = near.withColumn("upto", F.col("__before") + F.sum("n").over(inside))
+    return _interpolated(ranked, keys, value, probs)
 
 
 def tile_end(tile: int, total: Column, tiles: int) -> Column:

@@ -74,10 +74,9 @@ def query_type_summary(querylog: DataFrame) -> DataFrame:
         F.hour("starttime").alias("query_hour"), boundary_diff("millisecond", "starttime", "endtime").alias("ms"),
     ).where("ms is not null and query_hour is not null").groupBy("database", "query_type", "ms", "query_hour").agg(F.count("*").alias("n"))
     rank = ["database", "query_type"]
-    ranked = running_total(cells, rank, ["ms", "query_hour"], magnitude_bucket(F.col("ms")), {"upto": "n"})
-    totals = cells.groupBy(*rank).agg(F.sum("n").alias("total"))
+    ranked = running_total(cells, rank, ["ms", "query_hour"], magnitude_bucket(F.col("ms")), {"upto": "n"}, {"total": "n"})
     cell = (F.col("ms"), F.col("n"), F.col("upto"), F.col("total"))
-    return ranked.join(totals, rank).groupBy(*rank, "query_hour").agg(
+    return ranked.groupBy(*rank, "query_hour").agg(
         F.sum("n").alias("n"), F.round(F.sum(F.col("ms") * F.col("n")) / F.sum("n"), 4).alias("avg_ms"),
         F.round(band_mean(*cell, 6, 15, 20), 4).alias("central_ms"), F.round(band_mean(*cell, 10, 11, 20), 4).alias("p50_ms"),
         F.round(band_mean(*cell, 20, 20, 20), 4).alias("p95_ms"))

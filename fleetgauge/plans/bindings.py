@@ -465,6 +465,7 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._bound: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
@@ -472,6 +473,11 @@ class Inputs:
         return self[name]
 
     def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._bound:
+            self._bound[name] = self._bind(name)
+        return self._bound[name]
+
+    def _bind(self, name: str) -> DataFrame:
         if name in TABLES:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         text = SPARK_DEFS[name]

@@ -130,25 +130,28 @@ add("a06_exact_quantiles", lambda i: ordered.exact_quantiles(i.lineitem.select("
     "p25": 0.25, "median": 0.5, "p99": 0.99}).select("l_returnflag", *[F.round(c, 4).alias(c) for c in ("p25", "median", "p99")]), """
     select l_returnflag, round(quantile_cont(l_extendedprice, 0.25), 4) as p25, round(median(l_extendedprice), 4) as median,
            round(quantile_cont(l_extendedprice, 0.99), 4) as p99 from lineitem group by 1""")
+add("a06_quantiles_few_groups", lambda i: ordered.exact_quantiles_few_groups(i.events, ["event_type"], "value", {"p50": 0.5, "p95": 0.95}).select(
+    "event_type", F.round("p50", 4).alias("p50"), F.round("p95", 4).alias("p95")), """
+    select event_type, round(quantile_cont(value, 0.5), 4) as p50, round(quantile_cont(value, 0.95), 4) as p95 from events group by 1""")
 add("a07_stddev_of_buckets", lambda i: i.events.groupBy(hour_of("ts").alias("h"), "event_type").agg(F.count("*").alias("n")).groupBy("event_type").agg(
     F.round(F.avg("n"), 6).alias("mean"), F.round(F.stddev_samp("n"), 6).alias("sd")), """
     select event_type, round(avg(n), 6) as mean, round(stddev_samp(n), 6) as sd from (select date_trunc('hour', ts) as h, event_type, count(*) as n from events group by 1, 2) group by 1""")
 add("a08_listagg", lambda i: i.attrs.groupBy("cluster_id", "attrelid").agg(
     F.expr("listagg(attname, ',') within group (order by attnum)").alias("columns")), """
     select cluster_id, attrelid, string_agg(attname, ',' order by attnum) as columns from $attrs group by 1, 2""")
-_CELLS = lambda i: i.lineitem.groupBy("l_returnflag", "l_quantity").agg(F.count("*").alias("n"))
 
 
-def _banded(i):
-    ranked = ordered.running_total(_CELLS(i), ["l_returnflag"], ["l_quantity"], ordered.magnitude_bucket(F.col("l_quantity")), {"upto": "n"})
-    totals = _CELLS(i).groupBy("l_returnflag").agg(F.sum("n").alias("total"))
-    cell = (F.col("l_quantity"), F.col("n"), F.col("upto"), F.col("total"))
-    return ranked.join(totals, "l_returnflag").groupBy("l_returnflag").agg(
-        F.round(ordered.band_mean(*cell, 6, 15, 20), 6).alias("central"), F.round(ordered.band_mean(*cell, 20, 20, 20), 6).alias("top"))
+def _ranked_cells(i):
+    cells = i.lineitem.groupBy("l_returnflag", "l_quantity").agg(F.count("*").alias("n"))
+    return ordered.running_total(cells, ["l_returnflag"], ["l_quantity"], ordered.magnitude_bucket(F.col("l_quantity")), {"upto": "n"}, {"total": "n"})
+
+
+def _band(first, last):
+    return F.round(ordered.band_mean(*[F.col(c) for c in ("l_quantity", "n", "upto", "total")], first, last, 20), 6)
 
 
 _NTILE = "select *, ntile(20) over (partition by l_returnflag order by l_quantity) as tile from lineitem"
-add("a09_banded_mean", _banded, f"""
+add("a09_banded_mean", lambda i: _ranked_cells(i).groupBy("l_returnflag").agg(_band(6, 15).alias("central"), _band(20, 20).alias("top")), f"""
     select l_returnflag, round(avg(case when tile between 6 and 15 then l_quantity end), 6) as central, round(avg(case when tile = 20 then l_quantity end), 6) as top
     from ({_NTILE}) group by 1""")
 add("a10_having", lambda i: i.scanlog.groupBy("tbl").agg(F.count("*").alias("n")).where("n > 95"), "select tbl, count(*) as n from $scanlog group by 1 having count(*) > 95")
@@ -175,16 +178,7 @@ add("w03_series", lambda i: i.orders.agg(F.min("o_orderdate").alias("lo"), F.max
     select cast(d as date) as day, coalesce(n, 0) as n from (select unnest(generate_series(min(o_orderdate), max(o_orderdate), interval 1 day)) as d from orders)
     left join (select o_orderdate, count(*) as n from orders group by 1) on o_orderdate = d""")
 
-
-def _tile_sizes(i):
-    ranked = ordered.running_total(_CELLS(i), ["l_returnflag"], ["l_quantity"], ordered.magnitude_bucket(F.col("l_quantity")), {"upto": "n"})
-    totals = _CELLS(i).groupBy("l_returnflag").agg(F.sum("n").alias("total"))
-    cell = (F.col("l_quantity"), F.col("n"), F.col("upto"), F.col("total"))
-    return ranked.join(totals, "l_returnflag").groupBy("l_returnflag").agg(
-        *[F.round(ordered.band_mean(*cell, t, t, 20), 6).alias(f"tile_{t}") for t in (1, 5, 10, 20)])
-
-
-add("w04_ntile", _tile_sizes, f"""
+add("w04_ntile", lambda i: _ranked_cells(i).groupBy("l_returnflag").agg(*[_band(t, t).alias(f"tile_{t}") for t in (1, 5, 10, 20)]), f"""
     select l_returnflag, {', '.join(f'round(avg(case when tile = {t} then l_quantity end), 6) as tile_{t}' for t in (1, 5, 10, 20))} from ({_NTILE}) group by 1""")
 add("w05_lag_gap", lambda i: ordered.neighbour(i.events.select("user_id", "ts", "event_id"), ["user_id"], ["ts", "event_id"], int_div(epoch_us("ts"), US["day"]),
     {"prev_ts": "ts"}).select("event_id", boundary_diff("second", "prev_ts", "ts").alias("gap_s")), """
