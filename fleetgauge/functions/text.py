@@ -6,17 +6,12 @@ from pyspark.sql import Column, functions as F
 
 from .temporal import as_col
 
-# Statement classes in test order, first match wins.
+# Words that mark internal statements, then statement classes in test order, first match
+# wins; letter case does not matter for the classes.
+INTERNAL_MARKS = ("padb_", "pg_internal")
 STATEMENT_CLASSES = [
-    ("SYSTEM", r"(padb_|pg_internal)"),
-    ("ROLLBACK", r"(?i)undoing "),
-    ("CURSOR", r"(?i)cursor "),
-    ("CURSOR", r"(?i)fetch "),
-    ("DELETE", r"(?i)delete "),
-    ("COPY", r"(?i)copy "),
-    ("UPDATE", r"(?i)update "),
-    ("INSERT", r"(?i)insert "),
-    ("SELECT", r"(?i)select "),
+    ("ROLLBACK", "undoing "), ("CURSOR", "cursor "), ("CURSOR", "fetch "), ("DELETE", "delete "), ("COPY", "copy "),
+    ("UPDATE", "update "), ("INSERT", "insert "), ("SELECT", "select "),
 ]
 SYSTEM_USER = 1
 
@@ -48,11 +43,15 @@ def leading_word(c) -> Column:
     return F.upper(F.nullif(F.regexp_extract(as_col(c), r"^\s*([A-Za-z]+)", 1), F.lit("")))
 
 
-def statement_class(text, userid) -> Column:
+def statement_class(text, userid, lowered=None) -> Column:
+    """Kind of a statement. ``lowered`` may pass the lower-case text computed once before."""
     text, userid = as_col(text), as_col(userid)
+    low = F.lower(text) if lowered is None else as_col(lowered)
     out = F.when(userid == SYSTEM_USER, "SYSTEM")
-    for name, pattern in STATEMENT_CLASSES:
-        out = out.when(text.rlike(pattern), name)
+    for mark in INTERNAL_MARKS:
+        out = out.when(F.contains(text, F.lit(mark)), "SYSTEM")
+    for name, word in STATEMENT_CLASSES:
+        out = out.when(F.contains(low, F.lit(word)), name)
     return out.otherwise("OTHER")
 
 

@@ -8,6 +8,7 @@ holding a third of all rows is still spread over as many tasks as it has chunks.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -23,8 +24,10 @@ def magnitude_bucket(v: Column) -> Column:
 
 
 def _chunked(df: DataFrame, keys: Sequence[str], chunk: Column) -> DataFrame:
-    """Rows spread by (group, chunk): one shuffle that every step on a chunk shares."""
-    return df.withColumn("__chunk", chunk).repartition(*keys, "__chunk")
+    """Rows with their chunk. The NULL test is spelled out because a join on these columns adds it
+    to one side only, and two sides that differ cannot share a scan or shuffle."""
+    df = df.withColumn("__chunk", chunk)
+    return df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, "__chunk"]]))
 
 
 def running_total(df: DataFrame, keys: Sequence[str], pos: Sequence[str], chunk: Column,
@@ -59,15 +62,17 @@ def neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: C
     not decrease along it. ``keys`` must not be NULL.
     """
     keys, order = list(keys), list(order)
-    parts = _chunked(df, keys, chunk)
+    parts = _chunked(df, keys, chunk).repartition(*keys, "__chunk")
     place = F.struct(*order)
     row = F.struct(*[F.col(c).alias(o) for o, c in cols.items()])
     sort = [F.col(c).desc() if ahead else F.col(c).asc() for c in order]
     inside = W.partitionBy(*keys, "__chunk").orderBy(*sort)
     local = parts.select("*", F.lag(row).over(inside).alias("__near"), F.row_number().over(inside).alias("__rn"))
-    edge = parts.groupBy(*keys, "__chunk").agg((F.min_by if ahead else F.max_by)(row, place).alias("__edge"))
+    # whole rows, so that both sides read the very same shuffle
+    edge = parts.groupBy(*keys, "__chunk").agg((F.min_by if ahead else F.max_by)(F.struct(*df.columns), place).alias("__edge"))
     across = W.partitionBy(*keys).orderBy(F.col("__chunk").desc() if ahead else F.col("__chunk").asc())
-    edge = edge.select(*keys, "__chunk", F.lag("__edge").over(across).alias("__far"))
+    far = F.struct(*[F.col("__edge")[c].alias(o) for o, c in cols.items()])
+    edge = edge.select(*keys, "__chunk", F.lag(far).over(across).alias("__far"))
     near = F.when(F.col("__rn") == 1, F.col("__far")).otherwise(F.col("__near"))
     return local.join(edge, [*keys, "__chunk"]).select(*df.columns, *[near[o].alias(o) for o in cols])
 

@@ -69,8 +69,8 @@ def query_type_summary(querylog: DataFrame) -> DataFrame:
     before ranking, and a band mean takes each pair's overlap with the band, so no group is sorted
     row by row.
     """
-    cells = querylog.select(
-        F.coalesce(trimmed("database"), F.lit("")).alias("database"), statement_class("querytxt", "userid").alias("query_type"),
+    cells = querylog.withColumn("lowered", F.lower("querytxt")).select(
+        F.coalesce(trimmed("database"), F.lit("")).alias("database"), statement_class("querytxt", "userid", "lowered").alias("query_type"),
         F.hour("starttime").alias("query_hour"), boundary_diff("millisecond", "starttime", "endtime").alias("ms"),
     ).where("ms is not null and query_hour is not null").groupBy("database", "query_type", "ms", "query_hour").agg(F.count("*").alias("n"))
     rank = ["database", "query_type"]
