@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.numeric import ratio
+from ..functions.numeric import rounded
 from ..functions.temporal import US, boundary_diff, epoch_us, int_div
 from ..functions.text import trimmed
 from .ordered import neighbour
@@ -42,9 +42,9 @@ def load_by_node(filelog: DataFrame, slices: DataFrame, *, query=None) -> DataFr
     s = per_slice.join(slices, "slice").groupBy("node").agg(*[F.sum(c).alias(c) for c in ("data", "moved", "retries", "n", *phases)])
     mean_us = lambda p: F.col(p) / F.col("n")
     return s.select(
-        "node", F.round(F.col("data") / float(MB), 2).alias("raw_mb"), F.round(F.col("moved") / float(MB), 2).alias("transferred_mb"),
-        F.round(F.try_divide(F.col("moved") / float(MB), mean_us("transfer") / 1e6), 2).alias("mb_per_s"),
-        *[F.round(mean_us(p) / 60e6, 4).alias(f"{p}_min") for p in phases], "retries")
+        "node", rounded(F.col("data") / float(MB), 2).alias("raw_mb"), rounded(F.col("moved") / float(MB), 2).alias("transferred_mb"),
+        rounded(F.try_divide(F.col("moved") / float(MB), mean_us("transfer") / 1e6), 2).alias("mb_per_s"),
+        *[rounded(mean_us(p) / 60e6, 4).alias(f"{p}_min") for p in phases], "retries")
 
 
 def bucket_label(value: Column, edges: Sequence[int]) -> Column:
@@ -108,7 +108,7 @@ def layout_profile(df: DataFrame, bucket: Column, *, name: str = "bucket") -> Da
     per = df.groupBy(bucket.alias(name)).agg(F.count("*").alias("rows"))
     # one subquery for the three totals
     s = per.agg(F.struct(F.sum("rows").alias("t"), F.max("rows").alias("hi"), F.min("rows").alias("lo")).alias("s")).scalar()
-    return per.select(name, "rows", F.round(F.col("rows") * 100.0 / s["t"], 4).alias("pct"), F.round(s["hi"] / s["lo"], 4).alias("skew"))
+    return per.select(name, "rows", rounded(F.col("rows") * 100.0 / s["t"], 4).alias("pct"), rounded(s["hi"] / s["lo"], 4).alias("skew"))
 
 
 def file_sizes(df: DataFrame) -> DataFrame:

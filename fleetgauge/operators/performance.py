@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.alerts import alert_kind, alert_label, alert_text
-from ..functions.numeric import mean, percent, ratio
-from ..functions.temporal import US, as_col, at, boundary_diff, day_of, epoch_us, hour_of, int_div, unset_to_null
-from ..functions.text import leading_word, one_line, statement_class, trimmed
+from ..functions.numeric import mean, percent, ratio, rounded
+from ..functions.temporal import US, at, boundary_diff, day_of, hour_of, int_div, unset_to_null
+from ..functions.text import leading_word, statement_class, trimmed
 from .ordered import band_mean, covered, magnitude_bucket, running_total
 from .queue import alert_mask, cursor_text, queue_wait_by_query
 from .rows import between, cut, only, recent, top, user_rows
@@ -37,7 +37,7 @@ def top_queries(querylog: DataFrame, alertlog: DataFrame, *, as_of=None, lookbac
     out = q.join(kinds, "query", "left").withColumn("w", weight).groupBy(
         trimmed("database").alias("db"), "label", F.md5(text).alias("fingerprint"), "aborted").agg(
         F.sum("w").cast("long").alias("n"), F.max(text).alias("querytxt"), F.min("secs").alias("min_s"), F.max("secs").alias("max_s"),
-        F.round(F.sum(F.col("secs") * F.col("w")) / F.sum("w"), 4).alias("avg_s"),
+        rounded(F.sum(F.col("secs") * F.col("w")) / F.sum("w"), 4).alias("avg_s"),
         F.sum(F.col("secs") * F.col("w")).alias("total_s"), F.max("query").alias("last_query"),
         day_of(F.max("starttime")).alias("last_run"), events.alias("events"))
     return top(out, limit, F.desc("total_s"), F.asc("last_query"))
@@ -77,9 +77,9 @@ def query_type_summary(querylog: DataFrame) -> DataFrame:
     ranked = running_total(cells, rank, ["ms", "query_hour"], magnitude_bucket(F.col("ms")), {"upto": "n"}, {"total": "n"})
     cell = (F.col("ms"), F.col("n"), F.col("upto"), F.col("total"))
     return ranked.groupBy(*rank, "query_hour").agg(
-        F.sum("n").alias("n"), F.round(F.sum(F.col("ms") * F.col("n")) / F.sum("n"), 4).alias("avg_ms"),
-        F.round(band_mean(*cell, 6, 15, 20), 4).alias("central_ms"), F.round(band_mean(*cell, 10, 11, 20), 4).alias("p50_ms"),
-        F.round(band_mean(*cell, 20, 20, 20), 4).alias("p95_ms"))
+        F.sum("n").alias("n"), rounded(F.sum(F.col("ms") * F.col("n")) / F.sum("n"), 4).alias("avg_ms"),
+        rounded(band_mean(*cell, 6, 15, 20), 4).alias("central_ms"), rounded(band_mean(*cell, 10, 11, 20), 4).alias("p50_ms"),
+        rounded(band_mean(*cell, 20, 20, 20), 4).alias("p95_ms"))
 
 
 _STEP = ["query", "slice", "segment"]
@@ -121,7 +121,7 @@ def alerts_by_table(alertlog: DataFrame, scanlog: DataFrame, distlog: DataFrame,
     t = tableinfo.select(F.col("table_id").alias("tbl"), F.col("schema_name").alias("schema"))
     work = work.where(~F.col("perm_table_name").like("volt_tt%")).join(t, "tbl").where("schema is not null")
     keys = [F.col("schema"), trimmed("perm_table_name").alias("table"), F.col("event"), cut("solution", solution_chars).alias("solution")]
-    aggs = [F.round(F.sum("secs") / 60.0, 4).alias("minutes"), F.sum("rows").alias("rows"), F.max("query").alias("sample_query"),
+    aggs = [rounded(F.sum("secs") / 60.0, 4).alias("minutes"), F.sum("rows").alias("rows"), F.max("query").alias("sample_query"),
             F.count_distinct("query").alias("n_queries"), F.sum("hits").alias("n_events")]
     if texts is None:
         return work.groupBy(*keys).agg(*aggs)
@@ -141,7 +141,7 @@ def table_alerts(alertlog: DataFrame, scanlog: DataFrame, distlog: DataFrame, bc
                          ["cluster_id", "relnamespace"]).select(F.col("oid").alias("tbl"), "schema")
     return per_table.join(rows, "tbl", "left").join(names, "tbl", "left").groupBy(
         "schema", "table", "table_rows", "event", "solution").agg(
-        F.round(F.sum("secs") / 60.0, 4).alias("minutes"), F.sum("scanned_rows").alias("scanned_rows"),
+        rounded(F.sum("secs") / 60.0, 4).alias("minutes"), F.sum("scanned_rows").alias("scanned_rows"),
         F.max("sample_query").alias("sample_query"), F.sum("n_events").alias("n_events"))
 
 
@@ -156,12 +156,11 @@ def alert_bits(alertlog: DataFrame) -> DataFrame:
     return alert_mask(alertlog).withColumn("alert", alert_text("mask"))
 
 
-def missing_stats(planlog: DataFrame) -> DataFrame:
-    """Plan nodes that lacked table statistics, and how often."""
+def missing_stats(planlog: DataFrame, *, ignore_like: str = "%auto\\_health\\_check\\_%") -> DataFrame:
+    """Plan nodes that lacked table statistics, and how often; the server's own checks are ignored."""
     node = trimmed("plannode")
-    return planlog.where(F.col("plannode").like("%missing statistics%")
-                         & ~F.col("plannode").like("%redshift_auto_health_check_%")).groupBy(node.alias("plannode")).agg(
-        F.count("*").alias("n"))
+    return planlog.where(F.col("plannode").like("%missing statistics%") & ~F.col("plannode").like(ignore_like)).groupBy(
+        node.alias("plannode")).agg(F.count("*").alias("n"))
 
 
 def filters_used(planlog: DataFrame, planinfo: DataFrame, scanlog: DataFrame, *, as_of=None, lookback: float | None = 7,
@@ -254,7 +253,7 @@ def node_deviation(hourly: DataFrame) -> DataFrame:
     keys = ["node"] + (["op"] if "op" in hourly.columns else [])
     aggs = []
     for c in ("elapsed_s", "rows", "bytes", "steps"):
-        aggs += [mean(c, 2).alias(f"avg_{c}"), F.round(F.stddev_samp(c), 2).alias(f"stddev_{c}")]
+        aggs += [mean(c, 2).alias(f"avg_{c}"), rounded(F.stddev_samp(c), 2).alias(f"stddev_{c}")]
     return hourly.groupBy(*keys).agg(*aggs)
 
 
@@ -266,19 +265,19 @@ def network_retransmit(rexmitlog: DataFrame, slices: DataFrame, *, start=None, e
     dst = slices.select(F.col("slice").alias("dst_slice"), F.col("node").alias("dst"))
     pair = F.concat(F.col("src").cast("string"), F.lit(" -> "), F.col("dst").cast("string"))
     return per_pair.join(src, "src_slice").join(dst, "dst_slice").groupBy("day", pair.alias("pair")).agg(
-        F.sum("n").alias("n"), F.round(F.sum("len") / 1048576.0, 2).alias("mbytes"))
+        F.sum("n").alias("n"), rounded(F.sum("len") / 1048576.0, 2).alias("mbytes"))
 
 
 def retransmit_deviation(daily: DataFrame) -> DataFrame:
     """Mean and standard deviation of daily retransmissions per node pair."""
-    return daily.groupBy("pair").agg(mean("n", 2).alias("avg_n"), F.round(F.stddev_samp("n"), 2).alias("stddev_n"))
+    return daily.groupBy("pair").agg(mean("n", 2).alias("avg_n"), rounded(F.stddev_samp("n"), 2).alias("stddev_n"))
 
 
 def statement_rate(statementtext: DataFrame, *, per: str = "hour") -> DataFrame:
     """Statements and their rate per minute, by hour or day and leading word."""
     bucket = hour_of("starttime") if per == "hour" else day_of("starttime")
     return statementtext.where("sequence = 0").groupBy(bucket.alias(per), leading_word("text").alias("word")).agg(
-        F.count("*").alias("n"), F.round(F.count("*") / (60.0 if per == "hour" else 1440.0), 4).alias("per_minute"))
+        F.count("*").alias("n"), rounded(F.count("*") / (60.0 if per == "hour" else 1440.0), 4).alias("per_minute"))
 
 
 def statement_timeline(querylog: DataFrame, steplog: DataFrame, queuelog: DataFrame, compilelog: DataFrame,
@@ -388,14 +387,14 @@ def cursor_activity(cursors: DataFrame, utilitytext: DataFrame, users: DataFrame
     u = users.select(F.col("usesysid").alias("userid"), F.col("usename").alias("user_name"))
     return c.join(t, ["pid", "xid"]).join(u, "userid").select(
         "xid", "pid", "userid", "user_name", "start_time", boundary_diff("second", "start_time", at(as_of)).alias("run_s"), "bytes",
-        F.round(F.col("bytes") / 1048576.0, 2).alias("mbytes"), F.round(F.col("bytes") / 1073741824.0, 2).alias("gbytes"),
+        rounded(F.col("bytes") / 1048576.0, 2).alias("mbytes"), rounded(F.col("bytes") / 1073741824.0, 2).alias("gbytes"),
         "row_count", "remaining_rows", "fetched_rows", "query_text")
 
 
 def percent_of_max(df: DataFrame, col: str, *, out: str = "pct_of_max") -> DataFrame:
     """Each row's measure as a percentage of the largest one, a maximum of zero counting as one."""
     largest = df.select(F.max(col).cast("double").alias("m")).select(F.coalesce(F.nullif("m", F.lit(0.0)), F.lit(1.0)).alias("m")).scalar()
-    return df.withColumn(out, F.round(F.col(col) * 100.0 / largest, 4))
+    return df.withColumn(out, rounded(F.col(col) * 100.0 / largest, 4))
 
 
 def analyze_runs(analyzelog: DataFrame, utilitytext: DataFrame, statind: DataFrame, *, pattern: str = "analyze%") -> DataFrame:

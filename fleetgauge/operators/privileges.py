@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import qualified, quote_ident
 from .catalog import FLEET, function_signature, relations, with_owner
-from .rows import only
 
 # Privilege letters in statement order, and whether the statement names the object kind.
 LETTERS = [

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.alerts import alert_bit, alert_text
-from ..functions.numeric import mean, percent, ratio, total_if
+from ..functions.numeric import mean, percent, rounded, total_if
 from ..functions.temporal import US, at, boundary_diff, ceil_to, day_of, epoch_us, floor_to, from_us, hour_of, int_div
 from ..functions.temporal import unset_to_null
 from ..functions.text import one_line, trimmed
@@ -69,8 +69,8 @@ def queue_detail(queuelog: DataFrame, *, query=None, xid=None) -> DataFrame:
     """Queue timeline of one statement or transaction; of all when none is given."""
     return only(queuelog, query=query, xid=xid).select(
         "userid", "xid", "query", "service_class", "slot_count", "queue_start_time", "exec_start_time", "exec_end_time",
-        F.round(F.col("total_queue_time") / SECOND, 6).alias("queue_seconds"),
-        F.round(F.col("total_exec_time") / SECOND, 6).alias("exec_seconds"),
+        rounded(F.col("total_queue_time") / SECOND, 6).alias("queue_seconds"),
+        rounded(F.col("total_exec_time") / SECOND, 6).alias("exec_seconds"),
         trimmed("final_state").alias("final_state"))
 
 
@@ -219,8 +219,8 @@ def rule_candidates(metrics: DataFrame, *, columns=RULE_METRICS) -> DataFrame:
     return (stats.where("p99 >= 10 and p50 + p99 < pmax")
             .withColumn("candidate", (lead + 1) * F.pow(F.lit(10.0), F.length(digits)))
             .where("candidate < pmax").withColumn("share", F.col("pmax") / F.col("candidate"))
-            .select("service_class", "metric", F.round("p50", 4).alias("p50"), F.round("p99", 4).alias("p99"),
-                    "pmax", "candidate", F.round("share", 2).alias("magnitude"),
+            .select("service_class", "metric", rounded("p50", 4).alias("p50"), rounded("p99", 4).alias("p99"),
+                    "pmax", "candidate", rounded("share", 2).alias("magnitude"),
                     F.row_number().over(ranked).alias("rule_order")))
 
 
@@ -316,6 +316,6 @@ def live_steps(stepstate: DataFrame, *, limit: int | None = None) -> DataFrame:
     out = stepstate.select(
         boundary_diff("microsecond", "starttime", "currenttime").alias("elapsed_us"),
         boundary_diff("minute", "starttime", "currenttime").alias("elapsed_min"),
-        "query", "slice", "segment", "step", "tasknum", "label", F.round(F.col("rows") / 10000.0, 4).alias("rows_10k"),
-        F.round(F.col("bytes") / 1048576.0, 4).alias("mbytes"), "num_parts")
+        "query", "slice", "segment", "step", "tasknum", "label", rounded(F.col("rows") / 10000.0, 4).alias("rows_10k"),
+        rounded(F.col("bytes") / 1048576.0, 4).alias("mbytes"), "num_parts")
     return top(out, limit, F.desc("mbytes"), F.desc("rows_10k"), "query", "slice", "segment", "step", "tasknum", "elapsed_us")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.numeric import rounded
 from ..functions.temporal import at, boundary_diff, epoch_us, unset_to_null
 from ..functions.text import trimmed
 from .rows import newest, only, recent, top
@@ -79,7 +80,7 @@ def locks_held(locks: DataFrame, classes: DataFrame, ns: DataFrame, activity: Da
 
 
 def _seconds_until(as_of, ts, per: float = 1.0) -> Column:
-    return F.round((epoch_us(at(as_of)) - epoch_us(ts)) / (1000000.0 * per), 2)
+    return rounded((epoch_us(at(as_of)) - epoch_us(ts)) / (1000000.0 * per), 2)
 
 
 def blocking_locks(locks: DataFrame, txns: DataFrame, classes: DataFrame, ns: DataFrame, db: DataFrame, recents: DataFrame, *,

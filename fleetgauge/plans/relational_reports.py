@@ -3,11 +3,11 @@
 from pyspark.sql import Window as W, functions as F
 
 from ..functions.alerts import alert_bit
-from ..functions.numeric import percent, total_if
+from ..functions.numeric import percent, rounded, total_if
 from ..functions.scalar import register_scalar, url_host
 from ..functions.temporal import US, at, boundary_diff, epoch_us, hour_of, human_duration, int_div, week_starting_sunday
 from ..functions.text import host_name, leading_word, quote_ident
-from ..operators import dims, ordered, queue
+from ..operators import dims, layout, ordered, queue
 from ..operators.rows import newest, only, top
 from .registry import add
 
@@ -112,14 +112,14 @@ add("j18_never_matched", lambda i: i.tableinfo.join(i.scanlog.select(F.col("tbl"
 # ---- aggregates
 add("a01_basic", lambda i: i.lineitem.groupBy("l_returnflag", "l_linestatus").agg(
     F.count("*").alias("n"), F.count("l_tax").alias("n_tax"), F.sum("l_quantity").alias("qty"), F.min("l_shipdate").alias("first_ship"),
-    F.max("l_extendedprice").alias("max_price"), F.round(F.avg("l_quantity"), 6).alias("avg_qty")), """
+    F.max("l_extendedprice").alias("max_price"), rounded(F.avg("l_quantity"), 6).alias("avg_qty")), """
     select l_returnflag, l_linestatus, count(*) as n, count(l_tax) as n_tax, sum(l_quantity) as qty, min(l_shipdate) as first_ship, max(l_extendedprice) as max_price,
            round(avg(l_quantity), 6) as avg_qty from lineitem group by 1, 2""")
 add("a02_count_distinct", lambda i: i.scanlog.groupBy("tbl").agg(F.count_distinct("query", "segment").alias("n_segments"), F.count_distinct("query").alias("n_queries")), """
     select tbl, count(distinct (query, segment)) as n_segments, count(distinct query) as n_queries from $scanlog group by 1""")
 add("a03_conditional", lambda i: i.scanlog.groupBy("slice").agg(
     total_if(F.col("is_rrscan") == "t").alias("n_rr"), F.count_if(F.col("type") == 2).alias("n_perm"), F.min(F.when(F.col("type") == 2, F.col("rows"))).alias("min_rows"),
-    F.round(F.avg(F.when(F.col("is_rrscan") == "f", F.col("rows"))), 6).alias("avg_rows")), """
+    rounded(F.avg(F.when(F.col("is_rrscan") == "f", F.col("rows"))), 6).alias("avg_rows")), """
     select slice, count(*) filter (where is_rrscan = 't') as n_rr, count(*) filter (where type = 2) as n_perm, min(case when type = 2 then rows end) as min_rows,
            round(avg(case when is_rrscan = 'f' then rows end), 6) as avg_rows from $scanlog group by 1""")
 add("a04_two_level", lambda i: i.blocks.groupBy("tbl", "slice").agg(F.count("*").alias("n")).groupBy("tbl").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.sum("n").alias("total")), """
@@ -127,14 +127,14 @@ add("a04_two_level", lambda i: i.blocks.groupBy("tbl", "slice").agg(F.count("*")
 add("a05_guarded_ratio", lambda i: i.steplog.groupBy("segment").agg(percent(F.sum("rows"), F.sum("rows_pre_filter")).alias("pct")),
     "select segment, round(sum(rows)::double / nullif(sum(rows_pre_filter), 0)::double * 100, 4) as pct from $steplog group by 1")
 add("a06_exact_quantiles", lambda i: ordered.exact_quantiles(i.lineitem.select("l_returnflag", "l_extendedprice"), ["l_returnflag"], "l_extendedprice", {
-    "p25": 0.25, "median": 0.5, "p99": 0.99}).select("l_returnflag", *[F.round(c, 4).alias(c) for c in ("p25", "median", "p99")]), """
+    "p25": 0.25, "median": 0.5, "p99": 0.99}).select("l_returnflag", *[rounded(c, 4).alias(c) for c in ("p25", "median", "p99")]), """
     select l_returnflag, round(quantile_cont(l_extendedprice, 0.25), 4) as p25, round(median(l_extendedprice), 4) as median,
            round(quantile_cont(l_extendedprice, 0.99), 4) as p99 from lineitem group by 1""")
 add("a06_quantiles_few_groups", lambda i: ordered.exact_quantiles_few_groups(i.events, ["event_type"], "value", {"p50": 0.5, "p95": 0.95}).select(
-    "event_type", F.round("p50", 4).alias("p50"), F.round("p95", 4).alias("p95")), """
+    "event_type", rounded("p50", 4).alias("p50"), rounded("p95", 4).alias("p95")), """
     select event_type, round(quantile_cont(value, 0.5), 4) as p50, round(quantile_cont(value, 0.95), 4) as p95 from events group by 1""")
 add("a07_stddev_of_buckets", lambda i: i.events.groupBy(hour_of("ts").alias("h"), "event_type").agg(F.count("*").alias("n")).groupBy("event_type").agg(
-    F.round(F.avg("n"), 6).alias("mean"), F.round(F.stddev_samp("n"), 6).alias("sd")), """
+    rounded(F.avg("n"), 6).alias("mean"), rounded(F.stddev_samp("n"), 6).alias("sd")), """
     select event_type, round(avg(n), 6) as mean, round(stddev_samp(n), 6) as sd from (select date_trunc('hour', ts) as h, event_type, count(*) as n from events group by 1, 2) group by 1""")
 add("a08_listagg", lambda i: i.attrs.groupBy("cluster_id", "attrelid").agg(
     F.expr("listagg(attname, ',') within group (order by attnum)").alias("columns")), """
@@ -147,7 +147,7 @@ def _ranked_cells(i):
 
 
 def _band(first, last):
-    return F.round(ordered.band_mean(*[F.col(c) for c in ("l_quantity", "n", "upto", "total")], first, last, 20), 6)
+    return rounded(ordered.band_mean(*[F.col(c) for c in ("l_quantity", "n", "upto", "total")], first, last, 20), 6)
 
 
 _NTILE = "select *, ntile(20) over (partition by l_returnflag order by l_quantity) as tile from lineitem"
@@ -185,15 +185,15 @@ add("w05_lag_gap", lambda i: ordered.neighbour(i.events.select("user_id", "ts",
     select event_id, epoch_us(ts) // 1000000 - epoch_us(lag(ts) over (partition by user_id order by ts, event_id)) // 1000000 as gap_s from events""")
 
 # ---- sort, limit, top-k
-add("sort01_mixed_directions", lambda i: top(i.commitlog.select("xid", "queuelen", "startwork"), 50, F.desc("queuelen"), F.asc("startwork"), F.asc("xid")),
+add("o01_mixed_directions", lambda i: top(i.commitlog.select("xid", "queuelen", "startwork"), 50, F.desc("queuelen"), F.asc("startwork"), F.asc("xid")),
     "select xid, queuelen, startwork from $commitlog order by queuelen desc, startwork, xid limit 50")
-add("sort02_nulls_last", lambda i: top(i.cachelog.select("query", "source_query"), 6000, F.desc_nulls_last("source_query"), "query"),
+add("o02_nulls_last", lambda i: top(i.cachelog.select("query", "source_query"), 6000, F.desc_nulls_last("source_query"), "query"),
     "select query, source_query from $cachelog order by source_query desc nulls last, query limit 6000")
-add("sort03_by_expression", lambda i: top(i.orders.select("o_orderkey", "o_totalprice"), 25, F.abs(F.col("o_totalprice") - 250000), "o_orderkey"),
+add("o03_sort_by_expression", lambda i: top(i.orders.select("o_orderkey", "o_totalprice"), 25, F.abs(F.col("o_totalprice") - 250000), "o_orderkey"),
     "select o_orderkey, o_totalprice from orders order by abs(o_totalprice - 250000), o_orderkey limit 25")
-add("sort04_top_n", lambda i: top(i.querylog.select("query", boundary_diff("second", "starttime", "endtime").alias("secs")), 20, F.desc("secs"), "query"),
+add("o04_top_n", lambda i: top(i.querylog.select("query", boundary_diff("second", "starttime", "endtime").alias("secs")), 20, F.desc("secs"), "query"),
     "select query, epoch_us(endtime) // 1000000 - epoch_us(starttime) // 1000000 as secs from $querylog order by secs desc, query limit 20")
-add("sort05_bare_limit", lambda i: i.querylog.limit(5).agg(F.count("*").alias("n")), "select count(*) as n from (select * from $querylog limit 5)")
+add("o05_bare_limit", lambda i: i.querylog.limit(5).agg(F.count("*").alias("n")), "select count(*) as n from (select * from $querylog limit 5)")
 
 # ---- set operations
 add("u01_union_all_padded", lambda i: i.queuelog.select("query", "service_class", F.col("total_exec_time").alias("us")).unionByName(
@@ -229,7 +229,7 @@ add("f07_null_handling", lambda i: i.metrics.select(
     F.greatest("cpu_skew", "io_skew").alias("worst")), """
     select query, coalesce(query_temp_blocks_to_disk, -1) as spill, nullif(io_skew, 0) as skew, greatest(cpu_skew, io_skew) as worst from $metrics""")
 add("f08_numeric", lambda i: i.events.select(
-    "event_id", F.round("value", 1).alias("r"), F.abs(F.col("user_id") - 75).alias("a"), F.ceil("value").alias("c"), F.pow(F.lit(2.0), F.col("event_id") % 10).alias("p"),
+    "event_id", rounded("value", 1).alias("r"), F.abs(F.col("user_id") - 75).alias("a"), F.ceil("value").alias("c"), F.pow(F.lit(2.0), F.col("event_id") % 10).alias("p"),
     (F.col("event_id") % 7).alias("m")), """
     select event_id, round(value, 1) as r, abs(user_id - 75) as a, cast(ceil(value) as bigint) as c, pow(2.0, event_id % 10) as p, event_id % 7 as m from events""")
 add("f09_casts", lambda i: i.orders.select(
@@ -264,6 +264,10 @@ add("f17_names", lambda i: i.orders.select("o_orderkey", F.date_format("o_orderd
 add("f18_json", lambda i: i.events.select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k")),
     "select event_id, cast(regexp_extract(props, '(\\d+)', 1) as int) as k from events")
 
+add("f20_type_width", lambda i: layout.column_width_estimate(i.attrs.select("format_type").distinct()), """
+    select distinct format_type, cast(case when format_type = 'bigint' then 8 when format_type like 'numeric%' or format_type like 'character varying%'
+           then cast(regexp_extract(format_type, '\\((\\d+)', 1) as bigint) else 0 end as bigint) as bytes from $attrs""")
+
 # ---- user functions and dimensions
 _OBSERVED = """select case dayofweek(d) when 6 then d - 1 when 0 then d + 1 else d end as h from (
         select cast(make_date(y, m, n) as date) as d, first, y from (select unnest(range(1994, 2003)) as y) cross join (values (1, 1, 0), (6, 19, 2021), (7, 4, 0), (11, 11, 0), (12, 25, 0)) t(m, n, first))

@@ -1,10 +1,8 @@
 """Loads and exports as real jobs over files in the shared folder, and the streaming variants."""
 
-import os
 
 from pyspark.sql import functions as F
 
-from ..operators.rows import recent
 from ..session import shared_dir
 from ..sources import delimited, jsonpath, manifest, scan, tables
 from ..streaming import trends
