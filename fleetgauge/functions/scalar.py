@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from urllib.parse import urlparse
 
 import pandas as pd
 from pyspark.sql import SparkSession, functions as F
@@ -21,5 +20,9 @@ def register_scalar(spark: SparkSession, name: str, fn: Callable, returns: str,
     return spark.udf.register(name, udf.asNondeterministic() if volatile else udf)
 
 
-def url_host(url: str | None) -> str | None:
-    return None if url is None else urlparse(url).hostname
+def url_host_function() -> Callable:
+    """Host of a URL as a plain Python function; nested, so that it travels to the executors by value."""
+    def host(url):
+        from urllib.parse import urlparse
+        return None if url is None else urlparse(url).hostname
+    return host

@@ -4,7 +4,7 @@ from pyspark.sql import Window as W, functions as F
 
 from ..functions.alerts import alert_bit
 from ..functions.numeric import percent, rounded, total_if
-from ..functions.scalar import register_scalar, url_host
+from ..functions.scalar import register_scalar, url_host_function
 from ..functions.temporal import US, at, boundary_diff, epoch_us, hour_of, human_duration, int_div, week_starting_sunday
 from ..functions.text import host_name, leading_word, quote_ident
 from ..operators import dims, layout, ordered, queue
@@ -284,7 +284,7 @@ add("x03_host_name", lambda i: i.pages.select("page_id", host_name("url").alias(
 
 
 def _registered(i):
-    register_scalar(i.spark, "fleetgauge_url_host", url_host, "string")
+    register_scalar(i.spark, "fleetgauge_url_host", url_host_function(), "string")
     return i.spark.sql("select page_id, fleetgauge_url_host(url) as host from {pages}", pages=i.pages)
 
 
