@@ -53,10 +53,10 @@ add("l08_file_sizes", lambda i: loads.file_sizes(i.lineitem))
 # ---- layout
 _TP = """(select db_id, id, name, cast(sum(rows) as bigint) as rows, max(rows) as rows_all, cast(sum(rows) - sum(sorted_rows) as bigint) as unsorted,
           max(rows) - max(sorted_rows) as unsorted_all from $tableperm group by 1, 2, 3)"""
-_DET = """(select attrelid, min(case when attisdistkey then attname end) as distkey, min(case when attsortkeyord = 1 then attname end) as head_sort,
-          max(attsortkeyord) as n_sortkeys, max(attencodingtype) as max_enc,
-          round(count(*) filter (where attencodingtype <> 0) * 100.0 / count(attencodingtype), 4) as pct_encoded from $attrs group by 1)"""
-_UNSORTED = """case when det.n_sortkeys <> 0 then case when (case when c.reldiststyle = 8 then a.rows_all else a.rows end) = 0 then 0.0
+_DET = """(select attrelid, min(attname) filter (where attisdistkey) as key_column, min(attname) filter (where attsortkeyord = 1) as first_sort,
+          max(attsortkeyord) as n_sort, bool_or(attencodingtype <> 0) as encodes, round(count_if(attencodingtype <> 0) * 100.0 / count(attencodingtype), 4) as pct_encoded
+          from $attrs group by attrelid)"""
+_UNSORTED = """case when det.n_sort <> 0 then case when (case when c.reldiststyle = 8 then a.rows_all else a.rows end) = 0 then 0.0
      else round((case when c.reldiststyle = 8 then a.unsorted_all else a.unsorted end) * 100.0 / (case when c.reldiststyle = 8 then a.rows_all else a.rows end), 2) end end"""
 add("d01_slice_distribution", lambda i: op.slice_distribution(i.tableperm, i["class"], i.ns, i.tableinfo), """
     select p.slice, n.oid as schema_oid, n.nspname as schema_name, p.id as table_id, p.name as table_name, t.diststyle, t.sortkey1 as sortkey,
@@ -68,9 +68,9 @@ add("d01_slice_distribution", lambda i: op.slice_distribution(i.tableperm, i["cl
          join $tableinfo t on t.table_id = p.id where p.slice < 3201 and c.relowner > 1 window w as (partition by p.id)""")
 add("d02_table_info", lambda i: op.table_info(i.tableperm, i["class"], i.ns, i.blocks, i.attrs, i.partitions), f"""
     select trim(n.nspname) as schema_name, trim(a.name) as table_name, a.id as table_id,
-           case c.reldiststyle when 0 then 'EVEN' when 1 then det.distkey when 8 then 'ALL' end as dist_key,
-           case when c.reldiststyle <> 8 then r.skew end as skew, det.head_sort as sort_key, det.n_sortkeys,
-           case when c.reldiststyle = 8 then a.rows_all else a.rows end as rows, b.mbytes, case when det.max_enc = 0 then 'N' else 'Y' end as encoded,
+           case c.reldiststyle when 0 then 'EVEN' when 1 then det.key_column when 8 then 'ALL' end as dist_key,
+           case when c.reldiststyle <> 8 then r.skew end as skew, det.first_sort as sort_key, det.n_sort as n_sortkeys,
+           case when c.reldiststyle = 8 then a.rows_all else a.rows end as rows, b.mbytes, case when det.encodes then 'Y' else 'N' end as encoded,
            det.pct_encoded, round(b.mbytes * 100.0 / (select sum(capacity)::double from $partitions where part_begin = 0), 4) as pct_of_total,
            case when a.rows <> 0 then round(((case when c.reldiststyle = 8 then a.rows_all else a.rows end) - c.reltuples) * 100.0
                 / (case when c.reldiststyle = 8 then a.rows_all else a.rows end), 2) end as pct_stats_off, {_UNSORTED} as pct_unsorted
@@ -108,43 +108,41 @@ add("d05_extended_table_info",
     lambda i: op.extended_table_info(i.tableinfo, i["class"], i.scanlog, i.alertlog, i.planinfo, i.planlog, i.constraints, i.attrs, i.tableperm, i.slices,
                                      as_of=AS_OF, lookback=YEARS), """
     with ids as (select oid from $class where relowner > 1 and relkind = 'r'),
-    sa as (select s.tbl, count(*) filter (where split_part(l.event, ':', 1) = 'Very selective query filter') as sel,
-                  count(*) filter (where split_part(l.event, ':', 1) = 'Scanned a large number of deleted rows') as dels
-           from $alertlog l join $scanlog s on s.query = l.query and s.slice = l.slice and s.segment = l.segment and s.step = l.step
-           where l.userid > 1 and s.userid > 1 and s.slice = 0 and s.tbl in (select oid from ids) group by 1),
-    us as (select tbl, max(endtime) as last_scan, count(distinct query || '-' || segment) as num_scans from $scanlog
-           where userid > 1 and tbl in (select oid from ids) group by 1),
-    rr as (select s.tbl, count(*) filter (where is_rrscan = 't') as rr_scans, count(*) filter (where p.info like 'Filter:%' and p.nodeid > 0) as filtered
-           from $scanlog s join $planinfo i on s.userid = i.userid and s.query = i.query and s.segment = i.segment and s.step = i.step
-                join $planlog p on i.userid = p.userid and i.query = p.query and i.nodeid = p.nodeid
-           where s.userid > 1 and s.type = 2 and s.slice = 0 and s.tbl in (select oid from ids) group by 1),
-    pc as (select conrelid, max(case when contype = 'p' then 'Y' end) as pk, max(case when contype = 'f' then 'Y' end) as fk
-           from $constraints where conrelid in (select oid from ids) group by 1),
-    ce as (select attrelid, count(*) filter (where attencodingtype <> 0) as enc, count(*) as cols from $attrs where attrelid in (select oid from ids) and attnum > 0 group by 1),
-    st as (select id, sum(rows) as sr, sum(sorted_rows) as ss, count(distinct slice) as ps from $tableperm where id in (select oid from ids) and slice < 6400 group by 1)
+    mine as (select * from $scanlog semi join ids on tbl = ids.oid where userid > 1),
+    said as (select query, slice, segment, step, split_part(event, ':', 1) as kind from $alertlog where userid > 1),
+    alerts as (select tbl, count_if(kind = 'Very selective query filter') as sel, count_if(kind = 'Scanned a large number of deleted rows') as dels
+               from mine join said using (query, slice, segment, step) where slice = 0 group by tbl),
+    visits as (select tbl, max(endtime) as last_scan, count(distinct (query, segment)) as num_scans from mine group by tbl),
+    plan as (select i.query, i.segment, i.step, count(*) as nodes, count_if(starts_with(p.info, 'Filter:') and p.nodeid > 0) as filters
+             from $planinfo i join $planlog p using (userid, query, nodeid) group by all),
+    planned as (select tbl, cast(sum(case when is_rrscan = 't' then nodes else 0 end) as bigint) as rr_scans, cast(sum(filters) as bigint) as filtered
+                from mine join plan using (query, segment, step) where type = 2 and slice = 0 group by tbl),
+    keys as (select conrelid, case when bool_or(contype = 'p') then 'Y' end as pk, case when bool_or(contype = 'f') then 'Y' end as fk from $constraints semi join ids on conrelid = ids.oid group by conrelid),
+    widths as (select attrelid, count_if(attencodingtype <> 0) as enc, count(*) as cols from $attrs semi join ids on attrelid = ids.oid where attnum > 0 group by attrelid),
+    fill as (select id, sum(rows) as total, sum(sorted_rows) as in_order, count(distinct slice) as places from $tableperm semi join ids on id = ids.oid where slice < 6400 group by id)
     select t.database, t.table_id, schema_name || '.' || table_name as table_name, enc || '/' || cols as columns, pk, fk, max_varchar,
-           case when diststyle not in ('EVEN', 'ALL') then diststyle || ': ' || skew_rows else diststyle end as diststyle,
-           case when sortkey1 is not null and sortkey1_enc is not null then sortkey1 || '(' || coalesce(skew_sortkey1, 0) || ')' else sortkey1 end as sortkey,
-           size || '/' || ((case when diststyle = 'EVEN' or diststyle like 'KEY%' then ps when diststyle = 'ALL' then (select count(distinct node) from $slices) end)
-               * (cols + 3) * (case when sr = ss or ss = 0 then 1 else 2 end)) || ' (' || pct_used || ')' as size,
-           tbl_rows, unsorted, stats_off, coalesce(num_scans, 0) || ':' || coalesce(rr_scans, 0) || ':' || coalesce(filtered, 0) || ':' || coalesce(sel, 0) || ':' || coalesce(dels, 0) as scan_counters,
-           last_scan
-    from $tableinfo t left join ce on ce.attrelid = t.table_id left join st on st.id = t.table_id left join us on us.tbl = t.table_id
-         left join rr on rr.tbl = t.table_id left join pc on pc.conrelid = t.table_id left join sa on sa.tbl = t.table_id where schema_name <> 'pg_internal'""")
+           case when diststyle in ('EVEN', 'ALL') then diststyle else diststyle || ': ' || skew_rows end as diststyle,
+           sortkey1 || case when sortkey1_enc is null then '' else '(' || coalesce(skew_sortkey1, 0) || ')' end as sortkey,
+           size || '/' || ((case when diststyle = 'ALL' then (select count(distinct node) from $slices) else places end)
+               * (cols + 3) * (case when total = in_order or in_order = 0 then 1 else 2 end)) || ' (' || pct_used || ')' as size,
+           tbl_rows, unsorted, stats_off,
+           array_to_string([coalesce(num_scans, 0), coalesce(rr_scans, 0), coalesce(filtered, 0), coalesce(sel, 0), coalesce(dels, 0)], ':') as scan_counters, last_scan
+    from $tableinfo t left join widths on attrelid = t.table_id left join fill on fill.id = t.table_id left join visits on visits.tbl = t.table_id
+         left join planned on planned.tbl = t.table_id left join keys on conrelid = t.table_id left join alerts on alerts.tbl = t.table_id where schema_name <> 'pg_internal'""")
 add("d06_minimum_table_size", lambda i: op.minimum_table_size(i.blocks, i["class"], i.slices), """
     select b.tbl as table_id, trim(relname) as table_name, case reldiststyle when 0 then 'even' when 1 then 'key' when 8 then 'all' end as diststyle, sl as slices,
            co as columns, sp as regions, nodes, case when reldiststyle in (0, 1) then sl * co * sp when reldiststyle = 8 then nodes * co * sp end as minimum_size, n as actual_size
     from (select tbl, count(distinct slice) as sl, count(distinct col) as co, count(distinct unsorted) as sp, count(*) as n from $blocks group by 1) b
          join $class c on c.oid = b.tbl cross join (select count(distinct node) as nodes from $slices)""")
 add("d07_fragmentation", lambda i: op.fragmentation(i.blocks, i.slices, i.tableperm, i.db, i.partitions, threshold=1), """
-    with x as (
-        select b.tbl, b.col, node, f.table_name, g.datname as database, sum(excess) * (b.col + 1) as blks
-        from (select tbl, slice, col, count(*) as total from $blocks where num_values > 0 group by 1, 2, 3) a
-             join (select tbl, slice, max(col) as col from $blocks group by 1, 2) b using (tbl, slice, col)
-             join (select tbl, slice, col, count(*) - ceil(sum(num_values) / 130994.0) as excess from $blocks where num_values > 0 and num_values < 130994 group by 1, 2, 3) c using (tbl, slice, col)
-             join $slices d using (slice) join (select id, trim(name) as table_name, db_id from $tableperm where slice = 0) f on f.id = b.tbl
-             join $db g on g.oid = f.db_id where excess > 1 group by 1, 2, 3, 4, 5)
-    select tbl, table_name, database, cast(sum(blks) as bigint) as est_space_gain from x where tbl > 1 and blks > 1 group by 1, 2, 3""")
+    with cells as (select tbl, slice, col, count_if(num_values > 0) as live, count_if(num_values between 1 and 130993) as partly,
+                          sum(case when num_values between 1 and 130993 then num_values end) as held from $blocks group by all),
+    tails as (select tbl, slice, col, partly - ceil(held / 130994.0) as surplus from cells
+              qualify col = max(col) over (partition by tbl, slice) and live > 0 and partly > 0),
+    gains as (select tbl, node, sum(surplus * (col + 1)) as gain from tails join $slices using (slice) where surplus > 1 and tbl > 1
+              group by tbl, col, node having sum(surplus * (col + 1)) > 1)
+    select p.id as tbl, p.name as table_name, x.datname as database, cast(sum(gain) as bigint) as est_space_gain
+    from gains join $tableperm p on p.id = gains.tbl and p.slice = 0 join $db x on x.oid = p.db_id group by all""")
 _KIND = """case when tbl > 0 then 'User_Table' when tbl = 0 then 'Freed_Blocks' when tbl = -2 then 'Catalog_File_Store' when tbl = -3 then 'Metadata'
      when tbl = -4 then 'Temp_Delete_Blocks' when tbl = -6 then 'Query_Spill_To_Disk' else 'Stage_blocks_For_Real_Table_DML' end as block_type"""
 add("d08_block_classes", lambda i: op.block_classes(i.rawblocks), f"""
@@ -192,27 +190,25 @@ add("d14_unscanned_summary", lambda i: op.unscanned_summary(i.tableinfo, i.scanl
     select n || ' total tables @ ' || cast(sz as decimal(20,2)) || 'TB / ' || cast(cap as decimal(20,2)) || 'TB (' || cast(round(100.0 * sz / cap, 1) as decimal(20,1)) || '%)' as all_tables,
            un || ' unscanned tables @ ' || cast(us as decimal(20,2)) || 'TB / ' || cast(cap as decimal(20,2)) || 'TB (' || cast(round(100.0 * us / cap, 1) as decimal(20,1)) || '%)' as unscanned_tables
     from a""")
-add("d15_maintenance_runs", lambda i: op.maintenance_runs(i.vacuumlog, i.tableperm, i["class"], i.ns), """
-    select a.userid, a.xid, a.table_id, n.schema_name, n.table_name, a.status as start_status, a.rows as start_rows, a.blocks as start_blocks, a.eventtime as start_time,
-           b.status as end_status, b.rows as end_rows, b.blocks as end_blocks, b.eventtime as end_time, a.rows - b.rows as rows_deleted,
-           a.blocks - b.blocks as blocks_deleted_added, epoch_us(b.eventtime) // 1000000 - epoch_us(a.eventtime) // 1000000 as seconds
-    from $vacuumlog a left join $vacuumlog b on a.userid = b.userid and a.table_id = b.table_id and a.xid = b.xid and b.status = 'Finished'
-         join (select distinct n.nspname as schema_name, p.name as table_name, p.id from $tableperm p join $class c on c.oid = p.id
-               join $ns n on n.oid = c.relnamespace and n.cluster_id = c.cluster_id) n on n.id = a.table_id
-    where a.status <> 'Finished'""")
-add("d16_maintenance_summary", lambda i: op.maintenance_summary(i.vacuumlog, i.tableperm, i.db, i.blocks, i.txns, as_of=AS_OF), """
-    select a.userid, a.xid, d.datname as database, a.table_id, c.name as table_name, trim(a.status) as start_status,
-           case when a.status ilike 'skipped%' then null when f.xid is not null then 'Running' when b.status is null then 'Failed' else trim(b.status) end as end_status,
-           a.eventtime as start_time, b.eventtime as end_time,
-           case when f.xid is not null then epoch_us(timestamp '2002-01-01') // 1000000 - epoch_us(a.eventtime) // 1000000
-                when b.eventtime is not null then epoch_us(b.eventtime) // 1000000 - epoch_us(a.eventtime) // 1000000 end as seconds,
-           a.rows as start_rows, b.rows as end_rows, a.rows - b.rows as deleted_rows, a.sortedrows as start_sorted_rows, b.sortedrows as end_sorted_rows,
-           a.blocks as start_blocks, b.blocks as end_blocks, b.blocks - a.blocks as block_diff, coalesce(e.n, 0) as empty_blocks
-    from (select * from $vacuumlog where status not ilike '%Finished%') a
-         left join $vacuumlog b on a.xid = b.xid and a.table_id = b.table_id and a.eventtime < b.eventtime
-         left join (select id, name, db_id from $tableperm where slice = 0) c on c.id = a.table_id left join $db d on d.oid = c.db_id
-         left join (select tbl, count(*) as n from $blocks where num_values = 0 group by 1) e on e.tbl = a.table_id
-         left join (select distinct xid from $txns where lockable_object_type = 'transactionid') f on f.xid = a.xid""")
+_NEXT = """runs as (select *, lead(status) over w as s2, lead(rows) over w as r2, lead(sortedrows) over w as o2, lead(blocks) over w as b2, lead(eventtime) over w as t2
+        from $vacuumlog window w as (partition by xid, table_id order by eventtime, status))"""
+add("d15_maintenance_runs", lambda i: op.maintenance_runs(i.vacuumlog, i.tableperm, i["class"], i.ns), f"""
+    with {_NEXT},
+    named as (select p.id, any_value(p.name) as table_name, any_value(x.nspname) as schema_name from $tableperm p join $class k on k.oid = p.id
+              join $ns x on x.oid = k.relnamespace and x.cluster_id = k.cluster_id group by p.id)
+    select userid, xid, table_id, schema_name, table_name, status as start_status, rows as start_rows, blocks as start_blocks, eventtime as start_time, s2 as end_status, r2 as end_rows,
+           b2 as end_blocks, t2 as end_time, rows - r2 as rows_deleted, blocks - b2 as blocks_deleted_added, epoch_us(t2) // 1000000 - epoch_us(eventtime) // 1000000 as seconds
+    from runs join named on named.id = table_id where status <> 'Finished'""")
+add("d16_maintenance_summary", lambda i: op.maintenance_summary(i.vacuumlog, i.tableperm, i.db, i.blocks, i.txns, as_of=AS_OF), f"""
+    with {_NEXT},
+    open as (select distinct xid as open_xid from $txns where lockable_object_type = 'transactionid'),
+    hollow as (select tbl, count(*) as n from $blocks where num_values = 0 group by tbl)
+    select userid, xid, g.datname as database, table_id, p.name as table_name, status as start_status,
+           case when status like 'Skipped%' then null when open_xid is not null then 'Running' else coalesce(s2, 'Failed') end as end_status, eventtime as start_time, t2 as end_time,
+           epoch_us(case when open_xid is not null then timestamp '2002-01-01' else t2 end) // 1000000 - epoch_us(eventtime) // 1000000 as seconds, rows as start_rows, r2 as end_rows,
+           rows - r2 as deleted_rows, sortedrows as start_sorted_rows, o2 as end_sorted_rows, blocks as start_blocks, b2 as end_blocks, b2 - blocks as block_diff, coalesce(hollow.n, 0) as empty_blocks
+    from runs r left join (select id, name, db_id from $tableperm where slice = 0) p on p.id = r.table_id left join $db g on g.oid = p.db_id
+         left join hollow on hollow.tbl = r.table_id left join open on open_xid = r.xid where status <> 'Finished'""")
 add("d17_key_mismatch", lambda i: op.key_mismatch(i.insertlog, i.scanlog, i["class"], i.ns, i.attrs), """
     with names as (select c.oid, n.nspname || '.' || c.relname as full_name, k.distkey from $class c join $ns n on n.oid = c.relnamespace and n.cluster_id = c.cluster_id
                    left join (select attrelid, min(case when attisdistkey then attname end) as distkey from $attrs group by 1) k on k.attrelid = c.oid)

@@ -14,21 +14,19 @@ add("k01_worst_commits", lambda i: txn.commit_stats(i.commitlog, limit=100), _CO
 
 add("k02_table_reads_writes",
     lambda i: txn.table_reads_writes(i.querylog, i.scanlog, i.deletelog, i.insertlog, i.conflictlog, i.utilitytext, i.commitlog), """
-    with ops as (
-        select query, tbl, 'R' as operation from $scanlog where type = 2
-        union select query, tbl, 'W' from $deletelog
-        union select query, tbl, 'W' from $insertlog
-        union select q.query, c.table_id, 'A' from $querylog q left join $conflictlog c on q.xid = c.xact_id where q.aborted = 1),
-    ends as (
-        select xid, max(a) as action, max(endtime) as endtime from (
-            select xid, 'R' as a, endtime from $utilitytext where text ilike '%rollback%' or text ilike '%aborted%'
-            union all select xid, 'C', endtime from $utilitytext where text ilike '%commit%' or text ilike '%end%'
-            union all select xid, 'C', endtime from $commitlog where node = -1) group by xid)
-    select q.xid, q.query, o.tbl, o.operation, q.starttime as statement_start, q.endtime as statement_end, e.endtime as transaction_end,
-           e.action as transaction_action
-    from $querylog q left join ops o on q.query = o.query left join ends e on q.xid = e.xid
-    union all
-    select xid, null, null, 'C', nullif(startqueue, timestamp '2000-01-01'), endtime, endtime, 'C' from $commitlog where node = -1""")
+    with did as (
+        select distinct * from (
+            select query, tbl, 'R' as operation from $scanlog where type = 2 union all select query, tbl, 'W' from (from $deletelog union all from $insertlog)
+            union all select query, table_id, 'A' from $querylog left join $conflictlog on xact_id = xid where aborted <> 0)),
+    outcome as (
+        select xid, case when bool_or(undone) then 'R' else 'C' end as action, max(endtime) as finished from (
+            select xid, endtime, regexp_matches(lower(text), 'rollback|aborted') as undone from $utilitytext where regexp_matches(lower(text), 'rollback|aborted|commit|end')
+            union all select xid, endtime, false from $commitlog where node < 0) group by xid)
+    select s.xid, s.query, did.tbl, did.operation, s.starttime as statement_start, s.endtime as statement_end, finished as transaction_end, action as transaction_action
+    from $querylog s left join did using (query) left join outcome on outcome.xid = s.xid
+    union all by name
+    select xid, 'C' as operation, nullif(startqueue, timestamp '2000-01-01') as statement_start, endtime as statement_end, endtime as transaction_end, 'C' as transaction_action
+    from $commitlog where node < 0""")
 
 _NAMES = "(select c.oid, trim(n.nspname) as schema_name, trim(c.relname) as object_name from $class c join $ns n on n.oid = c.relnamespace and n.cluster_id = c.cluster_id)"
 add("k03_conflicts", lambda i: txn.conflicts(i.conflictlog, i["class"], i.ns), f"""
@@ -52,13 +50,13 @@ add("k06_blocking_locks", lambda i: txn.blocking_locks(i.locks, i.txns, i["class
     select xid, pid, user_name, db_name, s.relation, schema_name, object_name, s.mode, granted, obj_type, txn_start,
            case when granted then round(held / 1000000.0, 2) end as held_s, case when granted then round(held / 60000000.0, 2) end as held_min,
            case when granted then round(held / 3600000000.0, 2) end as held_h, waiting_s, max_blocked_s, n_blocked, pid_list
-    from snap s left join b on s.relation = b.relation and s.granted and (s.mode like '%Exclusive%'
-         or (s.mode like '%Share%' and b.mode like '%ExclusiveLock' and b.mode not like '%Share%'))""")
+    from snap s left join b on s.relation = b.relation and s.granted and (contains(s.mode, 'Exclusive')
+         or (contains(s.mode, 'Share') and ends_with(b.mode, 'ExclusiveLock') and not contains(b.mode, 'Share')))""")
 add("k07_blocked_by", lambda i: txn.blocked_by(i.locks, i.activity, as_of=AS_OF), """
     with w as (select distinct relation, pid, mode from $locks where not granted),
     g as (select distinct relation, pid, mode from $locks where granted),
     pairs as (select distinct w.relation, w.pid, w.mode, g.pid as by_pid from w join g on g.relation = w.relation and g.pid <> w.pid
-              and (g.mode like '%Exclusive%' or (g.mode like '%Share%' and w.mode like '%ExclusiveLock' and w.mode not like '%Share%'))),
+              and (contains(g.mode, 'Exclusive') or (contains(g.mode, 'Share') and ends_with(w.mode, 'ExclusiveLock') and not contains(w.mode, 'Share')))),
     best as (select p.*, a.usename, a.current_query, a.query_start, count(*) over (partition by p.relation, p.pid, p.mode) as n,
                     row_number() over (partition by p.relation, p.pid, p.mode order by a.query_start nulls last, p.by_pid) as rn
              from pairs p left join $activity a on a.procpid = p.by_pid)
