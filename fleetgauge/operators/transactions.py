@@ -88,7 +88,8 @@ def blocking_locks(locks: DataFrame, txns: DataFrame, classes: DataFrame, ns: Da
     """Locks with how long they are held or waited for and, for granted ones, whom they block.
 
     Inputs are reduced to a snapshot first: each process's newest transaction per relation, and one
-    row per process, relation and mode. Waiters are summed per relation and mode before the join.
+    row per process, relation and mode. Waiters are summed per relation and mode before the join;
+    a list of waiters holds each process of the server once at most.
     """
     t = newest(txns.where("lockable_object_type is not null").select(
         "pid", "relation", "xid", F.col("txn_owner").alias("user_name"), F.col("lockable_object_type").alias("obj_type"), "txn_start"),
