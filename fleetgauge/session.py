@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -29,12 +28,10 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the folder every executor can reach (``spark.checkpoint.dir``).
 
-    Only a local-mode session without that setting falls back to a temporary folder.
+    A session without that setting uses a folder below its warehouse, which is shared as well.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="fleetgauge-")
+        root = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_intermediate")
         spark.conf.set("spark.checkpoint.dir", root)
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
