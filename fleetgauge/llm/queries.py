@@ -8,13 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import configure, shared_dir
+from .decontaminate import contaminated
+from .html_text import extract_text
 from .packing import pack, token_pieces
 from .quality import quality_report
+from .scoring import score_documents
 from .sharding import shard_documents
 from .simhash import near_duplicates
-from .storage import stored, table
+from .storage import table
 from .token_counts import count_tokens
 from .token_files import token_index, write_token_files
+from .url_rules import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -44,6 +48,29 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index(spark, path)
 
 
+@query
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+#: The explicit rules of the URL filter.
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+@query
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page shows the document whose id ends its path; it is bad if that document's label is."""
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    shown = pages.select("url", F.expr("try_cast(regexp_extract(url, '/([0-9]{1,18})([./?#][^/]*)?$', 1) as bigint)").alias("doc_id"))
+    labelled = shown.join(labels, "doc_id").select("url", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked"))
+    return judge_urls(pages, labelled, URL_RULES)
+
+
+@query
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
@@ -57,6 +84,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), shared_dir(spark, "token-counts"), tokenizer_file(name), name)
 
 
+@query
+def op7_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=40, seed=8)
