@@ -80,11 +80,19 @@ def at(as_of) -> Column:
 
 
 def within(c, as_of, lookback_days: float | None) -> Column:
-    """``c`` lies in the last ``lookback_days`` before ``as_of``; always true without a lookback."""
-    if as_of is None or lookback_days is None:
+    """``c`` lies in the last ``lookback_days`` up to ``as_of``, or anywhere up to it without a lookback.
+
+    Always true without ``as_of``, which a lookback cannot do without.
+    """
+    if as_of is None:
+        if lookback_days is not None:
+            raise ValueError("a lookback needs as_of")
         return F.lit(True)
+    upto = as_col(c) <= at(as_of)
+    if lookback_days is None:
+        return upto
     edge = dt.datetime.fromisoformat(str(as_of)) - dt.timedelta(days=lookback_days)
-    return as_col(c) >= F.lit(edge.isoformat(sep=" ")).cast("timestamp_ntz")
+    return upto & (as_col(c) >= at(edge.isoformat(sep=" ")))
 
 
 def unset_to_null(c) -> Column:

@@ -82,7 +82,7 @@ def session_leakage(connlog: DataFrame, *, limit: int | None = None) -> DataFram
     return out if limit is None else out.orderBy(surplus.desc(), "remotehost", "username").limit(limit)
 
 
-def recent_connections(connlog: DataFrame, *, as_of=None, lookback: float | None = 2 / 24) -> DataFrame:
+def recent_connections(connlog: DataFrame, *, as_of=None, lookback: float | None = None) -> DataFrame:
     """Trimmed connection events of the last hours."""
     return recent(connlog, "recordtime", as_of, lookback).select(
         trimmed("event").alias("event"), "recordtime", *[trimmed(c).alias(c) for c in ("remotehost", "remoteport")], "pid",

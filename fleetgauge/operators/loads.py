@@ -17,8 +17,8 @@ MB = 1048576
 MINUTE_US = US["minute"]
 
 
-def load_performance(filelog: DataFrame, querylog: DataFrame, *, as_of=None, lookback: float | None = 7,
-                     limit: int | None = 50, text_chars: int | None = None) -> DataFrame:
+def load_performance(filelog: DataFrame, querylog: DataFrame, *, as_of=None, lookback: float | None = None,
+                     limit: int | None = None, text_chars: int | None = None) -> DataFrame:
     """Files, whole megabytes, seconds and megabytes per second of each load, slowest first."""
     files = filelog.where((F.col("http_method") == "GET") & (F.col("query") > 0) & (F.col("transfer_time") > 0)).groupBy("query").agg(
         F.count("*").alias("n_files"), F.sum(int_div("transfer_size", MB)).alias("size_mb"),
@@ -67,7 +67,7 @@ def node_transfer_histogram(filelog: DataFrame, slices: DataFrame, *, edges: Seq
     return load_by_node(filelog, slices, query=query).groupBy(bucket_label(F.col("transfer_min"), edges).alias("minutes")).agg(F.count("*").alias("n"))
 
 
-def file_gap_by_node(loadcommits: DataFrame, slices: DataFrame, *, as_of=None, lookback: float | None = 10 / 1440) -> DataFrame:
+def file_gap_by_node(loadcommits: DataFrame, slices: DataFrame, *, as_of=None, lookback: float | None = None) -> DataFrame:
     """Longest wait between consecutive files of a load, and files, per node."""
     files = recent(loadcommits, "curtime", as_of, lookback).select("query", "slice", "curtime", "filename")
     prev = neighbour(files, ["query"], ["curtime", "filename", "slice"], int_div(epoch_us("curtime"), US["day"]), {"prev_time": "curtime"})

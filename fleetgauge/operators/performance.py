@@ -21,8 +21,8 @@ def _run_seconds() -> Column:
     return boundary_diff("second", "starttime", "endtime").cast("double")
 
 
-def top_queries(querylog: DataFrame, alertlog: DataFrame, *, as_of=None, lookback: float | None = 7,
-                limit: int | None = 50, fan_out: bool = False) -> DataFrame:
+def top_queries(querylog: DataFrame, alertlog: DataFrame, *, as_of=None, lookback: float | None = None,
+                limit: int | None = None, fan_out: bool = False) -> DataFrame:
     """Heaviest statements by database, label, text fingerprint and outcome, with their alerts.
 
     ``fan_out=True`` counts a statement once per alert kind it raised, as joining the alerts does.
@@ -44,7 +44,7 @@ def top_queries(querylog: DataFrame, alertlog: DataFrame, *, as_of=None, lookbac
 
 
 def top_queries_resources(querylog: DataFrame, metrics: DataFrame, alertlog: DataFrame, utilitytext: DataFrame, *,
-                          as_of=None, lookback: float | None = 2, limit: int | None = 50) -> DataFrame:
+                          as_of=None, lookback: float | None = None, limit: int | None = None) -> DataFrame:
     """Heaviest statements by user and text with resources; cursor statements show their SELECT."""
     m = metrics.select("userid", "query", "service_class", "query_cpu_time", "query_cpu_usage_percent",
                        "query_temp_blocks_to_disk", "query_blocks_read", "return_row_count")
@@ -110,7 +110,7 @@ def _alert_work(alertlog: DataFrame, scanlog: DataFrame, distlog: DataFrame, bca
 
 
 def alerts_by_table(alertlog: DataFrame, scanlog: DataFrame, distlog: DataFrame, bcastlog: DataFrame, tableinfo: DataFrame, *,
-                    texts: DataFrame | None = None, as_of=None, lookback: float | None = 7, fan_out: bool = False,
+                    texts: DataFrame | None = None, as_of=None, lookback: float | None = None, fan_out: bool = False,
                     solution_chars: int | None = None) -> DataFrame:
     """Alerts with the time and rows of the steps they point at, per table and solution.
 
@@ -130,7 +130,7 @@ def alerts_by_table(alertlog: DataFrame, scanlog: DataFrame, distlog: DataFrame,
 
 
 def table_alerts(alertlog: DataFrame, scanlog: DataFrame, distlog: DataFrame, bcastlog: DataFrame, tableperm: DataFrame,
-                 classes: DataFrame, ns: DataFrame, *, as_of=None, lookback: float | None = 7, fan_out: bool = False) -> DataFrame:
+                 classes: DataFrame, ns: DataFrame, *, as_of=None, lookback: float | None = None, fan_out: bool = False) -> DataFrame:
     """Alerts per table next to the table's row count, without statement texts."""
     work = _alert_work(alertlog, scanlog, distlog, bcastlog, fan_out, as_of, lookback).where(
         ~F.col("perm_table_name").like("volt_tt%") & (F.trim("perm_table_name") != WORKTABLE))
@@ -163,7 +163,7 @@ def missing_stats(planlog: DataFrame, *, ignore_like: str = "%auto\\_health\\_ch
         node.alias("plannode")).agg(F.count("*").alias("n"))
 
 
-def filters_used(planlog: DataFrame, planinfo: DataFrame, scanlog: DataFrame, *, as_of=None, lookback: float | None = 7,
+def filters_used(planlog: DataFrame, planinfo: DataFrame, scanlog: DataFrame, *, as_of=None, lookback: float | None = None,
                  table_like: str = "%") -> DataFrame:
     """Filter texts applied to each table with scan seconds, statements and a sample statement."""
     p = planlog.where((F.col("info").like("Filter:%") & (F.col("nodeid") > 0)) | F.col("info").like("Join Filter:%")).select(

@@ -18,14 +18,17 @@ FIRST_USER_CLASS = 5
 SECOND = US["second"]
 
 
-def queue_wait_by_query(queuelog: DataFrame, querylog: DataFrame, *, as_of=None, lookback: float | None = 7,
+def queue_wait_by_query(queuelog: DataFrame, querylog: DataFrame, *, as_of=None, lookback: float | None = None,
                         limit: int | None = None, text_chars: int | None = None, waited_only: bool = True) -> DataFrame:
-    """Statements that waited in a queue, longest wait first."""
+    """Statements that waited in a queue, longest wait first.
+
+    The window bounds the queueing; a statement that is not in ``querylog`` keeps its row without a text.
+    """
     w = user_rows(recent(queuelog, "queue_start_time", as_of, lookback))
     if waited_only:
         w = w.where("total_queue_time > 0")
-    q = recent(querylog, "starttime", as_of, lookback).select("query", "userid", "database", "querytxt")
-    out = w.join(q, ["query", "userid"], "left" if as_of is None else "inner").select(
+    q = querylog.select("query", "userid", "database", "querytxt")
+    out = w.join(q, ["query", "userid"], "left").select(
         trimmed("database").alias("db"), "query", cut("querytxt", text_chars).alias("querytxt"), "queue_start_time",
         F.col("service_class").alias("class"), F.col("slot_count").alias("slots"),
         int_div("total_queue_time", SECOND).alias("queue_seconds"),
@@ -170,7 +173,7 @@ def concurrency_exact(queuelog: DataFrame, *, first_class: int = FIRST_USER_CLAS
 
 
 def queue_resources_hourly(queuelog: DataFrame, metrics: DataFrame, cachelog: DataFrame, *, as_of=None,
-                           lookback: float | None = 1, first_class: int = FIRST_USER_CLASS + 1) -> DataFrame:
+                           lookback: float | None = None, first_class: int = FIRST_USER_CLASS + 1) -> DataFrame:
     """Outcomes and resources per hour and class; result-cache hits are reported as class 0."""
     w = recent(queuelog, "exec_start_time", as_of, lookback).where(F.col("service_class") >= first_class)
     state = trimmed("final_state")

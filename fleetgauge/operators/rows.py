@@ -18,7 +18,7 @@ def user_rows(df: DataFrame, col: str = "userid", system_user_max: int | None =
 
 def recent(df: DataFrame, ts: str, as_of, lookback_days: float | None) -> DataFrame:
     """Time-bounded scan: a comparison of the raw column, so it reaches the file scan."""
-    return df if as_of is None or lookback_days is None else df.where(within(ts, as_of, lookback_days))
+    return df if as_of is None and lookback_days is None else df.where(within(ts, as_of, lookback_days))
 
 
 def only(df: DataFrame, **equals) -> DataFrame:

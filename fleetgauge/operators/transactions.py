@@ -18,7 +18,7 @@ def commit_rows(commitlog: DataFrame) -> DataFrame:
                             boundary_diff("millisecond", "startwork", "endtime").alias("commit_ms"), "queuelen")
 
 
-def commit_stats(commitlog: DataFrame, *, as_of=None, lookback: float | None = 2, xid=None, limit: int | None = None) -> DataFrame:
+def commit_stats(commitlog: DataFrame, *, as_of=None, lookback: float | None = None, xid=None, limit: int | None = None) -> DataFrame:
     """Commit queue and work times, longest queue first."""
     rows = commit_rows(only(recent(commitlog, "startwork", as_of, lookback), xid=xid))
     return top(rows, limit, F.desc("queuelen"), F.desc("queue_ms"), "xid", "node")

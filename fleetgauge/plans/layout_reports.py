@@ -14,8 +14,8 @@ _LOAD = """
                from $filelog where http_method = 'GET' and query > 0 and transfer_time > 0 group by 1)
     select q.starttime, s.query, q.querytxt, n_files, size_mb, seconds, size_mb // case seconds when 0 then 1 else seconds end as mb_per_s
     from s left join $querylog q on q.query = s.query"""
-add("l01_load_performance", lambda i: loads.load_performance(i.filelog, i.querylog, as_of=AS_OF, lookback=YEARS, limit=None), _LOAD)
-add("l01_slowest_loads", lambda i: loads.load_performance(i.filelog, i.querylog, as_of=AS_OF, lookback=YEARS),
+add("l01_load_performance", lambda i: loads.load_performance(i.filelog, i.querylog, as_of=AS_OF, lookback=YEARS), _LOAD)
+add("l01_slowest_loads", lambda i: loads.load_performance(i.filelog, i.querylog, as_of=AS_OF, lookback=YEARS, limit=50),
     _LOAD + " order by seconds desc, size_mb desc, query limit 50")
 _BYNODE = """select s.node, round(sum(data_size) / 1048576.0, 2) as raw_mb, round(sum(transfer_size) / 1048576.0, 2) as transferred_mb,
         round((sum(transfer_size) / 1048576.0) / (avg(transfer_time) / 1000000.0), 2) as mb_per_s, round(avg(transfer_time) / 60000000.0, 4) as transfer_min,
@@ -53,7 +53,7 @@ add("l08_file_sizes", lambda i: loads.file_sizes(i.lineitem))
 # ---- layout
 _TP = """(select db_id, id, name, cast(sum(rows) as bigint) as rows, max(rows) as rows_all, cast(sum(rows) - sum(sorted_rows) as bigint) as unsorted,
           max(rows) - max(sorted_rows) as unsorted_all from $tableperm group by 1, 2, 3)"""
-_DET = """(select attrelid, min(attname) filter (where attisdistkey) as key_column, min(attname) filter (where attsortkeyord = 1) as first_sort,
+_DET = """(select attrelid, min(attname) filter (where attisdistkey) as distkey, min(attname) filter (where attsortkeyord = 1) as head_sort,
           max(attsortkeyord) as n_sort, bool_or(attencodingtype <> 0) as encodes, round(count_if(attencodingtype <> 0) * 100.0 / count(attencodingtype), 4) as pct_encoded
           from $attrs group by attrelid)"""
 _UNSORTED = """case when det.n_sort <> 0 then case when (case when c.reldiststyle = 8 then a.rows_all else a.rows end) = 0 then 0.0
@@ -65,11 +65,11 @@ add("d01_slice_distribution", lambda i: op.slice_distribution(i.tableperm, i["cl
            case when p.rows = 0 then 0.0 else round((min(p.rows) over w)::double / (sum(p.rows) over w)::double * 100, 3) end as min_pct,
            case when p.rows = 0 then 0.0 else round((max(p.rows) over w)::double / (sum(p.rows) over w)::double * 100, 3) end as max_pct
     from $tableperm p join $class c on c.oid = p.id join $ns n on n.oid = c.relnamespace and n.cluster_id = c.cluster_id
-         join $tableinfo t on t.table_id = p.id where p.slice < 3201 and c.relowner > 1 window w as (partition by p.id)""")
+         join $tableinfo t on t.table_id = p.id where c.relowner > 1 window w as (partition by p.id)""")
 add("d02_table_info", lambda i: op.table_info(i.tableperm, i["class"], i.ns, i.blocks, i.attrs, i.partitions), f"""
     select trim(n.nspname) as schema_name, trim(a.name) as table_name, a.id as table_id,
-           case c.reldiststyle when 0 then 'EVEN' when 1 then det.key_column when 8 then 'ALL' end as dist_key,
-           case when c.reldiststyle <> 8 then r.skew end as skew, det.first_sort as sort_key, det.n_sort as n_sortkeys,
+           case c.reldiststyle when 0 then 'EVEN' when 1 then det.distkey when 8 then 'ALL' end as dist_key,
+           case when c.reldiststyle <> 8 then r.skew end as skew, det.head_sort as sort_key, det.n_sort as n_sortkeys,
            case when c.reldiststyle = 8 then a.rows_all else a.rows end as rows, b.mbytes, case when det.encodes then 'Y' else 'N' end as encoded,
            det.pct_encoded, round(b.mbytes * 100.0 / (select sum(capacity)::double from $partitions where part_begin = 0), 4) as pct_of_total,
            case when a.rows <> 0 then round(((case when c.reldiststyle = 8 then a.rows_all else a.rows end) - c.reltuples) * 100.0
@@ -78,7 +78,7 @@ add("d02_table_info", lambda i: op.table_info(i.tableperm, i["class"], i.ns, i.b
          join (select tbl, count(*) as mbytes from $blocks group by 1) b on b.tbl = a.id join {_DET} det on det.attrelid = a.id
          join (select tbl, round(max(mb) / min(mb), 4) as skew from (select tbl, slice, count(*) as mb from $blocks group by 1, 2) group by 1) r on r.tbl = a.id
     where c.relowner > 1""")
-add("d02_largest_tables", lambda i: op.largest_tables(i.tableperm, i["class"], i.ns, i.db, i.blocks), f"""
+add("d02_largest_tables", lambda i: op.largest_tables(i.tableperm, i["class"], i.ns, i.db, i.blocks, limit=100), f"""
     select d.datname as database, n.nspname as schema_name, a.name as table_name, b.mbytes, a.rows
     from {_TP} a join $class c on c.oid = a.id join $ns n on n.oid = c.relnamespace and n.cluster_id = c.cluster_id join $db d on d.oid = a.db_id
          join (select tbl, count(*) as mbytes from $blocks group by 1) b on b.tbl = a.id
@@ -109,17 +109,19 @@ add("d05_extended_table_info",
                                      as_of=AS_OF, lookback=YEARS), """
     with ids as (select oid from $class where relowner > 1 and relkind = 'r'),
     mine as (select * from $scanlog semi join ids on tbl = ids.oid where userid > 1),
-    said as (select query, slice, segment, step, split_part(event, ':', 1) as kind from $alertlog where userid > 1),
+    said as (select distinct query, segment, step, split_part(event, ':', 1) as kind from $alertlog where userid > 1),
+    scanned as (select distinct tbl, query, segment, step from mine),
     alerts as (select tbl, count_if(kind = 'Very selective query filter') as sel, count_if(kind = 'Scanned a large number of deleted rows') as dels
-               from mine join said using (query, slice, segment, step) where slice = 0 group by tbl),
+               from scanned join said using (query, segment, step) group by tbl),
     visits as (select tbl, max(endtime) as last_scan, count(distinct (query, segment)) as num_scans from mine group by tbl),
     plan as (select i.query, i.segment, i.step, count(*) as nodes, count_if(starts_with(p.info, 'Filter:') and p.nodeid > 0) as filters
              from $planinfo i join $planlog p using (userid, query, nodeid) group by all),
-    planned as (select tbl, cast(sum(case when is_rrscan = 't' then nodes else 0 end) as bigint) as rr_scans, cast(sum(filters) as bigint) as filtered
-                from mine join plan using (query, segment, step) where type = 2 and slice = 0 group by tbl),
+    reads as (select tbl, query, segment, step, max(is_rrscan = 't') as restricted from mine where type = 2 group by all),
+    planned as (select tbl, cast(sum(case when restricted then nodes else 0 end) as bigint) as rr_scans, cast(sum(filters) as bigint) as filtered
+                from reads join plan using (query, segment, step) group by tbl),
     keys as (select conrelid, case when bool_or(contype = 'p') then 'Y' end as pk, case when bool_or(contype = 'f') then 'Y' end as fk from $constraints semi join ids on conrelid = ids.oid group by conrelid),
     widths as (select attrelid, count_if(attencodingtype <> 0) as enc, count(*) as cols from $attrs semi join ids on attrelid = ids.oid where attnum > 0 group by attrelid),
-    fill as (select id, sum(rows) as total, sum(sorted_rows) as in_order, count(distinct slice) as places from $tableperm semi join ids on id = ids.oid where slice < 6400 group by id)
+    fill as (select id, sum(rows) as total, sum(sorted_rows) as in_order, count(distinct slice) as places from $tableperm semi join ids on id = ids.oid group by id)
     select t.database, t.table_id, schema_name || '.' || table_name as table_name, enc || '/' || cols as columns, pk, fk, max_varchar,
            case when diststyle in ('EVEN', 'ALL') then diststyle else diststyle || ': ' || skew_rows end as diststyle,
            sortkey1 || case when sortkey1_enc is null then '' else '(' || coalesce(skew_sortkey1, 0) || ')' end as sortkey,
@@ -134,15 +136,16 @@ add("d06_minimum_table_size", lambda i: op.minimum_table_size(i.blocks, i["class
            co as columns, sp as regions, nodes, case when reldiststyle in (0, 1) then sl * co * sp when reldiststyle = 8 then nodes * co * sp end as minimum_size, n as actual_size
     from (select tbl, count(distinct slice) as sl, count(distinct col) as co, count(distinct unsorted) as sp, count(*) as n from $blocks group by 1) b
          join $class c on c.oid = b.tbl cross join (select count(distinct node) as nodes from $slices)""")
-add("d07_fragmentation", lambda i: op.fragmentation(i.blocks, i.slices, i.tableperm, i.db, i.partitions, threshold=1), """
+add("d07_fragmentation", lambda i: op.fragmentation(i.blocks, i.slices, i.tableperm, i.db), """
     with cells as (select tbl, slice, col, count_if(num_values > 0) as live, count_if(num_values between 1 and 130993) as partly,
                           sum(case when num_values between 1 and 130993 then num_values end) as held from $blocks group by all),
     tails as (select tbl, slice, col, partly - ceil(held / 130994.0) as surplus from cells
               qualify col = max(col) over (partition by tbl, slice) and live > 0 and partly > 0),
     gains as (select tbl, node, sum(surplus * (col + 1)) as gain from tails join $slices using (slice) where surplus > 1 and tbl > 1
-              group by tbl, col, node having sum(surplus * (col + 1)) > 1)
-    select p.id as tbl, p.name as table_name, x.datname as database, cast(sum(gain) as bigint) as est_space_gain
-    from gains join $tableperm p on p.id = gains.tbl and p.slice = 0 join $db x on x.oid = p.db_id group by all""")
+              group by tbl, col, node),
+    named as (select id, max(trim(name)) as name, max(db_id) as db_id from $tableperm group by id)
+    select p.id as tbl, p.name as table_name, trim(x.datname) as database, cast(sum(gain) as bigint) as est_space_gain
+    from gains join named p on p.id = gains.tbl join $db x on x.oid = p.db_id group by all""")
 _KIND = """case when tbl > 0 then 'User_Table' when tbl = 0 then 'Freed_Blocks' when tbl = -2 then 'Catalog_File_Store' when tbl = -3 then 'Metadata'
      when tbl = -4 then 'Temp_Delete_Blocks' when tbl = -6 then 'Query_Spill_To_Disk' else 'Stage_blocks_For_Real_Table_DML' end as block_type"""
 add("d08_block_classes", lambda i: op.block_classes(i.rawblocks), f"""
@@ -207,7 +210,7 @@ add("d16_maintenance_summary", lambda i: op.maintenance_summary(i.vacuumlog, i.t
            case when status like 'Skipped%' then null when open_xid is not null then 'Running' else coalesce(s2, 'Failed') end as end_status, eventtime as start_time, t2 as end_time,
            epoch_us(case when open_xid is not null then timestamp '2002-01-01' else t2 end) // 1000000 - epoch_us(eventtime) // 1000000 as seconds, rows as start_rows, r2 as end_rows,
            rows - r2 as deleted_rows, sortedrows as start_sorted_rows, o2 as end_sorted_rows, blocks as start_blocks, b2 as end_blocks, b2 - blocks as block_diff, coalesce(hollow.n, 0) as empty_blocks
-    from runs r left join (select id, name, db_id from $tableperm where slice = 0) p on p.id = r.table_id left join $db g on g.oid = p.db_id
+    from runs r left join (select id, max(name) as name, max(db_id) as db_id from $tableperm group by id) p on p.id = r.table_id left join $db g on g.oid = p.db_id
          left join hollow on hollow.tbl = r.table_id left join open on open_xid = r.xid where status <> 'Finished'""")
 add("d17_key_mismatch", lambda i: op.key_mismatch(i.insertlog, i.scanlog, i["class"], i.ns, i.attrs), """
     with names as (select c.oid, n.nspname || '.' || c.relname as full_name, k.distkey from $class c join $ns n on n.oid = c.relnamespace and n.cluster_id = c.cluster_id

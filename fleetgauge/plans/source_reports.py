@@ -18,8 +18,8 @@ def _path(i, purpose):
 
 
 add("s01_table_scan", lambda i: scan.scan(i.spark, f"{i.sf_dir}/lineitem.parquet", ["l_orderkey", "l_quantity"]), "select l_orderkey, l_quantity from lineitem")
-add("s02_time_bounded_scan", lambda i: scan.time_bounded_scan(i.spark, f"{i.sf_dir}/events.parquet", "ts", as_of="2024-02-01", lookback_days=14),
-    "select * from events where ts >= timestamp '2024-02-01' - interval 14 day")
+add("s02_time_bounded_scan", lambda i: scan.time_bounded_scan(i.spark, f"{i.sf_dir}/events.parquet", "ts", as_of="2024-01-25", lookback_days=14),
+    "select * from events where ts between timestamp '2024-01-11' and timestamp '2024-01-25'")
 
 
 def _csv(i):
@@ -123,10 +123,14 @@ def _streamed(i, log, build):
     return trends.run_to_table(build(trends.log_stream(i.spark, path + "-in", log.schema)), path + "-out", path + "-state")
 
 
-add("stream_queue_trend", lambda i: _streamed(i, i.queuelog, lambda s: trends.queue_trend_stream(s, delay="0 seconds")), """
-    with h as (select date_trunc('hour', service_class_start_time) as hour, service_class, count(query) as query_count, cast(sum(total_queue_time) as bigint) as queue_us,
-                      cast(sum(total_exec_time) as bigint) as exec_us from $queuelog group by 1, 2)
-    select * from h where hour < (select max(hour) from h)""")
+def _closed(log, ts):
+    """The log and a row two days later without any other value, which closes all windows of the stream."""
+    return log.unionByName(log.select((F.max(ts) + F.expr("interval 2 days")).alias(ts)), allowMissingColumns=True)
+
+
+add("stream_queue_trend", lambda i: _streamed(i, _closed(i.queuelog, "service_class_start_time"), lambda s: trends.queue_trend_stream(s, delay="1 hour")), """
+    select date_trunc('hour', service_class_start_time) as hour, service_class, count(query) as query_count, cast(sum(total_queue_time) as bigint) as queue_us,
+                      cast(sum(total_exec_time) as bigint) as exec_us from $queuelog group by 1, 2""")
 add("stream_connection_pairs", lambda i: _streamed(i, i.connlog, trends.connection_pairs_stream))
 add("stream_alert_events", lambda i: _streamed(i, i.alertlog, lambda s: trends.alert_events_stream(s, delay="3000 days")),
     "select distinct query, trim(split_part(event, ':', 1)) as kind from $alertlog")
