@@ -114,8 +114,7 @@ def exact_quantiles_few_groups(df: DataFrame, keys: Sequence[str], value: str, p
     """The same quantiles where the number of groups is known to be small (a fixed set of metrics).
 
     A first pass counts values per magnitude bucket and finds the buckets the wanted ranks fall in:
-    at most two per quantile and group, so they are broadcast. A second pass shuffles only the
-    values inside those buckets.
+    at most two per quantile and group. A second pass shuffles only the values inside those buckets.
     """
     keys = list(keys)
     df = df.where(F.col(value).isNotNull()).select(*keys, value, magnitude_bucket(F.col(value)).alias("__bucket"))
@@ -127,7 +126,7 @@ def exact_quantiles_few_groups(df: DataFrame, keys: Sequence[str], value: str, p
     for lo, hi, _ in _targets(probs, F.col("total")).values():
         needed = needed | ((first <= lo) & (lo <= last)) | ((first <= hi) & (hi <= last))
     wanted = hist.where(needed).select(*keys, "__bucket", first.alias("__before"), "total")
-    near = df.join(F.broadcast(wanted), [*keys, "__bucket"]).groupBy(*keys, "__bucket", "__before", "total", value).agg(F.count("*").alias("n"))
+    near = df.join(wanted, [*keys, "__bucket"]).groupBy(*keys, "__bucket", "__before", "total", value).agg(F.count("*").alias("n"))
     inside = W.partitionBy(*keys, "__bucket").orderBy(value)
     ranked = near.withColumn("upto", F.col("__before") + F.sum("n").over(inside))
     return _interpolated(ranked, keys, value, probs)

@@ -88,6 +88,7 @@ def _slot_changes(queuelog: DataFrame, first_class: int, step: int, low: int | N
     last = ceil_to(epoch_us("service_class_end_time") - anchor, step) + anchor
     if high is not None:
         first, last = F.greatest(first, F.lit(low)), F.least(last, F.lit(high))
+        queuelog = queuelog.where((F.col("service_class_end_time") > _ntz(low - step)) & (F.col("service_class_start_time") <= _ntz(high)))
     spans = user_rows(queuelog).where(F.col("service_class") >= first_class).select(
         "service_class", first.alias("first"), last.alias("last"), F.col("slot_count").cast("long").alias("slots")
     ).where("first < last")
@@ -96,6 +97,11 @@ def _slot_changes(queuelog: DataFrame, first_class: int, step: int, low: int | N
         F.struct(F.col("last").alias("pos"), (-F.col("slots")).alias("delta")))))
 
 
+def _ntz(us: int) -> Column:
+    """Microseconds since 1970 as a literal to compare the raw column with, so that the bound reaches the file scan."""
+    return at(dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=us))
+
+
 def _levels(changes: DataFrame) -> DataFrame:
     """Slots in use from each change on (``level``), the net change summed per instant first."""
     net = changes.groupBy("service_class", "pos").agg(F.sum("delta").alias("delta"))
@@ -190,9 +196,14 @@ def queue_resources_hourly(queuelog: DataFrame, metrics: DataFrame, cachelog: Da
     c = recent(cachelog, "starttime", as_of, lookback).where(F.col("source_query").isNotNull())
     m = metrics.select("userid", F.col("query").alias("source_query"), "return_row_count")
     zero = F.lit(0).cast("long")
-    hits = c.join(m, ["userid", "source_query"], "left").groupBy(hour_of("starttime").alias("exec_hour")).agg(
-        total_if(F.col("aborted") == 0).alias("n_completed"), total_if(F.col("aborted") == 1).alias("n_evicted"),
-        mean(int_div("elapsed", SECOND)).alias("avg_exec_s"), F.sum("return_row_count").alias("return_rows"),
+    # one dashboard statement can own most hits: they are counted per statement before the join
+    counted = c.groupBy(hour_of("starttime").alias("exec_hour"), "userid", "source_query").agg(
+        F.count("*").alias("n"), total_if(F.col("aborted") == 0).alias("completed"), total_if(F.col("aborted") == 1).alias("evicted"),
+        F.sum(int_div("elapsed", SECOND)).alias("ran"), F.count("elapsed").alias("n_ran"))
+    hits = counted.join(m, ["userid", "source_query"], "left").groupBy("exec_hour").agg(
+        F.sum("completed").alias("n_completed"), F.sum("evicted").alias("n_evicted"),
+        rounded(F.try_divide(F.sum("ran").cast("double"), F.sum("n_ran")), 4).alias("avg_exec_s"),
+        F.sum(F.col("return_row_count") * F.col("n")).alias("return_rows"),
     ).select("exec_hour", F.lit(0).alias("class"), "n_completed", "n_evicted", F.lit(0.0).alias("avg_queue_s"),
              "avg_exec_s", F.lit(0.0).alias("avg_pct_cpu"), *[zero.alias(x) for x in (
                  "max_pct_cpu", "max_spill_mb", "sum_spill_mb", "scan_rows", "join_rows", "nl_join_rows")],

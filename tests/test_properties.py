@@ -1,13 +1,20 @@
 """Relations that must hold between reports."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from fleetgauge.operators import connections, layout, privileges, queue
+from fleetgauge.operators.rows import recent
 from fleetgauge.plans.bindings import Inputs
 
 from .conftest import DATA
 
 
+@pytest.fixture(scope="module")
+def inputs(spark):
+    return Inputs(spark, DATA)
+
+
 def test_grid_peak_never_above_exact_peak(spark):
     i = Inputs(spark, DATA)
     grid = {r.service_class: r.max_slots for r in queue.concurrency_peak(i.queuelog, i.classcfg, as_of="2024-02-01 00:00:00", horizon_days=31).collect()}
@@ -54,3 +61,28 @@ def test_time_bound_reaches_the_file_scan(spark):
     from fleetgauge.sources.scan import time_bounded_scan
     plan = time_bounded_scan(spark, f"{DATA}/events.parquet", "ts", as_of="2024-02-01", lookback_days=7, columns=["event_id", "ts"])._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in plan and "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz>" in plan
+
+
+def test_window_needs_a_reference_time_and_ends_there(spark):
+    rows = spark.sql("select timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, n) as ts, n from range(1, 11) as t(n)")
+    with pytest.raises(ValueError):
+        recent(rows, "ts", None, 3)
+    assert [r["n"] for r in recent(rows, "ts", "2024-01-06", 2).orderBy("n").collect()] == [3, 4, 5]
+    assert recent(rows, "ts", "2024-01-06", None).count() == 5 and recent(rows, "ts", None, None).count() == 10
+
+
+def test_horizon_reaches_the_file_scan(spark, inputs, tmp_path):
+    inputs.queuelog.write.parquet(str(tmp_path / "q"))
+    log = spark.read.parquet(str(tmp_path / "q"))
+    plan = queue.concurrency_peak(log, inputs.classcfg, as_of="2024-01-20 00:00:00")._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(service_class_start_time" in plan and "GreaterThan(service_class_end_time" in plan
+
+
+def test_tables_without_a_row_on_slice_zero_are_reported(spark, inputs):
+    perm = inputs.tableperm.where("slice != 0")
+    whole = layout.fragmentation(inputs.blocks, inputs.slices, inputs.tableperm, inputs.db).orderBy("tbl").collect()
+    part = layout.fragmentation(inputs.blocks, inputs.slices, perm, inputs.db).orderBy("tbl").collect()
+    listed = {r["id"] for r in perm.select("id").distinct().collect()}
+    assert whole and part == [r for r in whole if r["tbl"] in listed]
+    runs = layout.maintenance_summary(inputs.vacuumlog, perm, inputs.db, inputs.blocks, inputs.txns, as_of="2002-01-01 00:00:00")
+    assert runs.where("table_name is null").count() == runs.where(~F.col("table_id").isin(*listed)).count()
