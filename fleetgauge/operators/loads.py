@@ -80,11 +80,11 @@ def load_status(loadstate: DataFrame, *, pid=None) -> DataFrame:
     return only(loadstate, pid=pid)
 
 
-def load_errors(loaderrors: DataFrame, classes: DataFrame) -> DataFrame:
+def load_errors(loaderrors: DataFrame, classes: DataFrame, *, fleet: Sequence[str] = ()) -> DataFrame:
     """Rejected values with table, file, line, column and reason, each once."""
-    names = classes.select(F.col("oid").alias("tbl"), trimmed("relname").alias("table_name"))
-    return loaderrors.join(names, "tbl").select(
-        "table_name", "query", trimmed("filename").alias("filename"), "line_number", trimmed("colname").alias("colname"),
+    names = classes.select(*fleet, F.col("oid").alias("tbl"), trimmed("relname").alias("table_name"))
+    return loaderrors.join(names, [*fleet, "tbl"]).select(
+        *fleet, "table_name", "query", trimmed("filename").alias("filename"), "line_number", trimmed("colname").alias("colname"),
         trimmed("raw_field_value").alias("raw_field_value"), trimmed("err_reason").alias("err_reason")).distinct()
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.alerts import alert_kind, alert_label, alert_text
@@ -10,7 +12,7 @@ from ..functions.temporal import US, at, boundary_diff, day_of, hour_of, int_div
 from ..functions.text import leading_word, statement_class, trimmed
 from .ordered import band_mean, covered, magnitude_bucket, running_total
 from .queue import alert_mask, cursor_text, queue_wait_by_query
-from .rows import between, cut, only, recent, top, user_rows
+from .rows import between, catalog_keys, cut, only, recent, top, user_rows
 from .transactions import commit_rows
 
 SECOND = US["second"]
@@ -85,19 +87,22 @@ def query_type_summary(querylog: DataFrame) -> DataFrame:
 _STEP = ["query", "slice", "segment"]
 
 
-def _step_work(log: DataFrame, prefix: str, *extra: str) -> DataFrame:
+def _step_work(log: DataFrame, prefix: str, fleet: Sequence[str], *extra: str) -> DataFrame:
     """Seconds (never negative), rows and row count per step location, summed before any join."""
     secs = F.greatest(boundary_diff("second", "starttime", "endtime"), F.lit(0))
-    return log.groupBy(*_STEP, *extra).agg(F.sum(secs).alias(f"{prefix}_secs"), F.sum("rows").alias(f"{prefix}_rows"),
+    return log.groupBy(*fleet, *_STEP, *extra).agg(F.sum(secs).alias(f"{prefix}_secs"), F.sum("rows").alias(f"{prefix}_rows"),
                                            F.count("*").alias(f"{prefix}_n"))
 
 
 def _alert_work(alertlog: DataFrame, scanlog: DataFrame, distlog: DataFrame, bcastlog: DataFrame, fan_out: bool,
-                as_of, lookback) -> DataFrame:
+                as_of, lookback, fleet: Sequence[str]) -> DataFrame:
     alerts = user_rows(recent(alertlog, "event_time", as_of, lookback)).groupBy(
-        *_STEP, alert_kind("event").alias("event"), trimmed("solution").alias("solution")).agg(F.count("*").alias("n_events"))
-    j = (alerts.join(_step_work(scanlog, "s", "tbl", "perm_table_name"), _STEP)
-         .join(_step_work(distlog, "d"), _STEP, "left").join(_step_work(bcastlog, "b"), _STEP, "left"))
+        *fleet, *_STEP, alert_kind("event").alias("event"), trimmed("solution").alias("solution")).agg(F.count("*").alias("n_events"))
+    at = [*fleet, *_STEP]
+    # an alert names the step's place; the work logs are cut down to those places before they are summed
+    told = lambda log: log.join(alerts.select(*at), at, "left_semi")
+    j = (alerts.join(_step_work(told(scanlog), "s", fleet, "tbl", "perm_table_name"), at)
+         .join(_step_work(told(distlog), "d", fleet), at, "left").join(_step_work(told(bcastlog), "b", fleet), at, "left"))
     if fan_out:
         # what joining the raw rows would add up to: every match repeats for each row of the others
         scans, dists, casts = F.col("s_n"), F.coalesce("d_n", F.lit(1)), F.coalesce("b_n", F.lit(1))
@@ -111,36 +116,38 @@ def _alert_work(alertlog: DataFrame, scanlog: DataFrame, distlog: DataFrame, bca
 
 def alerts_by_table(alertlog: DataFrame, scanlog: DataFrame, distlog: DataFrame, bcastlog: DataFrame, tableinfo: DataFrame, *,
                     texts: DataFrame | None = None, as_of=None, lookback: float | None = None, fan_out: bool = False,
-                    solution_chars: int | None = None) -> DataFrame:
+                    solution_chars: int | None = None, fleet: Sequence[str] = ()) -> DataFrame:
     """Alerts with the time and rows of the steps they point at, per table and solution.
 
     A broadcast's figures win over a distribution's, and those over the scan's. ``texts`` (query,
     text) splits the report by statement text.
     """
-    work = _alert_work(alertlog, scanlog, distlog, bcastlog, fan_out, as_of, lookback)
-    t = tableinfo.select(F.col("table_id").alias("tbl"), F.col("schema_name").alias("schema"))
-    work = work.where(~F.col("perm_table_name").like("volt_tt%")).join(t, "tbl").where("schema is not null")
-    keys = [F.col("schema"), trimmed("perm_table_name").alias("table"), F.col("event"), cut("solution", solution_chars).alias("solution")]
+    work = _alert_work(alertlog, scanlog, distlog, bcastlog, fan_out, as_of, lookback, fleet)
+    t = tableinfo.select(*fleet, F.col("table_id").alias("tbl"), F.col("schema_name").alias("schema"))
+    work = work.where(~F.col("perm_table_name").like("volt_tt%")).join(t, [*fleet, "tbl"]).where("schema is not null")
+    keys = [*fleet, F.col("schema"), trimmed("perm_table_name").alias("table"), F.col("event"), cut("solution", solution_chars).alias("solution")]
     aggs = [rounded(F.sum("secs") / 60.0, 4).alias("minutes"), F.sum("rows").alias("rows"), F.max("query").alias("sample_query"),
             F.count_distinct("query").alias("n_queries"), F.sum("hits").alias("n_events")]
     if texts is None:
         return work.groupBy(*keys).agg(*aggs)
-    work = work.join(texts.select("query", "text"), "query", "left")
+    work = work.join(texts.select(*fleet, "query", "text"), [*fleet, "query"], "left")
     return work.groupBy(*keys, F.md5("text").alias("fingerprint")).agg(*aggs, F.max("text").alias("query_text")).drop("fingerprint")
 
 
 def table_alerts(alertlog: DataFrame, scanlog: DataFrame, distlog: DataFrame, bcastlog: DataFrame, tableperm: DataFrame,
-                 classes: DataFrame, ns: DataFrame, *, as_of=None, lookback: float | None = None, fan_out: bool = False) -> DataFrame:
+                 classes: DataFrame, ns: DataFrame, *, as_of=None, lookback: float | None = None, fan_out: bool = False,
+                 fleet: Sequence[str] = ()) -> DataFrame:
     """Alerts per table next to the table's row count, without statement texts."""
-    work = _alert_work(alertlog, scanlog, distlog, bcastlog, fan_out, as_of, lookback).where(
+    work = _alert_work(alertlog, scanlog, distlog, bcastlog, fan_out, as_of, lookback, fleet).where(
         ~F.col("perm_table_name").like("volt_tt%") & (F.trim("perm_table_name") != WORKTABLE))
-    per_table = work.groupBy("tbl", trimmed("perm_table_name").alias("table"), "event", "solution").agg(
+    per_table = work.groupBy(*fleet, "tbl", trimmed("perm_table_name").alias("table"), "event", "solution").agg(
         F.sum("secs").alias("secs"), F.sum("rows").alias("scanned_rows"), F.max("query").alias("sample_query"), F.sum("hits").alias("n_events"))
-    rows = tableperm.groupBy(F.col("id").alias("tbl")).agg(F.sum("rows").alias("table_rows"))
-    names = classes.join(ns.select("cluster_id", F.col("oid").alias("relnamespace"), trimmed("nspname").alias("schema")),
-                         ["cluster_id", "relnamespace"]).select(F.col("oid").alias("tbl"), "schema")
-    return per_table.join(rows, "tbl", "left").join(names, "tbl", "left").groupBy(
-        "schema", "table", "table_rows", "event", "solution").agg(
+    rows = tableperm.groupBy(*fleet, F.col("id").alias("tbl")).agg(F.sum("rows").alias("table_rows"))
+    keys = catalog_keys(fleet, classes, ns)
+    names = classes.join(ns.select(*keys, F.col("oid").alias("relnamespace"), trimmed("nspname").alias("schema")),
+                         [*keys, "relnamespace"]).select(*fleet, F.col("oid").alias("tbl"), "schema")
+    return per_table.join(rows, [*fleet, "tbl"], "left").join(names, [*fleet, "tbl"], "left").groupBy(
+        *fleet, "schema", "table", "table_rows", "event", "solution").agg(
         rounded(F.sum("secs") / 60.0, 4).alias("minutes"), F.sum("scanned_rows").alias("scanned_rows"),
         F.max("sample_query").alias("sample_query"), F.sum("n_events").alias("n_events"))
 

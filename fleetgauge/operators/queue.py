@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -19,7 +20,8 @@ SECOND = US["second"]
 
 
 def queue_wait_by_query(queuelog: DataFrame, querylog: DataFrame, *, as_of=None, lookback: float | None = None,
-                        limit: int | None = None, text_chars: int | None = None, waited_only: bool = True) -> DataFrame:
+                        limit: int | None = None, text_chars: int | None = None, waited_only: bool = True,
+                        fleet: Sequence[str] = ()) -> DataFrame:
     """Statements that waited in a queue, longest wait first.
 
     The window bounds the queueing; a statement that is not in ``querylog`` keeps its row without a text.
@@ -27,8 +29,9 @@ def queue_wait_by_query(queuelog: DataFrame, querylog: DataFrame, *, as_of=None,
     w = user_rows(recent(queuelog, "queue_start_time", as_of, lookback))
     if waited_only:
         w = w.where("total_queue_time > 0")
-    q = querylog.select("query", "userid", "database", "querytxt")
-    out = w.join(q, ["query", "userid"], "left").select(
+    q = querylog.select(*fleet, "query", "userid", "database", "querytxt")
+    out = w.join(q, [*fleet, "query", "userid"], "left").select(
+        *fleet,
         trimmed("database").alias("db"), "query", cut("querytxt", text_chars).alias("querytxt"), "queue_start_time",
         F.col("service_class").alias("class"), F.col("slot_count").alias("slots"),
         int_div("total_queue_time", SECOND).alias("queue_seconds"),
@@ -77,7 +80,7 @@ def queue_detail(queuelog: DataFrame, *, query=None, xid=None) -> DataFrame:
         trimmed("final_state").alias("final_state"))
 
 
-def _slot_changes(queuelog: DataFrame, first_class: int, step: int, low: int | None, high: int | None) -> DataFrame:
+def _slot_changes(queuelog: DataFrame, first_class: int, step: int, low: int | None, high: int | None, fleet: Sequence[str]) -> DataFrame:
     """Net slot change per class and grid instant.
 
     A statement is active at the instants ``g`` with ``start <= g < end``, so on the grid it starts
@@ -90,9 +93,9 @@ def _slot_changes(queuelog: DataFrame, first_class: int, step: int, low: int | N
         first, last = F.greatest(first, F.lit(low)), F.least(last, F.lit(high))
         queuelog = queuelog.where((F.col("service_class_end_time") > _ntz(low - step)) & (F.col("service_class_start_time") <= _ntz(high)))
     spans = user_rows(queuelog).where(F.col("service_class") >= first_class).select(
-        "service_class", first.alias("first"), last.alias("last"), F.col("slot_count").cast("long").alias("slots")
+        *fleet, "service_class", first.alias("first"), last.alias("last"), F.col("slot_count").cast("long").alias("slots")
     ).where("first < last")
-    return spans.select("service_class", F.inline(F.array(
+    return spans.select(*fleet, "service_class", F.inline(F.array(
         F.struct(F.col("first").alias("pos"), F.col("slots").alias("delta")),
         F.struct(F.col("last").alias("pos"), (-F.col("slots")).alias("delta")))))
 
@@ -102,10 +105,10 @@ def _ntz(us: int) -> Column:
     return at(dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=us))
 
 
-def _levels(changes: DataFrame) -> DataFrame:
+def _levels(changes: DataFrame, fleet: Sequence[str]) -> DataFrame:
     """Slots in use from each change on (``level``), the net change summed per instant first."""
-    net = changes.groupBy("service_class", "pos").agg(F.sum("delta").alias("delta"))
-    return running_total(net, ["service_class"], ["pos"], int_div(floor_to(F.col("pos"), US["hour"]), US["hour"]),
+    net = changes.groupBy(*fleet, "service_class", "pos").agg(F.sum("delta").alias("delta"))
+    return running_total(net, [*fleet, "service_class"], ["pos"], int_div(floor_to(F.col("pos"), US["hour"]), US["hour"]),
                          {"level": "delta"})
 
 
@@ -115,12 +118,12 @@ def _horizon(as_of, horizon_days: float) -> tuple[int, int]:
     return high - int(horizon_days * US["day"]), high
 
 
-def _configured(classcfg: DataFrame, first_class: int) -> DataFrame:
-    return classcfg.where(F.col("service_class") >= first_class).select("service_class", "num_query_tasks")
+def _configured(classcfg: DataFrame, first_class: int, fleet: Sequence[str]) -> DataFrame:
+    return classcfg.where(F.col("service_class") >= first_class).select(*fleet, "service_class", "num_query_tasks")
 
 
 def concurrency_peak(queuelog: DataFrame, classcfg: DataFrame, *, as_of, step_seconds: int = 5, horizon_days: float = 7,
-                     first_class: int = FIRST_USER_CLASS) -> DataFrame:
+                     first_class: int = FIRST_USER_CLASS, fleet: Sequence[str] = ()) -> DataFrame:
     """Most slots in use at any instant of a grid, with the last such instant and the last queueing.
 
     Statements are not expanded over the grid: the level only changes where one starts or ends, so
@@ -128,54 +131,55 @@ def concurrency_peak(queuelog: DataFrame, classcfg: DataFrame, *, as_of, step_se
     """
     step = step_seconds * SECOND
     low, high = _horizon(as_of, horizon_days)
-    levels = _levels(_slot_changes(queuelog, first_class, step, low, high))
+    levels = _levels(_slot_changes(queuelog, first_class, step, low, high, fleet), fleet)
     # just before a change the previous level was in use, up to one step earlier
     held = F.struct((F.col("level") - F.col("delta")).alias("slots"), (F.col("pos") - step).alias("instant"))
-    peak = levels.groupBy("service_class").agg(F.max(held).alias("peak"))
-    queued = queuelog.where("total_queue_time > 0").groupBy("service_class").agg(
+    peak = levels.groupBy(*fleet, "service_class").agg(F.max(held).alias("peak"))
+    queued = queuelog.where("total_queue_time > 0").groupBy(*fleet, "service_class").agg(
         F.max("queue_end_time").alias("last_queued_time"))
-    return (peak.join(_configured(classcfg, first_class), "service_class").join(queued, "service_class", "left")
-            .select("service_class", F.col("num_query_tasks").alias("configured_slots"), F.col("peak.slots").alias("max_slots"),
+    return (peak.join(_configured(classcfg, first_class, fleet), [*fleet, "service_class"]).join(queued, [*fleet, "service_class"], "left")
+            .select(*fleet, "service_class", F.col("num_query_tasks").alias("configured_slots"), F.col("peak.slots").alias("max_slots"),
                     from_us("peak.instant").alias("max_slots_ts"), "last_queued_time"))
 
 
 def concurrency_peak_hourly(queuelog: DataFrame, classcfg: DataFrame, *, as_of, step_seconds: int = 1,
-                            horizon_days: float = 7, first_class: int = FIRST_USER_CLASS) -> DataFrame:
+                            horizon_days: float = 7, first_class: int = FIRST_USER_CLASS,
+                            fleet: Sequence[str] = ()) -> DataFrame:
     """Most slots in use per class and hour, at the instants of a grid."""
     step = step_seconds * SECOND
     low, high = _horizon(as_of, horizon_days)
-    changes = _slot_changes(queuelog, first_class, step, low, high)
-    cfg = _configured(classcfg, first_class)
+    changes = _slot_changes(queuelog, first_class, step, low, high, fleet)
+    cfg = _configured(classcfg, first_class, fleet)
     # a change of zero at each hour's first instant carries the level of long statements into it
     hours = F.explode(F.sequence(F.lit(low - low % US["hour"]), F.lit(high), F.lit(US["hour"]))).alias("hour_us")
-    marks = cfg.select("service_class", hours).select(
-        "service_class", (ceil_to(F.col("hour_us") - high % step, step) + high % step).alias("pos"),
+    marks = cfg.select(*fleet, "service_class", hours).select(
+        *fleet, "service_class", (ceil_to(F.col("hour_us") - high % step, step) + high % step).alias("pos"),
         F.lit(0).cast("long").alias("delta"))
-    hourly = _levels(changes.unionByName(marks)).groupBy("service_class", hour_of(from_us("pos")).alias("hour")).agg(
+    hourly = _levels(changes.unionByName(marks), fleet).groupBy(*fleet, "service_class", hour_of(from_us("pos")).alias("hour")).agg(
         F.max("level").alias("max_slots")).where("max_slots > 0")
     h = F.hour("hour").cast("string")
-    return hourly.join(cfg, "service_class").select(
-        "service_class", F.col("num_query_tasks").alias("configured_slots"), day_of("hour").alias("day"),
+    return hourly.join(cfg, [*fleet, "service_class"]).select(
+        *fleet, "service_class", F.col("num_query_tasks").alias("configured_slots"), day_of("hour").alias("day"),
         F.concat(h, F.lit(":00 - "), h, F.lit(":59")).alias("hour"), "max_slots")
 
 
 def concurrency_at(queuelog: DataFrame, classcfg: DataFrame, *, as_of, step_seconds: int = 3600, horizon_days: float = 7,
-                   first_class: int = FIRST_USER_CLASS) -> DataFrame:
+                   first_class: int = FIRST_USER_CLASS, fleet: Sequence[str] = ()) -> DataFrame:
     """Slots in use at each instant of a grid: an instant-in-interval join without expanding intervals."""
     step = step_seconds * SECOND
     low, high = _horizon(as_of, horizon_days)
     grid = F.explode(F.sequence(F.lit(low), F.lit(high - step), F.lit(step))).alias("pos")
-    marks = _configured(classcfg, first_class).select("service_class", grid).withColumn("delta", F.lit(0).cast("long"))
-    levels = _levels(_slot_changes(queuelog, first_class, step, low, high).unionByName(marks))
-    return levels.where((F.col("pos") < high) & (F.col("level") > 0)).select("service_class", from_us("pos").alias("instant"), F.col("level").alias("slots"))
+    marks = _configured(classcfg, first_class, fleet).select(*fleet, "service_class", grid).withColumn("delta", F.lit(0).cast("long"))
+    levels = _levels(_slot_changes(queuelog, first_class, step, low, high, fleet).unionByName(marks), fleet)
+    return levels.where((F.col("pos") < high) & (F.col("level") > 0)).select(*fleet, "service_class", from_us("pos").alias("instant"), F.col("level").alias("slots"))
 
 
-def concurrency_exact(queuelog: DataFrame, *, first_class: int = FIRST_USER_CLASS) -> DataFrame:
+def concurrency_exact(queuelog: DataFrame, *, first_class: int = FIRST_USER_CLASS, fleet: Sequence[str] = ()) -> DataFrame:
     """The true maximum of slots in use, at microsecond resolution, and when it was first reached."""
-    levels = _levels(_slot_changes(queuelog, first_class, 1, None, None))
+    levels = _levels(_slot_changes(queuelog, first_class, 1, None, None, fleet), fleet)
     reached = F.struct(F.col("level").alias("slots"), (-F.col("pos")).alias("neg"))
-    peak = levels.groupBy("service_class").agg(F.max(reached).alias("peak"))
-    return peak.select("service_class", F.col("peak.slots").alias("max_slots"), from_us(-F.col("peak.neg")).alias("max_slots_ts"))
+    peak = levels.groupBy(*fleet, "service_class").agg(F.max(reached).alias("peak"))
+    return peak.select(*fleet, "service_class", F.col("peak.slots").alias("max_slots"), from_us(-F.col("peak.neg")).alias("max_slots_ts"))
 
 
 def queue_resources_hourly(queuelog: DataFrame, metrics: DataFrame, cachelog: DataFrame, *, as_of=None,

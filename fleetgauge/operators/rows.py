@@ -49,6 +49,11 @@ def cut(text, chars: int | None) -> Column:
     return as_col(text) if chars is None else F.substring(as_col(text), 1, chars)
 
 
+def catalog_keys(fleet: Sequence[str], *frames: DataFrame) -> list[str]:
+    """Keys to join catalog tables on: the fleet's, or for logs of one cluster the catalog's own cluster key."""
+    return list(fleet) or [c for c in ("cluster_id",) if all(c in f.columns for f in frames)]
+
+
 def newest(df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
     """Newest row per key, combined before the shuffle instead of ranked after it."""
     rest = [c for c in df.columns if c not in keys]

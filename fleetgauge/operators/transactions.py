@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.numeric import rounded
 from ..functions.temporal import at, boundary_diff, epoch_us, unset_to_null
 from ..functions.text import trimmed
-from .rows import newest, only, recent, top
+from .rows import catalog_keys, newest, only, recent, top
 
 
 def commit_rows(commitlog: DataFrame) -> DataFrame:
@@ -56,10 +59,10 @@ def object_names(classes: DataFrame, ns: DataFrame, fleet=("cluster_id",)) -> Da
     return classes.join(n, [*fleet, "relnamespace"]).select(*fleet, "oid", "schema_name", trimmed("relname").alias("object_name"), "relowner", "relkind")
 
 
-def conflicts(conflictlog: DataFrame, classes: DataFrame, ns: DataFrame) -> DataFrame:
+def conflicts(conflictlog: DataFrame, classes: DataFrame, ns: DataFrame, *, fleet: Sequence[str] = ()) -> DataFrame:
     """Serialization conflicts with the names of the tables they arose on."""
-    names = object_names(classes, ns).select(F.col("oid").alias("table_id"), "schema_name", "object_name")
-    return conflictlog.join(names, "table_id").select("schema_name", "object_name", "xact_id", "process_id", "xact_start_ts", "abort_time")
+    names = object_names(classes, ns, catalog_keys(fleet, classes, ns)).select(*fleet, F.col("oid").alias("table_id"), "schema_name", "object_name")
+    return conflictlog.join(names, [*fleet, "table_id"]).select(*fleet, "schema_name", "object_name", "xact_id", "process_id", "xact_start_ts", "abort_time")
 
 
 def conflict_timeline(statementtext: DataFrame, conflictlog: DataFrame | None = None, *, xids=None) -> DataFrame:
@@ -71,12 +74,12 @@ def conflict_timeline(statementtext: DataFrame, conflictlog: DataFrame | None =
     return rows.join(conflictlog.select(F.col("xact_id").alias("xid")), "xid", "left_semi")
 
 
-def locks_held(locks: DataFrame, classes: DataFrame, ns: DataFrame, activity: DataFrame) -> DataFrame:
+def locks_held(locks: DataFrame, classes: DataFrame, ns: DataFrame, activity: DataFrame, *, fleet: Sequence[str] = ()) -> DataFrame:
     """Locks with the locked object and the user of the locking process."""
-    names = object_names(classes, ns).select(F.col("oid").alias("relation"), "schema_name", "object_name")
-    users = activity.select(F.col("procpid").alias("pid"), "usename")
-    return locks.join(names, "relation").join(users, "pid").select(
-        "schema_name", "object_name", "database", "transaction", "pid", "usename", "mode", "granted")
+    names = object_names(classes, ns, catalog_keys(fleet, classes, ns)).select(*fleet, F.col("oid").alias("relation"), "schema_name", "object_name")
+    users = activity.select(*fleet, F.col("procpid").alias("pid"), "usename")
+    return locks.join(names, [*fleet, "relation"]).join(users, [*fleet, "pid"]).select(
+        *fleet, "schema_name", "object_name", "database", "transaction", "pid", "usename", "mode", "granted")
 
 
 def _seconds_until(as_of, ts, per: float = 1.0) -> Column:
@@ -84,7 +87,7 @@ def _seconds_until(as_of, ts, per: float = 1.0) -> Column:
 
 
 def blocking_locks(locks: DataFrame, txns: DataFrame, classes: DataFrame, ns: DataFrame, db: DataFrame, recents: DataFrame, *,
-                   as_of) -> DataFrame:
+                   as_of, fleet: Sequence[str] = ()) -> DataFrame:
     """Locks with how long they are held or waited for and, for granted ones, whom they block.
 
     Inputs are reduced to a snapshot first: each process's newest transaction per relation, and one
@@ -92,53 +95,56 @@ def blocking_locks(locks: DataFrame, txns: DataFrame, classes: DataFrame, ns: Da
     a list of waiters holds each process of the server once at most.
     """
     t = newest(txns.where("lockable_object_type is not null").select(
-        "pid", "relation", "xid", F.col("txn_owner").alias("user_name"), F.col("lockable_object_type").alias("obj_type"), "txn_start"),
-        ["pid", "relation"], "txn_start")
-    held = locks.select("pid", "relation", "database", "mode", "granted").distinct()
-    names = object_names(classes, ns).select(F.col("oid").alias("relation"), "schema_name", "object_name")
-    d = db.select(F.col("oid").alias("database"), trimmed("datname").alias("db_name"))
-    r = newest(recents.select("pid", "starttime"), ["pid"], "starttime")
+        *fleet, "pid", "relation", "xid", F.col("txn_owner").alias("user_name"), F.col("lockable_object_type").alias("obj_type"), "txn_start"),
+        [*fleet, "pid", "relation"], "txn_start")
+    held = locks.select(*fleet, "pid", "relation", "database", "mode", "granted").distinct()
+    names = object_names(classes, ns, catalog_keys(fleet, classes, ns)).select(*fleet, F.col("oid").alias("relation"), "schema_name", "object_name")
+    d = db.select(*fleet, F.col("oid").alias("database"), trimmed("datname").alias("db_name"))
+    r = newest(recents.select(*fleet, "pid", "starttime"), [*fleet, "pid"], "starttime")
     waits = F.when(~F.col("granted"), _seconds_until(as_of, "starttime"))
-    snap = (held.join(t, ["pid", "relation"]).join(names, "relation", "left").join(d, "database", "left").join(r, "pid", "left")
+    snap = (held.join(t, [*fleet, "pid", "relation"]).join(names, [*fleet, "relation"], "left").join(d, [*fleet, "database"], "left")
+            .join(r, [*fleet, "pid"], "left")
             .withColumn("waiting_s", waits))
-    waiting = snap.where("not granted").groupBy("relation", F.col("mode").alias("waiting_mode")).agg(
+    waiting = snap.where("not granted").groupBy(*fleet, "relation", F.col("mode").alias("waiting_mode")).agg(
         F.expr("listagg(cast(pid as string), ',') within group (order by pid)").alias("pid_list"),
         F.max("waiting_s").alias("max_blocked_s"), F.count("*").alias("n_blocked"))
     blocks = (F.col("mode").like("%Exclusive%")
               | (F.col("mode").like("%Share%") & F.col("waiting_mode").like("%ExclusiveLock") & ~F.col("waiting_mode").like("%Share%")))
-    j = snap.alias("l").join(waiting.alias("b"), (F.col("l.relation") == F.col("b.relation")) & F.col("granted") & blocks, "left")
+    j = snap.alias("l").join(waiting.alias("b"), reduce(
+        lambda a, c: a & (F.col(f"l.{c}") == F.col(f"b.{c}")), [*fleet, "relation"], F.col("granted") & blocks), "left")
     held_for = lambda per: F.when(F.col("granted"), _seconds_until(as_of, "txn_start", per))
-    return j.select("xid", "pid", "user_name", "db_name", F.col("l.relation").alias("relation"), "schema_name", "object_name", "mode",
+    return j.select(*[F.col(f"l.{c}").alias(c) for c in fleet], "xid", "pid", "user_name", "db_name", F.col("l.relation").alias("relation"), "schema_name", "object_name", "mode",
                     "granted", "obj_type", "txn_start", held_for(1.0).alias("held_s"), held_for(60.0).alias("held_min"),
                     held_for(3600.0).alias("held_h"), "waiting_s", "max_blocked_s", "n_blocked", "pid_list")
 
 
-def blocked_by(locks: DataFrame, activity: DataFrame, *, as_of) -> DataFrame:
+def blocked_by(locks: DataFrame, activity: DataFrame, *, as_of, fleet: Sequence[str] = ()) -> DataFrame:
     """Each waiting lock with the number of processes blocking it and the one blocking longest.
 
     One row per waiting lock: listing every waiting and blocking pair grows with the square of a
     busy relation's locks, and ``blocking_locks`` already names everyone behind each holder.
     """
-    a = newest(activity.select("procpid", "usename", "current_query", "query_start"), ["procpid"], "query_start").select(
-        F.col("procpid").alias("pid"), F.col("usename").alias("user_name"), F.col("current_query").alias("statement"), "query_start")
+    f = list(fleet)
+    a = newest(activity.select(*f, "procpid", "usename", "current_query", "query_start"), [*f, "procpid"], "query_start").select(
+        *f, F.col("procpid").alias("pid"), F.col("usename").alias("user_name"), F.col("current_query").alias("statement"), "query_start")
     exclusive = F.col("mode").like("%Exclusive%")
     # a holder of an exclusive kind blocks every waiter, a sharing holder only exclusive waiters
-    holders = locks.where("granted").groupBy("relation", "pid").agg(
-        F.max(exclusive).alias("blocks_all"), F.max(exclusive | F.col("mode").like("%Share%")).alias("blocks_exclusive")).join(a, "pid", "left")
-    kinds = holders.select("relation", "pid", F.struct("query_start", "pid", "user_name", "statement").alias("who"), F.explode(F.filter(F.array(
+    holders = locks.where("granted").groupBy(*f, "relation", "pid").agg(
+        F.max(exclusive).alias("blocks_all"), F.max(exclusive | F.col("mode").like("%Share%")).alias("blocks_exclusive")).join(a, [*f, "pid"], "left")
+    kinds = holders.select(*f, "relation", "pid", F.struct("query_start", "pid", "user_name", "statement").alias("who"), F.explode(F.filter(F.array(
         F.when(F.col("blocks_all"), F.lit("all")), F.when(F.col("blocks_exclusive"), F.lit("exclusive"))), lambda k: k.isNotNull())).alias("kind"))
-    n = kinds.groupBy("relation", "kind").agg(F.count("*").alias("n_holders"))
+    n = kinds.groupBy(*f, "relation", "kind").agg(F.count("*").alias("n_holders"))
     # the two longest holders suffice: a waiter may be one of them itself
-    first = W.partitionBy("relation", "kind").orderBy(F.asc_nulls_last("who.query_start"), "who.pid")
-    longest = kinds.withColumn("place", F.row_number().over(first)).where("place <= 2").groupBy("relation", "kind").agg(
+    first = W.partitionBy(*f, "relation", "kind").orderBy(F.asc_nulls_last("who.query_start"), "who.pid")
+    longest = kinds.withColumn("place", F.row_number().over(first)).where("place <= 2").groupBy(*f, "relation", "kind").agg(
         F.max(F.when(F.col("place") == 1, F.col("who"))).alias("first"), F.max(F.when(F.col("place") == 2, F.col("who"))).alias("second"))
-    own = kinds.select("relation", "kind", "pid", F.lit(1).alias("self"))
+    own = kinds.select(*f, "relation", "kind", "pid", F.lit(1).alias("self"))
     kind = F.when(F.col("mode").like("%ExclusiveLock") & ~F.col("mode").like("%Share%"), "exclusive").otherwise("all")
-    waiting = locks.where("not granted").select("relation", "pid", "mode", kind.alias("kind")).distinct().join(
-        a.withColumnsRenamed({"user_name": "blocked_user", "statement": "blocked_statement", "query_start": "blocked_start"}), "pid", "left")
-    j = (waiting.join(n, ["relation", "kind"], "left").join(longest, ["relation", "kind"], "left").join(own, ["relation", "kind", "pid"], "left")
+    waiting = locks.where("not granted").select(*f, "relation", "pid", "mode", kind.alias("kind")).distinct().join(
+        a.withColumnsRenamed({"user_name": "blocked_user", "statement": "blocked_statement", "query_start": "blocked_start"}), [*f, "pid"], "left")
+    j = (waiting.join(n, [*f, "relation", "kind"], "left").join(longest, [*f, "relation", "kind"], "left").join(own, [*f, "relation", "kind", "pid"], "left")
          .withColumn("by", F.when(F.col("first.pid") == F.col("pid"), F.col("second")).otherwise(F.col("first"))))
-    return j.select("relation", F.col("pid").alias("blocked_pid"), F.col("mode").alias("blocked_mode"), "blocked_user", "blocked_statement",
+    return j.select(*f, "relation", F.col("pid").alias("blocked_pid"), F.col("mode").alias("blocked_mode"), "blocked_user", "blocked_statement",
                     _seconds_until(as_of, "blocked_start").alias("blocked_s"),
                     (F.coalesce("n_holders", F.lit(0)) - F.coalesce("self", F.lit(0))).alias("n_blocking"),
                     F.col("by.pid").alias("blocking_pid"), F.col("by.user_name").alias("blocking_user"), F.col("by.statement").alias("blocking_statement"),
