@@ -72,6 +72,17 @@ add("s07_rejected_values", lambda i: _rejects(i)[1].drop("file_name"), """
 add("s08_parallel_export", lambda i: delimited.export_delimited(i.lineitem, _path(i, "export"), gzip=True))
 
 
+
+def _read_back(i):
+    """The rows of the files that the export's own manifest lists."""
+    path = _path(i, "back")
+    urls = [r.url for r in delimited.export_delimited(i.lineitem.select("l_orderkey", "l_linenumber", "l_quantity"), path, gzip=True).collect()]
+    return delimited.read_delimited(i.spark, urls, "l_orderkey bigint, l_linenumber int, l_quantity double", sep="|")
+
+
+add("s08_export_read_back", _read_back, "select l_orderkey, l_linenumber, l_quantity from lineitem")
+
+
 def _ordered(i):
     path = _path(i, "ordered")
     delimited.export_delimited(i.orders, path, order_by=["o_orderkey"], max_rows_per_file=4000)

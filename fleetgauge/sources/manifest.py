@@ -20,19 +20,26 @@ def manifest_entries(spark: SparkSession, path: str) -> DataFrame:
         "url", F.coalesce("mandatory", F.lit(False)).alias("mandatory"))
 
 
-def _exists(spark: SparkSession, url: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(url)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+def _listing(spark: SparkSession, folder: str) -> set[str]:
+    """Names of the files in a folder; none if there is no such folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return {s.getPath().getName() for s in system.listStatus(path)} if system.exists(path) else set()
 
 
 def load_manifest(spark: SparkSession, path: str, read: Callable[[list[str]], DataFrame]) -> DataFrame:
     """Read exactly the files a manifest lists with ``read``.
 
     The list of names is what any multi-file read hands to Spark; the files stay on the executors.
-    Spark checks the mandatory ones itself; only optional entries are looked up first.
+    Spark checks the mandatory ones itself; optional entries are compared with one listing of each folder
+    that has any, and only those that exist reach the driver.
     """
-    entries = manifest_entries(spark, path).distinct().toLocalIterator()
-    wanted = [e.url for e in entries if e.mandatory or _exists(spark, e.url)]
+    entries = manifest_entries(spark, path).groupBy("url").agg(F.max("mandatory").alias("mandatory"))
+    optional = entries.where("not mandatory").select("url", F.regexp_extract("url", "^(.*)/[^/]*$", 1).alias("folder"),
+                                                     F.substring_index("url", "/", -1).alias("name"))
+    listed = [(r.folder, n) for r in optional.select("folder").distinct().toLocalIterator() for n in _listing(spark, r.folder)]
+    there = optional.join(spark.createDataFrame(listed, "folder string, name string"), ["folder", "name"], "left_semi")
+    wanted = [r.url for r in entries.where("mandatory").select("url").union(there.select("url")).toLocalIterator()]
     try:
         return read(sorted(wanted))
     except AnalysisException as e:

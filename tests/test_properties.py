@@ -60,7 +60,7 @@ def test_no_query_pairs_everything_with_everything(spark):
 def test_time_bound_reaches_the_file_scan(spark):
     from fleetgauge.sources.scan import time_bounded_scan
     plan = time_bounded_scan(spark, f"{DATA}/events.parquet", "ts", as_of="2024-02-01", lookback_days=7, columns=["event_id", "ts"])._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in plan and "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz>" in plan
+    assert "PushedFilters: [IsNotNull(ts), LessThanOrEqual(ts" in plan and "GreaterThanOrEqual(ts" in plan and "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz>" in plan
 
 
 def test_window_needs_a_reference_time_and_ends_there(spark):
@@ -74,7 +74,9 @@ def test_window_needs_a_reference_time_and_ends_there(spark):
 def test_horizon_reaches_the_file_scan(spark, inputs, tmp_path):
     inputs.queuelog.write.parquet(str(tmp_path / "q"))
     log = spark.read.parquet(str(tmp_path / "q"))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     plan = queue.concurrency_peak(log, inputs.classcfg, as_of="2024-01-20 00:00:00")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert "LessThanOrEqual(service_class_start_time" in plan and "GreaterThan(service_class_end_time" in plan
 
 
