@@ -23,26 +23,43 @@ def _run_seconds() -> Column:
     return boundary_diff("second", "starttime", "endtime").cast("double")
 
 
+def _with_text(sums: DataFrame, statements: DataFrame, limit: int | None) -> DataFrame:
+    """The groups (the heaviest ones, with a limit) with the text of their sample statement.
+
+    Texts are joined last: no aggregate and no sort carries them, and a limited report joins a few rows.
+    """
+    best = (F.desc("total_s"), F.asc("last_query"))
+    texts = statements.select(F.col("query").alias("last_query"), F.col("__text").alias("querytxt")).where("last_query is not null")
+    out = top(sums, limit, *best).join(texts, "last_query").dropDuplicates([c for c in sums.columns])
+    return out if limit is None else out.orderBy(*best)
+
+
 def top_queries(querylog: DataFrame, alertlog: DataFrame, *, as_of=None, lookback: float | None = None,
-                limit: int | None = None, fan_out: bool = False) -> DataFrame:
+                limit: int | None = None, fan_out: bool = False, by_event: bool = False) -> DataFrame:
     """Heaviest statements by database, label, text fingerprint and outcome, with their alerts.
 
-    ``fan_out=True`` counts a statement once per alert kind it raised, as joining the alerts does.
+    ``fan_out=True`` counts a statement once per alert kind it raised, as joining the alerts does;
+    ``by_event=True`` also reports each kind in a row of its own (``event``; null for statements without alerts).
     """
-    kinds = recent(alertlog, "event_time", as_of, lookback).groupBy("query").agg(
-        F.collect_set(alert_label(alert_kind("event"))).alias("kinds"))
-    q = user_rows(recent(querylog, "starttime", as_of, lookback)).withColumn("secs", _run_seconds())
-    weight = F.greatest(F.coalesce(F.size("kinds"), F.lit(1)), F.lit(1)) if fan_out else F.lit(1)
-    text = trimmed("querytxt")
-    # distinct kind lists per group are few, so the set stays small however many statements it has
-    events = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("kinds")))), ", ")
-    out = q.join(kinds, "query", "left").withColumn("w", weight).groupBy(
-        trimmed("database").alias("db"), "label", F.md5(text).alias("fingerprint"), "aborted").agg(
-        F.sum("w").cast("long").alias("n"), F.max(text).alias("querytxt"), F.min("secs").alias("min_s"), F.max("secs").alias("max_s"),
+    kind = recent(alertlog, "event_time", as_of, lookback).select("query", alert_label(alert_kind("event")).alias("event")).distinct()
+    q = user_rows(recent(querylog, "starttime", as_of, lookback)).withColumn("secs", _run_seconds()).withColumn("__text", trimmed("querytxt"))
+    facts = q.select("query", trimmed("database").alias("db"), "label", F.md5("__text").alias("fingerprint"), "aborted", "secs", "starttime")
+    keys = ["db", "label", "fingerprint", "aborted"]
+    if by_event:
+        facts, weight, extra = facts.join(kind, "query", "left"), F.lit(1), []
+        keys = [*keys, "event"]
+    else:
+        kinds = kind.groupBy("query").agg(F.collect_set("event").alias("kinds"))
+        facts = facts.join(kinds, "query", "left")
+        weight = F.greatest(F.coalesce(F.size("kinds"), F.lit(1)), F.lit(1)) if fan_out else F.lit(1)
+        # distinct kind lists per group are few, so the set stays small however many statements it has
+        extra = [F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("kinds")))), ", ").alias("events")]
+    sums = facts.withColumn("w", weight).groupBy(*keys).agg(
+        F.sum("w").cast("long").alias("n"), F.min("secs").alias("min_s"), F.max("secs").alias("max_s"),
         rounded(F.sum(F.col("secs") * F.col("w")) / F.sum("w"), 4).alias("avg_s"),
         F.sum(F.col("secs") * F.col("w")).alias("total_s"), F.max("query").alias("last_query"),
-        day_of(F.max("starttime")).alias("last_run"), events.alias("events"))
-    return top(out, limit, F.desc("total_s"), F.asc("last_query"))
+        day_of(F.max("starttime")).alias("last_run"), *extra)
+    return _with_text(sums, q, limit)
 
 
 def top_queries_resources(querylog: DataFrame, metrics: DataFrame, alertlog: DataFrame, utilitytext: DataFrame, *,
@@ -51,17 +68,17 @@ def top_queries_resources(querylog: DataFrame, metrics: DataFrame, alertlog: Dat
     m = metrics.select("userid", "query", "service_class", "query_cpu_time", "query_cpu_usage_percent",
                        "query_temp_blocks_to_disk", "query_blocks_read", "return_row_count")
     q = user_rows(recent(querylog, "starttime", as_of, lookback))
-    text = F.coalesce("cursor_text", trimmed("querytxt"))
-    out = (q.join(m, ["userid", "query"], "left").join(alert_mask(alertlog, as_of=as_of, lookback=lookback), "query", "left")
-           .join(cursor_text(utilitytext), "xid", "left").withColumn("secs", _run_seconds())
-           .groupBy(trimmed("database").alias("db"), "userid", F.md5(text).alias("fingerprint"), "aborted", "mask").agg(
-               F.count("query").alias("n"), F.max(text).alias("querytxt"), F.max("secs").alias("max_s"), mean("secs").alias("avg_s"),
+    q = q.join(cursor_text(utilitytext), "xid", "left").withColumn("__text", F.coalesce("cursor_text", trimmed("querytxt")))
+    facts = q.select("userid", "query", "starttime", "aborted", trimmed("database").alias("db"), F.md5("__text").alias("fingerprint"), _run_seconds().alias("secs"))
+    out = (facts.join(m, ["userid", "query"], "left").join(alert_mask(alertlog, as_of=as_of, lookback=lookback), "query", "left")
+           .groupBy("db", "userid", "fingerprint", "aborted", "mask").agg(
+               F.count("query").alias("n"), F.max("secs").alias("max_s"), mean("secs").alias("avg_s"),
                F.sum("secs").alias("total_s"), F.max("service_class").alias("class"), mean("query_cpu_time").alias("avg_cpu"),
                mean("query_cpu_usage_percent").alias("avg_cpu_pct"), mean("query_temp_blocks_to_disk").alias("avg_spill"),
                mean("query_blocks_read").alias("avg_mb_read"), mean("return_row_count").alias("avg_rows_ret"),
                F.max("query").alias("last_query"), day_of(F.max("starttime")).alias("last_run"))
            .withColumn("alert", alert_text("mask")).drop("mask"))
-    return top(out, limit, F.desc("total_s"), F.asc("last_query"))
+    return _with_text(out, q, limit)
 
 
 def query_type_summary(querylog: DataFrame) -> DataFrame:
