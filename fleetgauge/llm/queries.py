@@ -99,6 +99,24 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
 
+CHECKS["op9_quality"] = r"""
+    with docs as (select row_number() over () as rid, doc_id, coalesce(text, '') as text,
+                         [w for w in string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') if w <> ''] as words,
+                         [x for x in string_split(coalesce(text, ''), chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] as lines from documents),
+    tokens as (select rid, unnest(words) as a, generate_subscripts(words, 1) as i from docs),
+    windows as (select rid, i, a, lead(a, 1) over along as b, lead(a, 2) over along as c from tokens window along as (partition by rid order by i)),
+    repeated as (select rid, i, count(*) over (partition by rid, a, b, c) as times from windows where c is not null),
+    covered as (select rid, count(distinct p) as n from (select rid, unnest([i, i + 1, i + 2]) as p from repeated where times > 1) group by rid),
+    counts as (select doc_id, len(words) as n_words, length(array_to_string(words, '')) as word_chars,
+                      length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols, len(lines) - len(list_distinct(lines)) as n_dup_lines,
+                      coalesce(n, 0) as n_repeat_words, len(lines) as n_lines, length(regexp_replace(text, '[^!]', '', 'g')) as n_shouts
+               from docs left join covered using (rid)),
+    failed as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from counts)
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           not (base_failed or 100 * n_symbols > 10 * n_words or 2 * n_dup_lines > n_lines or word_chars < 2 * n_words
+                or word_chars > 12 * n_words or 100 * n_shouts > 50 * n_words) as kept from failed"""
+
+
 @query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = token_pieces(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1, capacity=4096)
