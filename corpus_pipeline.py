@@ -14,32 +14,31 @@ from fleetgauge.llm.packing import pack, token_pieces
 from fleetgauge.llm.quality import keep_good
 from fleetgauge.llm.queries import tokenizer_file
 from fleetgauge.llm.simhash import drop_near_duplicates
-from fleetgauge.llm.storage import stored, table
-from fleetgauge.session import configure
+from fleetgauge.llm.storage import session, stored, table
 
 CAPACITY, END_ID = 4096, 1
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
-    configure(spark)
+    session(spark)
     return keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates (3-word shingles, 2 bits)."""
-    configure(spark)
+    session(spark)
     return drop_near_duplicates(docs, shingle=3, max_bits=2)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return drop_contaminated(docs, table(configure(spark), sf_dir, "benchmark"))
+    return drop_contaminated(docs, table(session(spark), sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
-    configure(spark)
+    session(spark)
     return pack(token_pieces(docs, tokenizer_file("word_bpe_49k.json"), END_ID, CAPACITY), CAPACITY)
 
 
@@ -51,7 +50,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pipeline over ``documents``."""
-    docs = table(configure(spark), sf_dir, "documents")
+    docs = table(session(spark), sf_dir, "documents")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

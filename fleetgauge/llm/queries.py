@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import configure, shared_dir
+from ..session import shared_dir
 from .decontaminate import contaminated
 from .html_text import extract_text
 from .packing import pack, token_pieces
@@ -15,7 +15,7 @@ from .quality import quality_report
 from .scoring import score_documents
 from .sharding import shard_documents
 from .simhash import near_duplicates
-from .storage import table
+from .storage import session, table
 from .token_counts import count_tokens
 from .token_files import token_index, write_token_files
 from .url_rules import judge_urls
@@ -35,7 +35,7 @@ def tokenizer_file(name: str) -> str:
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(configure(spark), sf_dir)
+        return fn(session(spark), sf_dir)
 
     QUERIES[fn.__name__] = run
     return fn
