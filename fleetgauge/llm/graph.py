@@ -15,18 +15,18 @@ def components(edges: DataFrame) -> DataFrame:
     only reduced to their minimum, never gathered. No edges give no rows; loops and repeats are harmless.
     """
     edges = stored(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = None
+    parts, state = 1 + edges.count() // 200_000, None       # few edges need few files; stars have no more edges than the graph
     while True:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         # larger neighbours go to the smallest one
         large = both.where("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        large = stored(large, "large")
+        large = stored(large.coalesce(parts), "large")
         # smaller neighbours (and the node) go to the smallest one; here a > b always
         floor = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (large.join(floor, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
                  .union(floor.select("a", F.col("m").alias("b"))).distinct())
-        edges = stored(small, "small")
+        edges = stored(small.coalesce(parts), "small")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break
