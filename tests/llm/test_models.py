@@ -54,6 +54,20 @@ def test_paraphrase_is_found_and_clean_text_is_not(spark):
     assert decontaminate.contaminated(docs, bench.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("holders, others", [(2, 1), (40, 40), (60, 0)])
+def test_an_item_is_found_however_many_documents_hold_it(spark, holders, others):
+    rng = np.random.default_rng(8)
+    word = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 3000, n))
+    bench = {1: "what is the name of the river that runs through the old town of verona in the north of italy",
+             2: "short one", 3: word(30), 4: "nobody holds this " + word(20)}
+    held = [f"{word(53 + i)} {bench[1]} {word(21)} {bench[2]} {bench[3]} {word(40)}" for i in range(holders)]
+    texts = held + [word(200) for _ in range(others)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = decontaminate.contaminated(docs, spark.createDataFrame(list(bench.items()), "item_id bigint, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(d, i) for d in range(holders) for i in (1, 2, 3)]
+    assert all(r["subsequence"] == 1 for r in found)
+
+
 def test_randomised_svd_is_close_to_the_exact_one(spark):
     rng = np.random.default_rng(1)
     dense = rng.standard_normal((60, 6)) @ rng.standard_normal((6, 25)) + 0.01 * rng.standard_normal((60, 25))
