@@ -68,6 +68,20 @@ def test_an_item_is_found_however_many_documents_hold_it(spark, holders, others)
     assert all(r["subsequence"] == 1 for r in found)
 
 
+def test_a_long_item_is_found_whole_and_paraphrased(spark):
+    rng = np.random.default_rng(9)
+    word = lambda n: [f"w{k}" for k in rng.integers(0, 20000, n)]
+    item = [f"v{k}" for k in rng.permutation(1500)]               # every word once, all weigh alike
+    changed = [w if i % 6 else "other" for i, w in enumerate(item)]        # no run of eight words is left
+    rows = [(1, word(100) + item + word(50)), (2, word(300) + changed + word(30)), (3, item[:700] + word(800))]
+    rows += [(4, rng.permutation(item[::6]).tolist())] + [(i, word(300)) for i in range(5, 30)]     # in 4: as frequent as the words that stay
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in rows], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(word(40)))], "item_id bigint, text string")
+    for block in (200, 10):
+        found = decontaminate.contaminated(docs, bench, block=block).collect()
+        assert {(r["doc_id"], r["item_id"]): round(r["subsequence"], 4) for r in found} == {(1, 1): 1.0, (2, 1): round(1250 / 1500, 4)}
+
+
 def test_randomised_svd_is_close_to_the_exact_one(spark):
     rng = np.random.default_rng(1)
     dense = rng.standard_normal((60, 6)) @ rng.standard_normal((6, 25)) + 0.01 * rng.standard_normal((60, 25))
