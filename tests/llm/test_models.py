@@ -172,3 +172,24 @@ def test_pipeline(spark):
     used, bound = check_packing(stages["packing"](spark, frame, SF).collect(), frame, 4096)
     assert bound <= used <= bound + 1
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()} == kept
+
+
+def test_rows_without_an_id_or_with_the_same_id_are_kept_apart(spark):
+    rng = np.random.default_rng(4)
+    text = [" ".join(f"w{k}" for k in rng.integers(0, 5000, 80)) for _ in range(7)]
+    item = " ".join(f"v{k}" for k in range(30))
+    rows = [(None, text[0]), (None, text[1]), (None, text[1]), (5, text[2]), (5, text[3]), (7, text[4]), (8, text[4]), (8, text[5]), (4, text[3])]
+    docs = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id bigint, text string, place int")
+    got = Counter((r["doc_id"], r["text"]) for r in simhash_rows(docs))
+    assert got == Counter([(None, text[0]), (None, text[1]), (5, text[2]), (4, text[3]), (7, text[4]), (8, text[5])])
+    rows = [(None, text[0]), (None, f"{text[1]} {item}"), (5, text[2]), (5, f"{item} {text[3]}"), (6, text[4])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = decontaminate.drop_contaminated(docs, spark.createDataFrame([(1, item)], "item_id bigint, text string"))
+    assert Counter(map(tuple, kept.collect())) == Counter([rows[0], rows[2], rows[4]])
+
+
+def simhash_rows(docs):
+    from fleetgauge.llm.simhash import drop_near_duplicates
+    kept = drop_near_duplicates(docs, 3, 2)
+    assert kept.columns == docs.columns
+    return kept.collect()
