@@ -43,12 +43,12 @@ def url_tokens(url: Column) -> Column:
         part("fragment:", F.array(fragment)), part("scheme:", F.array(F.lower(scheme))))))
 
 
-def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float, max_tokens: int = 4) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
     """Token combinations that imply a blocked label, from ``labelled`` (url, blocked): antecedent, confidence,
     support, anchor (the antecedent's rarest token).
 
-    A rule with a part of its tokens that is as confident is pruned, and so are rules of more than ``max_tokens``
-    tokens. Null labels are left out. No labels give no rules.
+    A rule with a part of its tokens that is as confident is pruned; rules have any number of tokens. Null labels
+    are left out. No labels give no rules.
     """
     spark = labelled.sparkSession
     baskets = labelled.where(F.col("blocked").isNotNull()).select(
@@ -57,24 +57,35 @@ def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float, m
     if baskets.isEmpty():
         return spark.createDataFrame([], _RULES)
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where((F.col("consequent")[0] == _BAD) & (F.size("antecedent") <= max_tokens))
-    rules = stored(rules.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support"), "rules")
-    # a rule's sub-rules each lack some of its tokens; at most 2**max_tokens of them are looked up
-    subsets = rules.withColumn("part", F.explode(_proper_subsets(F.col("antecedent"), max_tokens)))
-    weaker = subsets.join(rules.select(F.col("antecedent").alias("part"), F.col("confidence").alias("other")), "part").where(
-        "other >= confidence").select("antecedent").distinct()
-    kept = rules.join(weaker, "antecedent", "left_anti")
+    rules = model.associationRules.where(F.col("consequent")[0] == _BAD)
+    rules = rules.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
+    # every part of a rule is frequent together with the label, though not always a rule itself
+    sets = model.freqItemsets.where(F.array_contains("items", _BAD) & (F.size("items") > 1)).select(
+        F.array_sort(F.array_remove("items", _BAD)).alias("antecedent"))
+    sets = stored(sets.join(rules, "antecedent", "left").withColumn("n", F.size("antecedent")), "sets")
+    kept = _unpruned(sets)
     single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     rarest = kept.select("antecedent", F.explode("antecedent").alias("token")).join(single, "token").groupBy("antecedent").agg(
         F.min(F.struct("freq", "token")).getField("token").alias("anchor"))
     return stored(kept.join(rarest, "antecedent").select("antecedent", "confidence", "support", "anchor"), "mined")
 
 
-def _proper_subsets(tokens: Column, most: int) -> Column:
-    """All non-empty proper subsets of an array of up to ``most`` values, in the array's order."""
-    masks = F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size(tokens)) - 1)
-    masks = F.filter(masks, lambda m: F.bit_count(m) < F.size(tokens))
-    return F.transform(masks, lambda m: F.filter(tokens, lambda t, i: F.call_function("getbit", m, i) == 1))
+def _unpruned(sets: DataFrame) -> DataFrame:
+    """antecedent, confidence, support of the rules among ``sets`` (confidence null: no rule) without a part that is
+    as confident. Each level hands the best confidence within its sets to those of one token more."""
+    levels = sorted(r["n"] for r in sets.select("n").distinct().collect())
+    out, below = sets.where("false").select("antecedent", "confidence", "support"), None
+    for n in levels:
+        level = sets.where(F.col("n") == n).withColumn("other", F.lit(None).cast("double"))
+        if below is not None:
+            parts = level.select("antecedent", F.explode("antecedent").alias("token")).select(
+                "antecedent", F.array_remove("antecedent", F.col("token")).alias("part"))
+            best = parts.join(below, "part").groupBy("antecedent").agg(F.max("top").alias("other"))
+            level = level.drop("other").join(best, "antecedent", "left")
+        level = stored(level, "level")
+        out = out.union(level.where("confidence is not null and (other is null or other < confidence)").select("antecedent", "confidence", "support"))
+        below = level.select(F.col("antecedent").alias("part"), F.greatest("confidence", "other").alias("top"))
+    return out
 
 
 def matched_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:
