@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..session import shared_dir
 from .decontaminate import contaminated
 from .html_text import extract_text
+from .lexical_search import rank_documents
 from .packing import pack, token_pieces
 from .quality import quality_report
+from .rank_bpe import bpe_digests
 from .scoring import score_documents
 from .sharding import shard_documents
 from .simhash import near_duplicates
@@ -19,6 +21,7 @@ from .storage import session, table
 from .token_counts import count_tokens
 from .token_files import token_index, write_token_files
 from .url_rules import judge_urls
+from .whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -121,3 +124,35 @@ CHECKS["op9_quality"] = r"""
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = token_pieces(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1, capacity=4096)
     return pack(pieces, 4096)
+
+
+@query
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=50)
+
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+CHECKS["op11_lexical_search"] = f"""
+    with docs as (select row_number() over () as rid, doc_id, {_TERMS} as terms from documents),
+    items as (select row_number() over () as iid, item_id, {_TERMS} as terms from benchmark),
+    counted as (select *, len(terms) as n from docs where len(terms) > 0),
+    totals as (select cast(count(*) as bigint) as total_docs, cast(sum(n) as bigint) as total_terms from counted),
+    tfs as (select rid, term, count(*) as tf from (select rid, unnest(terms) as term from counted) group by rid, term),
+    weights as (select term, cast(floor(1000 * ln((2.0 * max(total_docs) + 2) / (2 * count(*) + 1))) as bigint) as w from tfs, totals group by term),
+    asked as (select distinct iid, term from (select iid, unnest(terms) as term from items)),
+    scores as (select iid, rid, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * total_docs) // total_terms)))) as bigint) as score
+               from asked join weights using (term) join tfs using (term) join counted using (rid), totals group by iid, rid),
+    ranked as (select iid, doc_id, score, cast(row_number() over (partition by iid order by score desc, doc_id nulls last) as int) as rank
+               from scores join docs using (rid) where score > 0)
+    select item_id, rank, doc_id, score from ranked join items using (iid) where rank <= 50"""
+
+
+@query
+def op12_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return bpe_digests(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), components=4)
