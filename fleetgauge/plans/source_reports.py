@@ -51,24 +51,37 @@ def _utf8(i):
 
 
 def _rejects(i):
+    """Events as lines that this code writes itself, in order: quoted fields, codes and days of the wrong type."""
     path = _path(i, "mixed")
     code = F.when(F.col("event_type") == "error", "n/a").otherwise(F.col("event_id").cast("string"))
-    day = F.when(F.col("event_type") == "click", "2024-13-01").otherwise(F.date_format("ts", "yyyy-MM-dd"))
-    delimited.export_delimited(i.events.select("event_id", code.alias("code"), day.alias("day"), "event_type"), path, sep="|")
+    day = F.when(F.col("event_type") == "click", '"2024|13|01"').otherwise(F.date_format("ts", "yyyy-MM-dd"))
+    line = F.concat_ws("|", "event_id", code, day, F.concat(F.lit('"'), "event_type", F.lit('"')))
+    i.events.repartitionByRange(8, "event_id").sortWithinPartitions("event_id").select(line).write.mode("overwrite").text(path)
     return delimited.read_with_rejects(i.spark, path, "event_id bigint, code int, day date, event_type string", sep="|")
 
 
+def _numbered(i):
+    """All events in one file: the rejects' line numbers are their places among all events."""
+    path = _path(i, "one-file")
+    i.events.select("event_id", F.when(F.col("event_type") == "error", "n/a").otherwise(F.col("user_id").cast("string"))).coalesce(1).sortWithinPartitions(
+        "event_id").write.mode("overwrite").option("compression", "gzip").option("header", True).option("quoteAll", True).csv(path)
+    return delimited.read_with_rejects(i.spark, path, "event_id bigint, code int", skip_header=True)[1].drop("file_name")
+
+
 add("s03_csv_load", _csv, "select * from orders")
 add("s04_manifest_load", _manifest, "select * from events")
 add("s05_json_path_load", _json, "select event_id, user_id, event_type as kind, cast(regexp_extract(props, '(\\d+)', 1) as int) as k, value as amount from events")
 add("s06_utf8_load", _utf8, "select doc_id, lang, text from documents")
 add("s07_accepted_rows", lambda i: _rejects(i)[0], """
     select event_id, cast(event_id as int) as code, cast(ts as date) as day, event_type from events where event_type not in ('error', 'click')""")
-add("s07_rejected_values", lambda i: _rejects(i)[1].drop("file_name"), """
+add("s07_rejected_values", lambda i: _rejects(i)[1].drop("file_name", "line_number"), """
     select 'code' as column_name, 'int' as column_type, 'n/a' as raw_value, 'Invalid digit' as reason,
-           event_id || '|n/a|' || strftime(ts, '%Y-%m-%d') || '|error' as raw_line from events where event_type = 'error'
+           event_id || '|n/a|' || strftime(ts, '%Y-%m-%d') || '|"error"' as raw_line from events where event_type = 'error'
     union all
-    select 'day', 'date', '2024-13-01', 'Invalid date', event_id || '|' || event_id || '|2024-13-01|click' from events where event_type = 'click'""")
+    select 'day', 'date', '2024|13|01', 'Invalid date', event_id || '|' || event_id || '|"2024|13|01"|"click"' from events where event_type = 'click'""")
+add("s07_reject_line_numbers", _numbered, """
+    select 1 + row_number() over (order by event_id) as line_number, 'code' as column_name, 'int' as column_type, 'n/a' as raw_value,
+           'Invalid digit' as reason, '"' || event_id || '","n/a"' as raw_line from events qualify event_type = 'error'""")
 add("s08_parallel_export", lambda i: delimited.export_delimited(i.lineitem, _path(i, "export"), gzip=True))
 
 

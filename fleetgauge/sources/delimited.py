@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from .lines import numbered, records, text_lines
+
 REASON = {T.TimestampNTZType: "Invalid timestamp", T.TimestampType: "Invalid timestamp", T.DateType: "Invalid date", T.BooleanType: "Invalid boolean"}
 
 
@@ -15,42 +18,70 @@ def _schema(schema) -> T.StructType:
 
 def read_delimited(spark: SparkSession, paths, schema, *, sep: str = ",", skip_header: bool = False, null_token: str = "",
                    timestamp_format: str = "yyyy-MM-dd HH:mm:ss[.SSSSSS]", encoding: str = "UTF-8", multi_line: bool = False) -> DataFrame:
-    """Typed read of delimited files, compressed or not; the schema is declared, never inferred."""
-    return (spark.read.schema(_schema(schema)).option("sep", sep).option("header", skip_header).option("nullValue", null_token)
-            .option("timestampNTZFormat", timestamp_format).option("timestampFormat", timestamp_format).option("encoding", encoding)
-            .option("escape", '"').option("multiLine", multi_line).csv(paths))
+    """Typed read of delimited files, compressed or not; the schema is declared, never inferred.
+
+    ``multi_line`` allows line breaks inside quoted fields; a big file is still read by many tasks (see ``lines.records``).
+    """
+    options = {"sep": sep, "nullValue": null_token, "timestampNTZFormat": timestamp_format, "timestampFormat": timestamp_format, "escape": '"'}
+    if multi_line:
+        found = records(spark, paths, skip_header=skip_header, encoding=encoding)
+        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in _schema(schema))
+        return found.select(F.from_csv(_unended("value"), ddl, options).alias("r")).select("r.*")
+    return spark.read.schema(_schema(schema)).options(**options).option("header", skip_header).option("encoding", encoding).csv(paths)
+
+
+def _unended(line: str) -> Column:
+    """A line without the carriage return that ends it in files of that convention."""
+    return F.regexp_replace(line, "\r$", "")
 
 
 def _cast(c: Column, dtype: T.DataType) -> Column:
     return c.try_cast(dtype)
 
 
-def read_with_rejects(spark: SparkSession, paths, schema, *, sep: str = ",", skip_header: bool = False, null_token: str = "") -> tuple[DataFrame, DataFrame]:
+def read_with_rejects(spark: SparkSession, paths, schema, *, sep: str = ",", skip_header: bool = False, null_token: str = "",
+                      multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
     """Rows whose every value has its declared type, and the values that have not.
 
-    Rejects name the file, the column, its declared type, the raw value, the reason and the whole
-    raw line. Both results are lazy reads of the files: nothing is dropped or collected.
+    Rejects name the file, the line (from 1, a header counts; of a record over several lines the first), the column, its
+    declared type, the raw value, the reason and the raw line as it stands in the file, quotes and all. Both results are lazy
+    reads of the files: nothing is dropped or collected. To number the rejects, of every line only its place is
+    shuffled; the texts of accepted lines stay where they are.
     """
     schema = _schema(schema)
-    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema] + [T.StructField("__raw", T.StringType())])
-    options = {"sep": sep, "header": str(skip_header).lower(), "nullValue": null_token, "escape": '"',
-               "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__raw"}
-    raw = spark.read.schema(text).options(**options).csv(paths).withColumn("__file", F.col("_metadata.file_name"))
-    bad = {f.name: F.col(f.name).isNotNull() & _cast(F.col(f.name), f.dataType).isNull() for f in schema}
-    any_bad = F.col("__raw").isNotNull()
-    for cond in bad.values():
-        any_bad = any_bad | cond
-    good = raw.where(~any_bad).select(*[_cast(F.col(f.name), f.dataType).alias(f.name) for f in schema])
-    line = F.concat_ws(sep, *[F.coalesce(F.col(f.name), F.lit(null_token)) for f in schema])
+    text = ", ".join(f"`{f.name}` string" for f in schema) + ", __raw string"
+    options = {"sep": sep, "nullValue": null_token, "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__raw"}
+    value = {f.name: F.col("__r")[f.name] for f in schema}
+    corrupt = F.col("__r")["__raw"].isNotNull()
+    bad = {f.name: value[f.name].isNotNull() & _cast(value[f.name], f.dataType).isNull() for f in schema}
     none = F.lit(None).cast("string")
-    reject = lambda name, kind, value, reason: F.struct(name.alias("column_name"), kind.alias("column_type"), value.alias("raw_value"), reason.alias("reason"))
-    found = [F.when(F.col("__raw").isNotNull(), reject(none, none, none, F.lit("Wrong number of fields")))]
+    reject = lambda name, kind, raw, reason: F.struct(name.alias("column_name"), kind.alias("column_type"), raw.alias("raw_value"), reason.alias("reason"))
+    found = [F.when(corrupt, reject(none, none, none, F.lit("Wrong number of fields")))]
     for f in schema:
         reason = REASON.get(type(f.dataType), "Invalid digit")
-        found.append(F.when(F.col("__raw").isNull() & bad[f.name], reject(F.lit(f.name), F.lit(f.dataType.simpleString()), F.col(f.name), F.lit(reason))))
-    rejects = raw.select("__file", F.coalesce("__raw", line).alias("__line"), F.inline(F.filter(F.array(*found), lambda r: r.isNotNull()))).select(
-        F.col("__file").alias("file_name"), "column_name", "column_type", "raw_value", "reason", F.col("__line").alias("raw_line"))
-    return good, rejects
+        found.append(F.when(~corrupt & bad[f.name], reject(F.lit(f.name), F.lit(f.dataType.simpleString()), value[f.name], F.lit(reason))))
+
+    def judged(lines: DataFrame) -> DataFrame:
+        parsed = lines.withColumn("__r", F.from_csv(_unended("value"), text, options))
+        return parsed.withColumn("__found", F.filter(F.array(*found), lambda r: r.isNotNull()))
+
+    if multi_line:
+        lines = rows = judged(records(spark, paths, skip_header=skip_header))
+    else:
+        lines = judged(text_lines(spark, paths))
+        blank = F.col("value").rlike("^[\\x00-\\x20]*$")      # the reader leaves such lines out
+        wanted = (F.size("__found") > 0) & ~blank
+        kept = lines.select("__file", "__block", "__place", F.when(wanted, F.col("value")).alias("value"), F.when(wanted, F.col("__found")).alias("__found"))
+        rows, lines = lines.where(~blank), numbered(kept)
+    lines = lines.where("size(__found) > 0" + (" and line_number > 1" if skip_header else ""))
+    rejects = lines.select(F.element_at(F.split("__file", "/"), -1).alias("file_name"), "line_number", F.inline("__found"), F.col("value").alias("raw_line"))
+    if skip_header and not multi_line:                      # the reader knows where files begin
+        names = T.StructType([T.StructField(f.name, T.StringType()) for f in schema] + [T.StructField("__raw", T.StringType())])
+        rows = spark.read.schema(names).options(**options).option("header", True).csv(paths).select(F.struct("*").alias("__r"))
+        rows = rows.where(~reduce(lambda a, b: a | b, [corrupt, *bad.values()]))
+    else:
+        rows = rows.where("size(__found) = 0")
+    return rows.select(*[_cast(value[f.name], f.dataType).alias(f.name) for f in schema]), rejects
 
 
 def export_delimited(df: DataFrame, path: str, *, sep: str = "|", gzip: bool = False, header: bool = False, null_token: str = "",

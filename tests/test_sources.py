@@ -1,12 +1,15 @@
 """File loads and exports on small files."""
 
 import datetime as dt
+import gzip
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from fleetgauge.session import shared_dir
 from fleetgauge.sources import delimited, jsonpath, manifest, scan, tables
+from fleetgauge.sources.lines import records as spark_records, text_lines
 
 
 def write_lines(spark, path, lines):
@@ -32,9 +35,70 @@ def test_rejected_values_are_kept_with_reason(spark):
     write_lines(spark, path, ["1|2024-01-01|a", "x|2024-13-01|b", "2|2024-01-02", "3||c"])
     good, bad = delimited.read_with_rejects(spark, path, "id int, day date, name string", sep="|")
     assert sorted(r.id for r in good.collect()) == [1, 3]
-    got = sorted((r.column_name or "", r.raw_value or "", r.reason, r.raw_line) for r in bad.collect())
-    assert got == [("", "", "Wrong number of fields", "2|2024-01-02"), ("day", "2024-13-01", "Invalid date", "x|2024-13-01|b"),
-                   ("id", "x", "Invalid digit", "x|2024-13-01|b")]
+    got = sorted((r.line_number, r.column_name or "", r.raw_value or "", r.reason, r.raw_line) for r in bad.collect())
+    assert got == [(2, "day", "2024-13-01", "Invalid date", "x|2024-13-01|b"), (2, "id", "x", "Invalid digit", "x|2024-13-01|b"),
+                   (3, "", "", "Wrong number of fields", "2|2024-01-02")]
+
+
+@pytest.fixture
+def small_blocks(spark):
+    """Files are read in blocks of a few lines."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def awkward_lines(n):
+    kinds = {50: '{}|"x|y"|bad', 70: '"n""o"|2024-01-02|r{}', 90: "{}|2024-01-01", 110: ""}
+    return [next((t for every, t in kinds.items() if i % every == 0), '{}|2024-01-01|"a ""q"" b"').format(i) for i in range(1, n + 1)]
+
+
+@pytest.mark.parametrize("header", [False, True])
+def test_rejects_have_their_line_and_its_text(spark, small_blocks, tmp_path, header):
+    lines = (["id|day|name"] if header else []) + awkward_lines(600)
+    body = "\n".join(lines) + "\n"
+    (tmp_path / "a.csv").write_text(body)
+    (tmp_path / "crlf.csv").write_bytes(body.replace("\n", "\r\n").encode())
+    (tmp_path / "z.csv.gz").write_bytes(gzip.compress(body.encode()))
+    good, bad = delimited.read_with_rejects(spark, str(tmp_path), "id int, day date, name string", sep="|", skip_header=header)
+    got = {(r.file_name, r.line_number): r.raw_line for r in bad.collect()}
+    text = {(f, n): x + ("\r" if f == "crlf.csv" else "") for f in ("a.csv", "crlf.csv", "z.csv.gz") for n, x in enumerate(lines, 1)}
+    wrong = [k for k, x in text.items() if "bad" in x or "n\"\"o" in x or x.rstrip().endswith("2024-01-01")]
+    assert got == {k: text[k] for k in wrong}
+    assert good.count() == len([x for x in text.values() if x.strip()]) - len(wrong) - (3 if header else 0)
+    blocks = text_lines(spark, str(tmp_path)).groupBy("__file").agg(F.count_distinct("__block").alias("n")).collect()
+    assert sorted(r.n > 1 for r in blocks) == [False, True, True]      # only the compressed file is one block
+
+
+def test_rejects_read_each_file_once(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("1|x\n")
+    plan = delimited.read_with_rejects(spark, str(tmp_path), "id int, n int", sep="|")[1]
+    plan.collect()
+    text = plan._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in text
+
+
+def test_records_over_several_lines(spark, small_blocks, tmp_path):
+    """Equal to a reading by one task a file; line numbers are those of the first lines."""
+    fields = ["plain", "two\nlines", "", 'say "no"\n\n"yes"', "x" * 3000 + "\n" + "y" * 3000, 'a"b', "sep,inside", "\n", "tail\n" * 40, "ü\nß"]
+    rows = [(i, fields[i % len(fields)], i * 0.5) for i in range(400)]
+    quoted = lambda t: '"' + t.replace('"', '""') + '"'
+    records = [f"{i},{quoted(t) if t else ''},{v}" for i, t, v in rows]
+    for name in ("a.csv", "b.csv"):
+        (tmp_path / name).write_text("id,t,v\n" + "\n".join(records) + "\n")
+    schema = "id int, t string, v double"
+    got = delimited.read_delimited(spark, str(tmp_path), schema, skip_header=True, multi_line=True)
+    want = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(str(tmp_path))
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect())) and got.count() == 800
+    at, upto = {}, 2
+    for i, record in enumerate(records):
+        at[i], upto = upto, upto + 1 + record.count("\n")
+    starts = spark_records(spark, str(tmp_path), skip_header=True).select("line_number", F.split("value", ",")[0].cast("int").alias("id")).collect()
+    assert sorted((r.id, r.line_number) for r in starts) == sorted(2 * list(at.items()))
+    bad = delimited.read_with_rejects(spark, str(tmp_path), "id int, t string, v int", skip_header=True, multi_line=True)[1]
+    assert {(r.line_number, r.raw_line) for r in bad.collect()} == {(at[i], records[i]) for i in range(400)}
 
 
 def test_manifest_loads_exactly_the_listed_files(spark):
