@@ -29,6 +29,8 @@ SCHEMAS = {
     "pages": "page_id bigint, url string, html string",
     "conversations": "conv_id bigint, turn bigint, role string, text string",
 }
+#: Days of the catalog snapshots, by the letter that ends the binding's name.
+DAYS = {"a": "2024-01-01", "b": "2024-01-02", "c": "2024-01-04", "d": "2024-01-05"}
 _REF = re.compile(r"\$([a-z_]+)")
 
 
@@ -461,6 +463,14 @@ def definitions(d) -> dict[str, str]:
                case when {d.div('c_custkey', '50')} % 4 = 3 then 'Team ' else 'g' end || cast({d.div('c_custkey', '50')} as string) as groname,
                {d.sorted_list('c_custkey')} as grolist
         from $customer group by c_custkey % 5, {d.div('c_custkey', '50')}"""
+
+    # ---- the catalog on four days: tables come and go, gain columns, change encodings and rights
+    for k, x in enumerate(DAYS):
+        b[f"class_{x}"] = f"select * from $class where (oid + {k}) % 11 <> 0"
+        b[f"attrs_{x}"] = f"""
+            select cluster_id, attrelid, attnum, attname, format_type, attnotnull, atthasdef, attisdistkey, attsortkeyord,
+                   case when attrelid % 5 = 0 and {k} > 1 then 'zstd' else encoding end as encoding
+            from $attrs where attnum < 3 or attrelid % 3 <= {k}"""
     return b
 
 
