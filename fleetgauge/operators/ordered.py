@@ -149,20 +149,21 @@ def band_mean(value: Column, n: Column, upto: Column, total: Column, first: int,
     return F.try_divide(F.sum(value * overlap).cast("double"), F.sum(overlap).cast("double"))
 
 
-def covered(instants: DataFrame, ts: str, spans: DataFrame, start: str, end: str) -> DataFrame:
-    """Rows of ``instants`` whose ``ts`` lies in at least one closed span ``[start, end]``.
+def covered(instants: DataFrame, ts: str, spans: DataFrame, start: str, end: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows of ``instants`` whose ``ts`` lies in at least one closed span ``[start, end]`` of the same ``keys``.
 
     Sweeps span starts and ends along the time axis, in hourly chunks, instead of comparing every
     instant with every span.
     """
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    edges = spans.select(F.inline(F.array(
+    keys = list(keys)
+    edges = spans.select(*keys, F.inline(F.array(
         F.struct(us(start).alias("pos"), F.lit(1).alias("delta")),
         F.struct((us(end) + 1).alias("pos"), F.lit(-1).alias("delta")))))
     asked = instants.withColumn("__pos", us(ts))
-    marks = asked.select(F.col("__pos").alias("pos"), F.lit(0).alias("delta"))
-    net = edges.unionByName(marks).where("pos is not null").groupBy("pos").agg(F.sum("delta").alias("delta"))
+    marks = asked.select(*keys, F.col("__pos").alias("pos"), F.lit(0).alias("delta"))
+    net = edges.unionByName(marks).where("pos is not null").groupBy(*keys, "pos").agg(F.sum("delta").alias("delta"))
     hour = F.call_function("div", F.col("pos"), F.lit(3_600_000_000))
-    open_ = running_total(net.withColumn("__axis", F.lit(0)), ["__axis"], ["pos"], hour, {"level": "delta"})
-    inside = open_.where("level > 0").select(F.col("pos").alias("__pos"))
-    return asked.join(inside, "__pos", "left_semi").drop("__pos")
+    open_ = running_total(net.withColumn("__axis", F.lit(0)), [*keys, "__axis"], ["pos"], hour, {"level": "delta"})
+    inside = open_.where("level > 0").select(*keys, F.col("pos").alias("__pos"))
+    return asked.join(inside, [*keys, "__pos"], "left_semi").drop("__pos")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -12,8 +13,8 @@ from ..functions.numeric import mean, percent, rounded, total_if
 from ..functions.temporal import US, at, boundary_diff, ceil_to, day_of, epoch_us, floor_to, from_us, hour_of, int_div
 from ..functions.temporal import unset_to_null
 from ..functions.text import one_line, trimmed
-from .ordered import exact_quantiles_few_groups, running_total
-from .rows import cut, only, recent, top, user_rows
+from .ordered import exact_quantiles, exact_quantiles_few_groups, running_total
+from .rows import cut, only, recent, since, told_of, top, user_rows
 
 FIRST_USER_CLASS = 5
 SECOND = US["second"]
@@ -41,32 +42,32 @@ def queue_wait_by_query(queuelog: DataFrame, querylog: DataFrame, *, as_of=None,
     return top(out, limit, F.desc("queue_seconds"), F.desc("queue_start_time"), F.asc("query"))
 
 
-def _queue_trend(queuelog: DataFrame, rules: DataFrame, bucket: Column, name: str) -> DataFrame:
+def _queue_trend(queuelog: DataFrame, rules: DataFrame, bucket: Column, name: str, fleet: Sequence[str]) -> DataFrame:
     # aggregate per class first: the rule join then touches a handful of rows per bucket
-    sums = queuelog.groupBy(bucket.alias(name), "service_class").agg(
+    sums = queuelog.groupBy(*fleet, bucket.alias(name), "service_class").agg(
         F.count("query").alias("query_count"),
         F.sum("total_queue_time").alias("queue_us"), F.sum("total_exec_time").alias("exec_us"))
-    cond = rules.select(F.col("action_service_class").alias("service_class"), F.col("condition").alias("class_condition"))
-    return sums.join(cond, "service_class").select(
-        name, "service_class", "class_condition", "query_count", "queue_us", "exec_us",
+    cond = rules.select(*fleet, F.col("action_service_class").alias("service_class"), F.col("condition").alias("class_condition"))
+    return sums.join(cond, [*fleet, "service_class"]).select(
+        *fleet, name, "service_class", "class_condition", "query_count", "queue_us", "exec_us",
         percent("queue_us", "exec_us").alias("pct_queue"))
 
 
-def queue_trend_daily(queuelog: DataFrame, rules: DataFrame) -> DataFrame:
+def queue_trend_daily(queuelog: DataFrame, rules: DataFrame, *, fleet: Sequence[str] = ()) -> DataFrame:
     """Queued and executed time per day, class and routing condition."""
-    return _queue_trend(queuelog, rules, day_of("service_class_start_time"), "day")
+    return _queue_trend(queuelog, rules, day_of("service_class_start_time"), "day", fleet)
 
 
-def queue_trend_hourly(queuelog: DataFrame, rules: DataFrame) -> DataFrame:
+def queue_trend_hourly(queuelog: DataFrame, rules: DataFrame, *, fleet: Sequence[str] = ()) -> DataFrame:
     """Queued and executed time per hour, class and routing condition."""
-    return _queue_trend(queuelog, rules, hour_of("service_class_start_time"), "hour")
+    return _queue_trend(queuelog, rules, hour_of("service_class_start_time"), "hour", fleet)
 
 
-def queue_avg_max(queuelog: DataFrame, *, first_class: int = FIRST_USER_CLASS) -> DataFrame:
+def queue_avg_max(queuelog: DataFrame, *, first_class: int = FIRST_USER_CLASS, fleet: Sequence[str] = ()) -> DataFrame:
     """Average and longest queue and execution time per class, in microseconds."""
     waited = boundary_diff("microsecond", "queue_start_time", "queue_end_time")
     ran = boundary_diff("microsecond", "exec_start_time", "exec_end_time")
-    return queuelog.where(F.col("service_class") >= first_class).groupBy("service_class").agg(
+    return queuelog.where(F.col("service_class") >= first_class).groupBy(*fleet, "service_class").agg(
         F.count("*").alias("n"), mean(waited).alias("avg_queue_us"), mean(ran).alias("avg_exec_us"),
         F.max(waited).alias("max_queue_us"), F.max(ran).alias("max_exec_us"))
 
@@ -182,13 +183,30 @@ def concurrency_exact(queuelog: DataFrame, *, first_class: int = FIRST_USER_CLAS
     return peak.select(*fleet, "service_class", F.col("peak.slots").alias("max_slots"), from_us(-F.col("peak.neg")).alias("max_slots_ts"))
 
 
+def join_where(left: DataFrame, right: DataFrame, keys: Sequence[str], also: Column) -> DataFrame:
+    """Left join on ``keys`` and a further condition on the other columns, which have different names.
+
+    With the further condition apart, the join needs its rows dealt by ``keys`` only.
+    """
+    right = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"__{k}") for k in keys], also)
+    return left.join(right, on, "left")
+
+
 def queue_resources_hourly(queuelog: DataFrame, metrics: DataFrame, cachelog: DataFrame, *, as_of=None,
-                           lookback: float | None = None, first_class: int = FIRST_USER_CLASS + 1) -> DataFrame:
-    """Outcomes and resources per hour and class; result-cache hits are reported as class 0."""
+                           lookback: float | None = None, first_class: int = FIRST_USER_CLASS + 1, fleet: Sequence[str] = ()) -> DataFrame:
+    """Outcomes and resources per hour and class; result-cache hits are reported as class 0.
+
+    The metrics of a statement carry no time of their own, so they are met by statement: stored in buckets of
+    (fleet, query), log and metrics join without a shuffle.
+    """
+    by_statement = [*fleet, "query"]
     w = recent(queuelog, "exec_start_time", as_of, lookback).where(F.col("service_class") >= first_class)
     state = trimmed("final_state")
-    ran = w.join(metrics, ["userid", "service_class", "query"], "left").groupBy(
-        hour_of("exec_start_time").alias("exec_hour"), F.col("service_class").cast("int").alias("class")).agg(
+    met = metrics.withColumnsRenamed({"userid": "__user", "service_class": "__class"})
+    same = (F.col("userid") == F.col("__user")) & (F.col("service_class") == F.col("__class"))
+    ran = join_where(w, met, by_statement, same).groupBy(
+        *fleet, hour_of("exec_start_time").alias("exec_hour"), F.col("service_class").cast("int").alias("class")).agg(
         total_if(state == "Completed").alias("n_completed"), total_if(state == "Evicted").alias("n_evicted"),
         mean(int_div("total_queue_time", SECOND)).alias("avg_queue_s"),
         mean(int_div("total_exec_time", SECOND)).alias("avg_exec_s"),
@@ -198,23 +216,24 @@ def queue_resources_hourly(queuelog: DataFrame, metrics: DataFrame, cachelog: Da
         F.sum("nested_loop_join_row_count").alias("nl_join_rows"), F.sum("return_row_count").alias("return_rows"),
         F.sum("spectrum_scan_size_mb").alias("external_mb"))
     c = recent(cachelog, "starttime", as_of, lookback).where(F.col("source_query").isNotNull())
-    m = metrics.select("userid", F.col("query").alias("source_query"), "return_row_count")
+    m = metrics.select(*fleet, "userid", F.col("query").alias("source_query"), "return_row_count")
     zero = F.lit(0).cast("long")
     # one dashboard statement can own most hits: they are counted per statement before the join
-    counted = c.groupBy(hour_of("starttime").alias("exec_hour"), "userid", "source_query").agg(
+    counted = c.groupBy(*fleet, hour_of("starttime").alias("exec_hour"), "userid", "source_query").agg(
         F.count("*").alias("n"), total_if(F.col("aborted") == 0).alias("completed"), total_if(F.col("aborted") == 1).alias("evicted"),
         F.sum(int_div("elapsed", SECOND)).alias("ran"), F.count("elapsed").alias("n_ran"))
-    hits = counted.join(m, ["userid", "source_query"], "left").groupBy("exec_hour").agg(
+    hits = counted.join(m, [*fleet, "userid", "source_query"], "left").groupBy(*fleet, "exec_hour").agg(
         F.sum("completed").alias("n_completed"), F.sum("evicted").alias("n_evicted"),
         rounded(F.try_divide(F.sum("ran").cast("double"), F.sum("n_ran")), 4).alias("avg_exec_s"),
         F.sum(F.col("return_row_count") * F.col("n")).alias("return_rows"),
-    ).select("exec_hour", F.lit(0).alias("class"), "n_completed", "n_evicted", F.lit(0.0).alias("avg_queue_s"),
+    ).select(*fleet, "exec_hour", F.lit(0).alias("class"), "n_completed", "n_evicted", F.lit(0.0).alias("avg_queue_s"),
              "avg_exec_s", F.lit(0.0).alias("avg_pct_cpu"), *[zero.alias(x) for x in (
                  "max_pct_cpu", "max_spill_mb", "sum_spill_mb", "scan_rows", "join_rows", "nl_join_rows")],
              "return_rows", zero.alias("external_mb"))
     return ran.unionByName(hits)
 
 
+# The metrics that a monitoring rule can test.
 RULE_METRICS = (
     "query_cpu_time", "query_blocks_read", "query_execution_time", "query_cpu_usage_percent",
     "query_temp_blocks_to_disk", "segment_execution_time", "cpu_skew", "io_skew", "scan_row_count",
@@ -223,87 +242,100 @@ RULE_METRICS = (
 )
 
 
-def rule_candidates(metrics: DataFrame, *, columns=RULE_METRICS) -> DataFrame:
+def rule_candidates(metrics: DataFrame, *, columns=RULE_METRICS, fleet: Sequence[str] = ()) -> DataFrame:
     """Thresholds worth a monitoring rule: a rounded-up 99th percentile far below the maximum.
 
     All metrics are unpivoted at once; two passes over the log replace one sort per metric.
     """
-    long = user_rows(metrics).unpivot(["service_class"], list(columns), "metric", "value")
-    # classes and metrics are a fixed, small set of groups
-    stats = exact_quantiles_few_groups(long, ["service_class", "metric"], "value", {"p50": 0.5, "p99": 0.99, "pmax": 1.0})
+    per = [*fleet, "service_class"]
+    long = user_rows(metrics).unpivot(per, list(columns), "metric", "value")
+    # classes and metrics of one cluster are a fixed, small set of groups; those of a fleet are not
+    stats = (exact_quantiles if fleet else exact_quantiles_few_groups)(long, [*per, "metric"], "value", {"p50": 0.5, "p99": 0.99, "pmax": 1.0})
     digits = F.floor(F.col("p99") / 10).cast("string")
     lead = F.substring(F.floor(F.col("p99")).cast("string"), 1, 1).cast("int")
-    ranked = W.partitionBy("service_class").orderBy(F.desc("share"), F.asc("metric"))
+    ranked = W.partitionBy(*per).orderBy(F.desc("share"), F.asc("metric"))
     return (stats.where("p99 >= 10 and p50 + p99 < pmax")
             .withColumn("candidate", (lead + 1) * F.pow(F.lit(10.0), F.length(digits)))
             .where("candidate < pmax").withColumn("share", F.col("pmax") / F.col("candidate"))
-            .select("service_class", "metric", rounded("p50", 4).alias("p50"), rounded("p99", 4).alias("p99"),
+            .select(*per, "metric", rounded("p50", 4).alias("p50"), rounded("p99", 4).alias("p99"),
                     "pmax", "candidate", rounded("share", 2).alias("magnitude"),
                     F.row_number().over(ranked).alias("rule_order")))
 
 
 def queue_state(classcfg: DataFrame, class_state: DataFrame, rules: DataFrame, *,
-                first_class: int = FIRST_USER_CLASS) -> DataFrame:
+                first_class: int = FIRST_USER_CLASS, fleet: Sequence[str] = ()) -> DataFrame:
     """Configuration, routing condition and live counters of each queue."""
-    r = rules.select(F.col("action_service_class").alias("service_class"), trimmed("condition").alias("description"))
-    return (classcfg.where(F.col("service_class") >= first_class).join(class_state, "service_class").join(r, "service_class")
-            .select((F.col("service_class") - FIRST_USER_CLASS).alias("queue"), "description",
+    at_class = [*fleet, "service_class"]
+    r = rules.select(*fleet, F.col("action_service_class").alias("service_class"), trimmed("condition").alias("description"))
+    return (classcfg.where(F.col("service_class") >= first_class).join(class_state, at_class).join(r, at_class)
+            .select(*fleet, (F.col("service_class") - FIRST_USER_CLASS).alias("queue"), "description",
                     F.col("num_query_tasks").alias("slots"), F.col("query_working_mem").alias("mem"),
                     F.col("max_execution_time").alias("max_time"), "user_group_wild_card", "query_group_wild_card",
                     F.col("num_queued_queries").alias("queued"), F.col("num_executing_queries").alias("executing"),
                     F.col("num_executed_queries").alias("executed")))
 
 
-def queue_commit_breakdown(querylog: DataFrame, commitlog: DataFrame, queuelog: DataFrame, *,
-                           first_class: int = FIRST_USER_CLASS) -> DataFrame:
-    """Share of time spent queued, executing, waiting to commit and committing, per day, class, node."""
-    q = querylog.select("query", "xid", F.col("starttime").alias("q_start"), F.col("endtime").alias("q_end"))
-    c = commitlog.where("xid > 0").select("xid", "node", "startqueue", "startwork", F.col("endtime").alias("c_end"))
-    w = queuelog.where(F.col("service_class") >= first_class).select(
-        "query", "service_class", "service_class_start_time", "queue_start_time", "queue_end_time")
-    us = lambda a, b: F.sum(boundary_diff("microsecond", a, b))
-    sums = q.join(w, "query").join(c, "xid").groupBy(
-        day_of("q_start").alias("day"), "service_class", "node").agg(
-        F.count_distinct("xid").alias("n_commits"), us("service_class_start_time", "c_end").alias("total_us"),
-        us("queue_start_time", "queue_end_time").alias("queue_us"), us("q_start", "q_end").alias("exec_us"),
-        us(F.coalesce(unset_to_null("startqueue"), F.col("startwork")), "startwork").alias("commit_queue_us"),
-        us("startwork", "c_end").alias("commit_us"))
+def queue_commit_breakdown(querylog: DataFrame, commitlog: DataFrame, queuelog: DataFrame, *, as_of=None, lookback: float | None = None,
+                           first_class: int = FIRST_USER_CLASS, fleet: Sequence[str] = ()) -> DataFrame:
+    """Share of time spent queued, executing, waiting to commit and committing, per day, class, node.
+
+    The window bounds the statements' start; queue and commit rows are read from its first instant on. A transaction's
+    commits are summed per node before they meet its statements; every statement counts with every commit.
+    """
+    us = lambda a, b: boundary_diff("microsecond", a, b)
+    q = recent(querylog, "starttime", as_of, lookback).select(
+        *fleet, "query", "xid", day_of("starttime").alias("day"), us("starttime", "endtime").alias("exec"))
+    waited = F.coalesce(unset_to_null("startqueue"), F.col("startwork"))
+    c = since(commitlog, "endtime", as_of, lookback).where("xid > 0").groupBy(*fleet, "xid", "node").agg(
+        F.count("*").alias("n"), F.count("endtime").alias("n_ends"), F.sum(epoch_us("endtime")).alias("ends"),
+        F.sum(us(waited, "startwork")).alias("commit_queue"), F.sum(us("startwork", "endtime")).alias("commit"))
+    w = since(queuelog, "service_class_end_time", as_of, lookback).where(F.col("service_class") >= first_class).select(
+        *fleet, "query", "service_class", epoch_us("service_class_start_time").alias("begin"), us("queue_start_time", "queue_end_time").alias("queue"))
+    sums = q.join(w, [*fleet, "query"]).join(c, [*fleet, "xid"]).groupBy(*fleet, "day", "service_class", "node").agg(
+        F.count_distinct("xid").alias("n_commits"), F.sum(F.col("ends") - F.col("n_ends") * F.col("begin")).alias("total_us"),
+        F.sum(F.col("queue") * F.col("n")).alias("queue_us"), F.sum(F.col("exec") * F.col("n")).alias("exec_us"),
+        F.sum("commit_queue").alias("commit_queue_us"), F.sum("commit").alias("commit_us"))
     return sums.select("*", *[percent(f"{x}_us", "total_us").alias(f"pct_{x}") for x in
                               ("queue", "exec", "commit_queue", "commit")])
 
 
-def cursor_text(utilitytext: DataFrame) -> DataFrame:
+def cursor_text(utilitytext: DataFrame, fleet: Sequence[str] = ()) -> DataFrame:
     """The SELECT behind each transaction's cursor declaration, one per transaction."""
     start = F.instr(F.upper("text"), "SELECT")
     body = F.expr("substring(text, instr(upper(text), 'SELECT'))")
     return (utilitytext.where((F.col("sequence") == 0) & F.upper("text").like("DECLARE%") & (start > 0))
-            .groupBy("xid").agg(F.max(F.concat(F.lit("CURSOR "), F.trim(body))).alias("cursor_text")))
+            .groupBy(*fleet, "xid").agg(F.max(F.concat(F.lit("CURSOR "), F.trim(body))).alias("cursor_text")))
 
 
-def alert_mask(alertlog: DataFrame, *, as_of=None, lookback: float | None = None) -> DataFrame:
+def alert_mask(alertlog: DataFrame, *, as_of=None, lookback: float | None = None, fleet: Sequence[str] = ()) -> DataFrame:
     """Bits of the alert kinds raised by each statement; a repeated kind sets its bit once."""
-    return recent(alertlog, "event_time", as_of, lookback).groupBy("query").agg(
+    return recent(alertlog, "event_time", as_of, lookback).groupBy(*fleet, "query").agg(
         F.bit_or(alert_bit("event")).alias("mask"))
 
 
 def running_queries(queue_state: DataFrame, statements: DataFrame, stepmetrics: DataFrame, users: DataFrame,
                     utilitytext: DataFrame, alertlog: DataFrame, *, as_of=None, lookback: float | None = None,
-                    text_chars: int | None = None) -> DataFrame:
-    """Statements now in a queue with their resources so far, text and alerts."""
+                    text_chars: int | None = None, fleet: Sequence[str] = ()) -> DataFrame:
+    """Statements now in a queue with their resources so far, text and alerts.
+
+    The snapshot holds a handful of statements; every log is cut down to them before anything is summed.
+    """
+    by_query, by_xid = [*fleet, "query"], [*fleet, "xid"]
+    live = lambda log, keys=by_query: told_of(log, queue_state, keys)
     # one pass over the step metrics: totals row, returned rows and nested-loop rows per statement
-    m = stepmetrics.groupBy("query").agg(
+    m = live(stepmetrics).groupBy(*by_query).agg(
         F.max(F.when((F.col("segment") == -1) & (F.col("step") == -1), F.struct("cpu_time", "blocks_read", "blocks_to_disk"))).alias("t"),
         F.sum(F.when(F.col("step_type") == 38, F.col("rows"))).alias("ret_rows"),
         F.sum(F.when(F.col("step_type") == 15, F.col("rows"))).alias("nl_rows"))
-    s = statements.select("query", "pid", F.col("userid").alias("usesysid"), F.col("querytxt").alias("text"))
-    u = users.select("usesysid", trimmed("usename").alias("user"))
+    s = live(statements).select(*by_query, "pid", F.col("userid").alias("usesysid"), F.col("querytxt").alias("text"))
+    u = users.select(*fleet, "usesysid", trimmed("usename").alias("user"))
     state = trimmed("state")
     short = F.when(state == "Running", "Run").when(state == "QueuedWaiting", "Queue").when(state == "Returning", "Return").otherwise(state)
     sql = F.replace(F.coalesce("cursor_text", one_line("text")), F.lit("\\n"), F.lit(" "))
-    return (queue_state.join(s, "query", "left").join(m, "query", "left").join(u, "usesysid", "left")
-            .join(cursor_text(utilitytext), "xid", "left")
-            .join(alert_mask(alertlog, as_of=as_of, lookback=lookback), "query", "left")
-            .select("user", "pid", "xid", "query", F.col("service_class").alias("class"), F.col("slot_count").alias("slots"),
+    return (queue_state.join(s, by_query, "left").join(m, by_query, "left").join(u, [*fleet, "usesysid"], "left")
+            .join(cursor_text(live(utilitytext, by_xid), fleet), by_xid, "left")
+            .join(alert_mask(live(alertlog), as_of=as_of, lookback=lookback, fleet=fleet), by_query, "left")
+            .select(*fleet, "user", "pid", "xid", "query", F.col("service_class").alias("class"), F.col("slot_count").alias("slots"),
                     F.date_trunc("second", "wlm_start_time").cast("timestamp_ntz").alias("start"), short.alias("state"),
                     int_div("queue_time", SECOND).alias("queue_s"), int_div("exec_time", SECOND).alias("exec_s"),
                     int_div("t.cpu_time", SECOND).alias("cpu_s"), F.col("t.blocks_read").alias("read_mb"),
@@ -311,22 +343,22 @@ def running_queries(queue_state: DataFrame, statements: DataFrame, stepmetrics:
                     cut(sql, text_chars).alias("sql"), alert_text("mask").alias("alert")))
 
 
-def active_sessions(sessions: DataFrame, recents: DataFrame, *, as_of) -> DataFrame:
+def active_sessions(sessions: DataFrame, recents: DataFrame, *, as_of, fleet: Sequence[str] = ()) -> DataFrame:
     """Open sessions with the statement each one is running, if any."""
     # the status test belongs to the join: idle sessions must stay
     r = recents.where(F.trim("status") == "Running").select(
-        F.col("pid").alias("process"), F.col("starttime").alias("query_start"), F.trim("query").alias("query_text"))
-    return sessions.join(r, "process", "left").select(
-        F.col("process").alias("pid"), "starttime", boundary_diff("minute", "starttime", at(as_of)).alias("connected_minutes"),
+        *fleet, F.col("pid").alias("process"), F.col("starttime").alias("query_start"), F.trim("query").alias("query_text"))
+    return sessions.join(r, [*fleet, "process"], "left").select(
+        *fleet, F.col("process").alias("pid"), "starttime", boundary_diff("minute", "starttime", at(as_of)).alias("connected_minutes"),
         trimmed("user_name").alias("user_name"), trimmed("db_name").alias("db_name"), "query_start", "query_text")
 
 
-def timed_out_returning(queue_state: DataFrame, classcfg: DataFrame) -> DataFrame:
+def timed_out_returning(queue_state: DataFrame, classcfg: DataFrame, *, fleet: Sequence[str] = ()) -> DataFrame:
     """Statements past their class's time limit that are still returning rows."""
-    cfg = classcfg.where("max_execution_time > 0").select("service_class", "max_execution_time")
-    return queue_state.where(F.trim("state") == "Returning").join(cfg, "service_class").where(
+    cfg = classcfg.where("max_execution_time > 0").select(*fleet, "service_class", "max_execution_time")
+    return queue_state.where(F.trim("state") == "Returning").join(cfg, [*fleet, "service_class"]).where(
         int_div("exec_time", SECOND) > F.col("max_execution_time")).select(
-        "query", "xid", "service_class", "slot_count", "wlm_start_time", "exec_time", "max_execution_time")
+        *fleet, "query", "xid", "service_class", "slot_count", "wlm_start_time", "exec_time", "max_execution_time")
 
 
 def live_steps(stepstate: DataFrame, *, limit: int | None = None) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.temporal import as_col, within
+from ..functions.temporal import as_col, at, within
 
 SYSTEM_USER_MAX = 1
 
@@ -21,6 +22,19 @@ def recent(df: DataFrame, ts: str, as_of, lookback_days: float | None) -> DataFr
     return df if as_of is None and lookback_days is None else df.where(within(ts, as_of, lookback_days))
 
 
+def since(df: DataFrame, ts: str, as_of, lookback_days: float | None) -> DataFrame:
+    """Rows not before the window of ``recent``: for what is logged when a statement of the window ends."""
+    if as_of is None or lookback_days is None:
+        return df
+    edge = dt.datetime.fromisoformat(str(as_of)) - dt.timedelta(days=lookback_days)
+    return df.where(F.col(ts) >= at(edge.isoformat(sep=" ")))
+
+
+def told_of(log: DataFrame, bounded: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of an unbounded log about the statements (or transactions) of a bounded one."""
+    return log.join(bounded.select(*keys), list(keys), "left_semi")
+
+
 def only(df: DataFrame, **equals) -> DataFrame:
     """Optional equality or membership filters; a ``None`` value filters nothing."""
     for col, value in equals.items():

@@ -10,20 +10,21 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.numeric import rounded
 from ..functions.temporal import at, boundary_diff, epoch_us, unset_to_null
 from ..functions.text import trimmed
-from .rows import catalog_keys, newest, only, recent, top
+from .rows import catalog_keys, newest, only, recent, told_of, top
 
 
-def commit_rows(commitlog: DataFrame) -> DataFrame:
+def commit_rows(commitlog: DataFrame, fleet: Sequence[str] = ()) -> DataFrame:
     """Commit queue and work milliseconds; a sentinel queue start means the commit never queued."""
     queued_from = F.coalesce(unset_to_null("startqueue"), F.col("startwork"))
-    return commitlog.select("xid", unset_to_null("startqueue").alias("startqueue"), "node",
+    return commitlog.select(*fleet, "xid", unset_to_null("startqueue").alias("startqueue"), "node",
                             boundary_diff("millisecond", queued_from, "startwork").alias("queue_ms"),
                             boundary_diff("millisecond", "startwork", "endtime").alias("commit_ms"), "queuelen")
 
 
-def commit_stats(commitlog: DataFrame, *, as_of=None, lookback: float | None = None, xid=None, limit: int | None = None) -> DataFrame:
+def commit_stats(commitlog: DataFrame, *, as_of=None, lookback: float | None = None, xid=None, limit: int | None = None,
+                 fleet: Sequence[str] = ()) -> DataFrame:
     """Commit queue and work times, longest queue first."""
-    rows = commit_rows(only(recent(commitlog, "startwork", as_of, lookback), xid=xid))
+    rows = commit_rows(only(recent(commitlog, "startwork", as_of, lookback), xid=xid), fleet)
     return top(rows, limit, F.desc("queuelen"), F.desc("queue_ms"), "xid", "node")
 
 
@@ -31,25 +32,26 @@ LEADER = -1
 
 
 def table_reads_writes(querylog: DataFrame, scanlog: DataFrame, deletelog: DataFrame, insertlog: DataFrame,
-                       conflictlog: DataFrame, utilitytext: DataFrame, commitlog: DataFrame) -> DataFrame:
+                       conflictlog: DataFrame, utilitytext: DataFrame, commitlog: DataFrame, *, fleet: Sequence[str] = ()) -> DataFrame:
     """What each statement did to which table (R, W, A for aborted) and how its transaction ended."""
-    touched = lambda log, tag: log.select("query", "tbl", F.lit(tag).alias("operation"))
-    conflicts = conflictlog.select(F.col("xact_id").alias("xid"), F.col("table_id").alias("tbl")).distinct()
-    aborted = querylog.where("aborted = 1").select("query", "xid").join(conflicts, "xid", "left")
+    by_query, by_xid = [*fleet, "query"], [*fleet, "xid"]
+    touched = lambda log, tag: log.select(*by_query, "tbl", F.lit(tag).alias("operation"))
+    conflicts = conflictlog.select(*fleet, F.col("xact_id").alias("xid"), F.col("table_id").alias("tbl")).distinct()
+    aborted = querylog.where("aborted = 1").select(*by_query, "xid").join(conflicts, by_xid, "left")
     access = (touched(scanlog.where("type = 2"), "R").unionByName(touched(deletelog, "W")).unionByName(touched(insertlog, "W"))
               .unionByName(touched(aborted, "A")).distinct())
     said = lambda *words: F.lower("text").rlike("|".join(words))
-    ended = (utilitytext.where(said("rollback", "aborted")).select("xid", F.lit("R").alias("action"), "endtime")
-             .unionByName(utilitytext.where(said("commit", "end")).select("xid", F.lit("C").alias("action"), "endtime"))
-             .unionByName(commitlog.where(F.col("node") == LEADER).select("xid", F.lit("C").alias("action"), "endtime"))
-             .groupBy("xid").agg(F.max("action").alias("transaction_action"), F.max("endtime").alias("transaction_end")))
-    stmts = querylog.select("xid", "query", F.col("starttime").alias("statement_start"), F.col("endtime").alias("statement_end"))
-    rows = stmts.join(access, "query", "left").join(ended, "xid", "left")
+    ended = (utilitytext.where(said("rollback", "aborted")).select(*by_xid, F.lit("R").alias("action"), "endtime")
+             .unionByName(utilitytext.where(said("commit", "end")).select(*by_xid, F.lit("C").alias("action"), "endtime"))
+             .unionByName(commitlog.where(F.col("node") == LEADER).select(*by_xid, F.lit("C").alias("action"), "endtime"))
+             .groupBy(*by_xid).agg(F.max("action").alias("transaction_action"), F.max("endtime").alias("transaction_end")))
+    stmts = querylog.select(*by_xid, "query", F.col("starttime").alias("statement_start"), F.col("endtime").alias("statement_end"))
+    rows = stmts.join(access, by_query, "left").join(ended, by_xid, "left")
     commits = commitlog.where(F.col("node") == LEADER).select(
-        "xid", F.lit("C").alias("operation"), unset_to_null("startqueue").alias("statement_start"), F.col("endtime").alias("statement_end"),
+        *by_xid, F.lit("C").alias("operation"), unset_to_null("startqueue").alias("statement_start"), F.col("endtime").alias("statement_end"),
         F.col("endtime").alias("transaction_end"), F.lit("C").alias("transaction_action"))
     return rows.unionByName(commits, allowMissingColumns=True).select(
-        "xid", "query", "tbl", "operation", "statement_start", "statement_end", "transaction_end", "transaction_action")
+        *by_xid, "query", "tbl", "operation", "statement_start", "statement_end", "transaction_end", "transaction_action")
 
 
 def object_names(classes: DataFrame, ns: DataFrame, fleet=("cluster_id",)) -> DataFrame:
@@ -65,13 +67,13 @@ def conflicts(conflictlog: DataFrame, classes: DataFrame, ns: DataFrame, *, flee
     return conflictlog.join(names, [*fleet, "table_id"]).select(*fleet, "schema_name", "object_name", "xact_id", "process_id", "xact_start_ts", "abort_time")
 
 
-def conflict_timeline(statementtext: DataFrame, conflictlog: DataFrame | None = None, *, xids=None) -> DataFrame:
+def conflict_timeline(statementtext: DataFrame, conflictlog: DataFrame | None = None, *, xids=None, fleet: Sequence[str] = ()) -> DataFrame:
     """Statements of the given transactions in time order, or of all that met a conflict."""
-    rows = statementtext.select("userid", "xid", "pid", trimmed("label").alias("label"), "starttime", "endtime", "sequence", "type",
+    rows = statementtext.select(*fleet, "userid", "xid", "pid", trimmed("label").alias("label"), "starttime", "endtime", "sequence", "type",
                                 trimmed("text").alias("text"))
     if xids is not None:
         return only(rows, xid=xids).orderBy("starttime", "xid", "sequence")
-    return rows.join(conflictlog.select(F.col("xact_id").alias("xid")), "xid", "left_semi")
+    return told_of(rows, conflictlog.withColumnRenamed("xact_id", "xid"), [*fleet, "xid"])
 
 
 def locks_held(locks: DataFrame, classes: DataFrame, ns: DataFrame, activity: DataFrame, *, fleet: Sequence[str] = ()) -> DataFrame:
@@ -151,9 +153,9 @@ def blocked_by(locks: DataFrame, activity: DataFrame, *, as_of, fleet: Sequence[
                     _seconds_until(as_of, F.col("by.query_start")).alias("blocking_s"))
 
 
-def lock_order(txns: DataFrame, tableinfo: DataFrame, *, relation=None) -> DataFrame:
+def lock_order(txns: DataFrame, tableinfo: DataFrame, *, relation=None, fleet: Sequence[str] = ()) -> DataFrame:
     """Transactions locking a relation by start time; of every relation when none is given."""
-    names = tableinfo.select(F.col("table_id").alias("relation"), "schema_name", "table_name")
-    rows = only(txns, relation=relation).join(names, "relation").select(
-        "relation", "schema_name", "table_name", "txn_start", "xid", "pid", "txn_owner", "lock_mode", "granted")
+    names = tableinfo.select(*fleet, F.col("table_id").alias("relation"), "schema_name", "table_name")
+    rows = only(txns, relation=relation).join(names, [*fleet, "relation"]).select(
+        *fleet, "relation", "schema_name", "table_name", "txn_start", "xid", "pid", "txn_owner", "lock_mode", "granted")
     return rows if relation is None else rows.orderBy("txn_start", "xid")

@@ -103,7 +103,7 @@ add("d04_space_per_slice", lambda i: op.space_per_slice(i.tableperm, i["class"],
            a.unsorted as unsorted_rowcount, case when a.rows = 0 then 0 else round(a.unsorted * 100.0 / a.rows, 5) end as pct_unsorted,
            case when a.rows <> 0 and a.unsorted * 100.0 / a.rows >= 20 then 'VACUUM recommended' else 'n/a' end as recommendation
     from {_TP} a join $class c on c.oid = a.id join $ns n on n.oid = c.relnamespace and n.cluster_id = c.cluster_id join $db d on d.oid = a.db_id
-         left join (select tbl, slice, count(*) as mbytes from $blocks where slice <> 0 group by 1, 2) b on b.tbl = a.id""")
+         left join (select tbl, slice, count(*) as mbytes from $blocks group by 1, 2) b on b.tbl = a.id""")
 add("d05_extended_table_info",
     lambda i: op.extended_table_info(i.tableinfo, i["class"], i.scanlog, i.alertlog, i.planinfo, i.planlog, i.constraints, i.attrs, i.tableperm, i.slices,
                                      as_of=AS_OF, lookback=YEARS), """
