@@ -77,10 +77,12 @@ def top_queries_resources(querylog: DataFrame, metrics: DataFrame, alertlog: Dat
     log = user_rows(recent(querylog, "starttime", as_of, lookback))
     m = metrics.select(*by_query, F.col("userid").alias("__user"), "service_class", "query_cpu_time", "query_cpu_usage_percent",
                        "query_temp_blocks_to_disk", "query_blocks_read", "return_row_count")
-    q = log.join(cursor_text(told_of(utilitytext, log, by_xid), fleet), by_xid, "left").withColumn("__text", F.coalesce("cursor_text", trimmed("querytxt")))
-    facts = q.select(*by_query, "userid", "starttime", "aborted", trimmed("database").alias("db"), F.md5("__text").alias("fingerprint"), _run_seconds().alias("secs"))
-    out = (join_where(facts, m, by_query, F.col("userid") == F.col("__user"))
-           .join(alert_mask(alertlog, as_of=as_of, lookback=lookback, fleet=fleet), by_query, "left")
+    cursors = cursor_text(told_of(utilitytext, log, by_xid), fleet)
+    text = F.coalesce("cursor_text", trimmed("querytxt"))
+    # all that is met by statement comes first: logs stored by statement join without a shuffle
+    met = join_where(log, m, by_query, F.col("userid") == F.col("__user")).join(
+        alert_mask(alertlog, as_of=as_of, lookback=lookback, fleet=fleet), by_query, "left")
+    out = (met.join(cursors, by_xid, "left").withColumns({"db": trimmed("database"), "fingerprint": F.md5(text), "secs": _run_seconds()})
            .groupBy(*fleet, "db", "userid", "fingerprint", "aborted", "mask").agg(
                F.count("query").alias("n"), F.max("secs").alias("max_s"), mean("secs").alias("avg_s"),
                F.sum("secs").alias("total_s"), F.max("service_class").alias("class"), mean("query_cpu_time").alias("avg_cpu"),
@@ -88,7 +90,7 @@ def top_queries_resources(querylog: DataFrame, metrics: DataFrame, alertlog: Dat
                mean("query_blocks_read").alias("avg_mb_read"), mean("return_row_count").alias("avg_rows_ret"),
                F.max("query").alias("last_query"), day_of(F.max("starttime")).alias("last_run"))
            .withColumn("alert", alert_text("mask")).drop("mask"))
-    return _with_text(out, q, limit, fleet)
+    return _with_text(out, log.join(cursors, by_xid, "left").withColumn("__text", text), limit, fleet)
 
 
 def query_type_summary(querylog: DataFrame) -> DataFrame:

@@ -17,17 +17,38 @@ def user_rows(df: DataFrame, col: str = "userid", system_user_max: int | None =
     return df if system_user_max is None else df.where(F.col(col) > system_user_max)
 
 
+def day_column(ts: str) -> str:
+    """The column by which a stored log is partitioned: the day of its time ``ts``."""
+    return f"{ts}__day"
+
+
+def _edge(as_of, lookback_days: float) -> dt.datetime:
+    return dt.datetime.fromisoformat(str(as_of)) - dt.timedelta(days=lookback_days)
+
+
 def recent(df: DataFrame, ts: str, as_of, lookback_days: float | None) -> DataFrame:
-    """Time-bounded scan: a comparison of the raw column, so it reaches the file scan."""
-    return df if as_of is None and lookback_days is None else df.where(within(ts, as_of, lookback_days))
+    """Time-bounded scan: a comparison of the raw column, so it reaches the file scan.
+
+    Of a log that is stored by day of ``ts``, only the days of the window are opened.
+    """
+    if as_of is None and lookback_days is None:
+        return df
+    bound = within(ts, as_of, lookback_days)
+    day = day_column(ts)
+    if day in df.columns:
+        bound = bound & (F.col(day) <= F.lit(dt.datetime.fromisoformat(str(as_of)).date()))
+        if lookback_days is not None:
+            bound = bound & (F.col(day) >= F.lit(_edge(as_of, lookback_days).date()))
+    return df.where(bound)
 
 
 def since(df: DataFrame, ts: str, as_of, lookback_days: float | None) -> DataFrame:
     """Rows not before the window of ``recent``: for what is logged when a statement of the window ends."""
     if as_of is None or lookback_days is None:
         return df
-    edge = dt.datetime.fromisoformat(str(as_of)) - dt.timedelta(days=lookback_days)
-    return df.where(F.col(ts) >= at(edge.isoformat(sep=" ")))
+    edge, day = _edge(as_of, lookback_days), day_column(ts)
+    bound = F.col(ts) >= at(edge.isoformat(sep=" "))
+    return df.where(bound & (F.col(day) >= F.lit(edge.date())) if day in df.columns else bound)
 
 
 def told_of(log: DataFrame, bounded: DataFrame, keys: Sequence[str]) -> DataFrame:

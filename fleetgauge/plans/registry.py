@@ -11,6 +11,8 @@ from .bindings import Inputs, check_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
+#: Checking queries as written, over the names of the bindings.
+TEXTS: dict[str, str] = {}
 
 
 def add(name: str, build: Callable[[Inputs], DataFrame], sql: str | None = None) -> None:
@@ -22,4 +24,5 @@ def add(name: str, build: Callable[[Inputs], DataFrame], sql: str | None = None)
 
     QUERIES[name] = run
     if sql is not None:
+        TEXTS[name] = sql
         CHECKS[name] = check_sql(sql)
