@@ -1,7 +1,7 @@
 """Loads and exports as real jobs over files in the shared folder, and the streaming variants."""
 
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from ..session import shared_dir
 from ..sources import delimited, jsonpath, manifest, scan, tables
@@ -104,6 +104,27 @@ def _ordered(i):
     return files.agg(F.sum("n").alias("rows"), (F.max("n") <= 4000).alias("pieces_bounded"))
 
 
+def _pieces(i):
+    """Sizes, order and rows of an export in pieces of at most 64 kB."""
+    path = _path(i, "pieces")
+    files = delimited.export_in_pieces(i.orders, path, max_bytes=65536, order_by=["o_orderdate", "o_orderkey"])
+    back = i.spark.read.schema(ORDERS).option("sep", "|").csv(path)
+    ends = back.groupBy(F.regexp_extract(F.col("_metadata.file_path"), "/piece=([0-9-]+)/", 1).alias("piece")).agg(
+        F.count("*").alias("n"), F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last"))
+    ordered = F.coalesce(F.lag("last").over(W.orderBy("piece")) <= F.col("first"), F.lit(True))
+    return ends.join(files, "piece").withColumn("follows", ordered).agg(
+        F.sum("n").alias("rows"), F.bool_and("follows").alias("in_order"), (F.max("bytes") <= 65536).alias("bounded"))
+
+
+def _published(i):
+    path = _path(i, "published")
+    manifest.publish(i.spark, path, lambda folder: delimited.export_delimited(i.orders.limit(10), folder))
+    manifest.publish(i.spark, path, lambda folder: delimited.export_delimited(i.orders, folder, gzip=True))
+    return manifest.load_published(i.spark, path, lambda urls: delimited.read_delimited(i.spark, urls, ORDERS, sep="|", timestamp_format=STAMP))
+
+
+add("s08_published_export", _published, "select * from orders")
+add("s09_pieces_by_size", _pieces, "select count(*) as rows, true as in_order, true as bounded from orders")
 add("s09_ordered_export", _ordered, "select count(*) as rows, true as pieces_bounded from orders")
 _AGG = "select l_partkey, l_shipdate, sum(l_quantity) as qty from lineitem group by 1, 2"
 add("s10_create_table_as", lambda i: tables.create_table_as(

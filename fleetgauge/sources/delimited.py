@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-import os
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from .listing import listed
 from .lines import numbered, records, text_lines
 
 REASON = {T.TimestampNTZType: "Invalid timestamp", T.TimestampType: "Invalid timestamp", T.DateType: "Invalid date", T.BooleanType: "Invalid boolean"}
@@ -99,9 +103,54 @@ def export_delimited(df: DataFrame, path: str, *, sep: str = "|", gzip: bool = F
 
 
 def manifest_of(spark: SparkSession, path: str) -> DataFrame:
-    """Files below a folder with their sizes, in name order of the series; contents are not read."""
-    return spark.read.format("binaryFile").load(os.path.join(path, "part-*")).select(
-        F.col("path").alias("url"), F.lit(True).alias("mandatory"), F.col("length").alias("bytes"))
+    """Files below a folder with their sizes; executors list them, contents are not read."""
+    return listed(spark.createDataFrame([(path,)], "folder string")).select("url", F.lit(True).alias("mandatory"), "bytes")
+
+
+_PIECES = "piece string, pos bigint, value string"
+
+
+def export_in_pieces(df: DataFrame, path: str, *, max_bytes: int, order_by: list[str], sep: str = "|", gzip: bool = False, header: bool = False,
+                     null_token: str = "") -> DataFrame:
+    """One ordered series of delimited files of at most ``max_bytes`` each, replacing ``path``; returns their manifest.
+
+    Sizes count the lines as encoded, with their ends and the header, before compression. A row longer than the limit
+    makes a piece of its own. Ranges of the order are dealt to tasks; each task adds up its lines and begins a
+    piece where the next line does not fit, so only a range's last piece is short. Rows of equal order are dealt by their
+    content and place, so that a value that a third of the rows have is still written by many tasks. The folder
+    names of the pieces, ``piece=range-number``, follow the order, as does the manifest's ``piece``.
+    """
+    columns = df.columns
+    options = {"sep": sep, "nullValue": null_token, "escape": '"', "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
+    first = sep.join(f'"{c}"' if sep in c or '"' in c else c for c in columns) if header else None
+    line = F.to_csv(F.struct(*columns), options).alias("value")
+    ties = [F.xxhash64(*columns), F.monotonically_increasing_id()]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, piece, held, pos = TaskContext.get().partitionId(), -1, max_bytes + 1, 0
+        head = 0 if first is None else len(first.encode()) + 1
+        for batch in batches:
+            sizes = (pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False) + 1).tolist()
+            pieces, values = [], []
+            for value, size in zip(batch.column(0).to_pylist(), sizes):
+                if held + size > max_bytes:
+                    piece, held = piece + 1, head
+                    if first is not None:
+                        pieces.append(piece)
+                        values.append(first)
+                held += size
+                pieces.append(piece)
+                values.append(value)
+            names = [f"{task:06d}-{p:06d}" for p in pieces]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(range(pos, pos + len(values)), pa.int64()), pa.array(values, pa.string())],
+                                             names=["piece", "pos", "value"])
+            pos += len(values)
+
+    ordered = df.orderBy(*order_by, *ties).select(line)
+    lines = ordered.mapInArrow(cut, _PIECES).sortWithinPartitions("piece", "pos").select("piece", "value")
+    writer = lines.write.mode("overwrite").partitionBy("piece")
+    (writer.option("compression", "gzip") if gzip else writer).text(path)
+    return manifest_of(df.sparkSession, path).withColumn("piece", F.regexp_extract("url", "/piece=([0-9-]+)/", 1))
 
 
 def split_file(spark: SparkSession, source: str, target: str, *, rows_per_piece: int, encoding: str = "UTF-8") -> DataFrame:

@@ -157,3 +157,81 @@ def test_column_catalog(spark):
     assert got == [("t", "a", 1, "int", 2, 2), ("t", "b", 2, "string", 2, 1)]
     df.createOrReplaceTempView("t_catalog")
     assert [r.column_name for r in scan.registered_columns(spark, "t_catalog").orderBy("ordinal").collect()] == ["a", "b"]
+
+
+@pytest.fixture
+def all_ranges(spark):
+    """Small ranges are not put together again."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def lines_of(spark, urls):
+    return [r.value for u in urls for r in spark.read.option("lineSep", "\n").text(u).collect()]
+
+
+@pytest.mark.parametrize("gz", [False, True])
+@pytest.mark.parametrize("header", [False, True])
+def test_pieces_of_limited_size(spark, gz, header, all_ranges):
+    """No piece is over the limit, the order goes on over the pieces, and a value that a third of the rows have is cut up as well."""
+    path = shared_dir(spark, "t-pieces")
+    text = F.when(F.col("id") == 77, F.repeat(F.lit("x"), 900)).otherwise(F.concat(F.lit('say "ü", '), F.repeat(F.lit("ab|"), (F.col("id") % 7).cast("int"))))
+    df = spark.range(3000, numPartitions=6).select(F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id") * 7919 % 3000).alias("k"), "id", text.alias("t"))
+    pieces = delimited.export_in_pieces(df, path, max_bytes=700, order_by=["k"], gzip=gz, header=header).orderBy("piece").collect()
+    by_piece = [lines_of(spark, [p.url]) for p in pieces]
+    head = ["k|id|t"] if header else []
+    assert all(x[:len(head)] == head for x in by_piece)
+    sizes = [sum(len(v.encode()) + 1 for v in x) for x in by_piece]
+    assert [s > 700 for s in sizes].count(True) == 1 and len([x for x in by_piece if any("x" * 900 in v for v in x)][0]) == 1 + len(head)
+    if not gz:
+        assert sizes == [p.bytes for p in pieces]
+    rows = [v for x in by_piece for v in x[len(head):]]
+    keys = [int(v.split("|")[0]) for v in rows]
+    assert keys == sorted(keys) and len({int(v.split("|")[1]) for v in rows}) == 3000 == len(rows)
+    tasks = {p.piece.split("-")[0] for p, x in zip(pieces, by_piece) if x[-1].startswith("5|")}
+    assert len(tasks) > 1                                              # the frequent value is not one task's
+    ranges = {}
+    for p, s in zip(pieces, sizes):
+        ranges.setdefault(p.piece.split("-")[0], []).append(s)
+    # a piece is full but for the next line; only the one before the long row may be shorter
+    assert sum(s < 700 - 120 for r in ranges.values() for s in r[:-1]) <= 1
+    back = delimited.read_delimited(spark, [p.url for p in pieces], "k long, id long, t string", sep="|", skip_header=header)
+    assert Counter(map(tuple, back.collect())) == Counter(map(tuple, df.collect()))
+
+
+def test_pieces_of_nothing(spark):
+    path = shared_dir(spark, "t-no-pieces")
+    assert delimited.export_in_pieces(spark.range(0), path, max_bytes=10, order_by=["id"]).count() == 0
+
+
+def test_listing_on_executors(spark, tmp_path):
+    from fleetgauge.sources.listing import listed
+    (tmp_path / "a" / "deep").mkdir(parents=True)
+    (tmp_path / "a" / "x.csv").write_text("12345")
+    (tmp_path / "a" / "deep" / "y.csv").write_text("1")
+    (tmp_path / "a" / "_SUCCESS").write_text("")
+    (tmp_path / "a" / ".x.csv.crc").write_text("1")
+    folders = spark.createDataFrame([(f"{tmp_path}/a",), (f"file://{tmp_path}/a",), (f"file:{tmp_path}/a",), (f"{tmp_path}/none",)], "folder string")
+    got = sorted((r.folder.split(":")[0][:4], r.name, r.bytes) for r in listed(folders).collect())
+    assert len(got) == 6 and got.count(("file", "x.csv", 5)) == 2 and got.count(("file", "y.csv", 1)) == 2
+    assert all(spark.read.text(r.url).count() == 1 for r in listed(folders).collect())
+
+
+def test_an_export_is_seen_whole_or_not_at_all(spark):
+    path = shared_dir(spark, "t-published")
+    read = lambda urls: delimited.read_delimited(spark, urls, "id long", sep="|")
+    with pytest.raises(FileNotFoundError):
+        manifest.load_published(spark, path, read)
+    manifest.publish(spark, path, lambda folder: delimited.export_delimited(spark.range(50), folder))
+    assert manifest.load_published(spark, path, read).count() == 50
+
+    def killed(folder):
+        delimited.export_delimited(spark.range(70), folder)            # the files are there, the manifest is not
+        raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        manifest.publish(spark, path, killed)
+    assert manifest.load_published(spark, path, read).count() == 50
+    manifest.publish(spark, path, lambda folder: delimited.export_in_pieces(spark.range(80), folder, max_bytes=60, order_by=["id"]))
+    assert manifest.load_published(spark, path, read).count() == 80
