@@ -88,6 +88,10 @@ def read_with_rejects(spark: SparkSession, paths, schema, *, sep: str = ",", ski
     return rows.select(*[_cast(value[f.name], f.dataType).alias(f.name) for f in schema]), rejects
 
 
+#: Values are written whole: quotes doubled, blanks at either end kept, microseconds kept.
+_WRITTEN = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
+
+
 def export_delimited(df: DataFrame, path: str, *, sep: str = "|", gzip: bool = False, header: bool = False, null_token: str = "",
                      order_by: list[str] | None = None, max_rows_per_file: int = 0) -> DataFrame:
     """Parallel export replacing ``path``; returns the manifest of written files.
@@ -96,8 +100,7 @@ def export_delimited(df: DataFrame, path: str, *, sep: str = "|", gzip: bool = F
     follow the order, and ``max_rows_per_file`` bounds each piece.
     """
     out = df if order_by is None else df.orderBy(*order_by)
-    writer = out.write.mode("overwrite").option("sep", sep).option("header", header).option("nullValue", null_token).option("escape", '"')
-    writer = writer.option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").option("maxRecordsPerFile", max_rows_per_file)
+    writer = out.write.mode("overwrite").options(**_WRITTEN, sep=sep, nullValue=null_token).option("header", header).option("maxRecordsPerFile", max_rows_per_file)
     (writer.option("compression", "gzip") if gzip else writer).csv(path)
     return manifest_of(df.sparkSession, path)
 
@@ -121,7 +124,7 @@ def export_in_pieces(df: DataFrame, path: str, *, max_bytes: int, order_by: list
     names of the pieces, ``piece=range-number``, follow the order, as does the manifest's ``piece``.
     """
     columns = df.columns
-    options = {"sep": sep, "nullValue": null_token, "escape": '"', "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
+    options = _WRITTEN | {"sep": sep, "nullValue": null_token}
     first = sep.join(f'"{c}"' if sep in c or '"' in c else c for c in columns) if header else None
     line = F.to_csv(F.struct(*columns), options).alias("value")
     ties = [F.xxhash64(*columns), F.monotonically_increasing_id()]
