@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .encoding import piece_table, portions
-from .storage import stored
+from .storage import refuse, stored
 
 _PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 _NAMES = ["doc_id", "piece", "start", "length", "ids_crc32"]
@@ -97,20 +97,22 @@ def pack(pieces: DataFrame, capacity: int, group_rows: int = 100_000, rounds: in
     bin count compared with its lower bound. Groups above their bound give up all bins that are
     not full, certified groups only their emptiest one; the given-up pieces are dealt into new groups and
     packed again, up to ``rounds`` times or until they fit one group whose count is certified.
-    Every piece is packed exactly once whatever the input; an empty table gives no rows.
+    Every piece is packed exactly once whatever the input; an empty table gives no rows. Columns named sequence_id,
+    offset, __uid, __group, __open or __gap raise a ValueError.
     """
+    refuse(pieces, "sequence_id", "offset", "__uid", "__group", "__open", "__gap")
     rows = stored(pieces.withColumn("__uid", F.monotonically_increasing_id()), "pieces")
     full = rows.where(F.col("length") >= capacity).select(
         *pieces.columns, (F.col("__uid") * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     loose, done = rows.where(F.col("length") < capacity), [full]
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, sequence_id bigint, offset bigint, open boolean, gap int"
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, sequence_id bigint, offset bigint, __open boolean, __gap int"
     for turn in range(rounds):
         groups = max(1, -(-loose.count() // group_rows))
         last = turn == rounds - 1
         dealt = loose.withColumn("__group", F.pmod(F.xxhash64("__uid", F.lit(turn)), F.lit(groups)))
         packed = stored(dealt.groupBy("__group").applyInPandas(_packer(capacity, turn, last, groups == 1), schema), "packed")
-        done.append(packed.where(~F.col("open")).select(*pieces.columns, "sequence_id", "offset"))
-        loose = packed.where("open").select(*rows.columns)
+        done.append(packed.where(~F.col("__open")).select(*pieces.columns, "sequence_id", "offset"))
+        loose = packed.where("__open").select(*rows.columns)
         if last or loose.isEmpty():
             break
     return reduce(DataFrame.unionByName, done)
@@ -134,6 +136,6 @@ def _packer(capacity: int, turn: int, last: bool, alone: bool) -> Callable[[tupl
         offset = np.empty(len(bins), np.int64)
         offset[order] = inside - np.repeat(inside[first], np.bincount(bins))
         ids = ((turn << 50 | int(key[0]) << 24) + bins) * 2 + 1
-        return frame.assign(sequence_id=ids, offset=offset, open=give[bins], gap=np.int32(gap))
+        return frame.assign(sequence_id=ids, offset=offset, __open=give[bins], __gap=np.int32(gap))
 
     return packed

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .storage import stored
+from .storage import refuse, stored
 
 BLOCK_BITS = 20
 
@@ -78,7 +78,9 @@ def shuffle_shards(rows: DataFrame, shards: int, seed: int = 0, order: Sequence[
     it got by another hash, in buckets of about 2**20 rows whose offsets are summed up, so no task holds a whole
     shard. Equal rows are dealt apart like any others, since the hashes take the stored place in.
     ``order`` is not needed for correctness; columns named there enter the hashes. An empty table gives no rows.
+    Columns named shard, slot or like a working column (two underscores first) raise a ValueError.
     """
+    refuse(rows, "shard", "slot", "__place", "__block", "__rank", "__upto", "__mix", "__bucket", "__offset", "__slot", "count")
     spark = rows.sparkSession
     placed = stored(rows.withColumn("__place", F.monotonically_increasing_id()), "shard-input")
     placed = placed.withColumn("__block", F.shiftright("__place", BLOCK_BITS))

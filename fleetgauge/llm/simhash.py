@@ -112,18 +112,19 @@ def near_duplicates(docs: DataFrame, shingle: int, max_bits: int) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, shingle: int, max_bits: int) -> DataFrame:
     """One row of each component, the one with the smallest doc_id (null last) and of those the smallest text; all
-    columns of ``docs``. Rows are told apart by numbers of their own: different texts without an id, or with the same id, all stay.
+    columns of ``docs``, whatever their names. Rows are told apart by numbers of their own: different texts without an id,
+    or with the same id, all stay.
     """
-    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    found = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), shingle, max_bits)
+    rows = stored(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("__row")), "rows")
+    found = near_duplicates(rows.select(F.col("__row").alias("doc_id"), F.col("doc.text").alias("text")), shingle, max_bits)
     # the smallest row number names a component, so no two share a name
-    named = stored(found.select(F.col("doc_id").alias("__row"), "component_id").join(rows.select("__row", "doc_id"), "__row"), "named")
+    named = stored(found.select(F.col("doc_id").alias("__row"), "component_id").join(rows.select("__row", F.col("doc.doc_id").alias("doc_id")), "__row"), "named")
     ids = named.groupBy("component_id", "doc_id").agg(F.min("__row").alias("row"), F.count("*").alias("n"))
     first = stored(ids.groupBy("component_id").agg(
         F.min_by(F.struct("doc_id", "row", "n"), F.struct(F.col("doc_id").isNull(), "doc_id")).alias("f")).select("component_id", "f.*"), "first")
     # texts are needed only where rows of a component share its smallest id
     ties = first.where("n > 1").select("component_id", F.col("doc_id").alias("__id"))
     tied = named.join(ties, "component_id").where(F.col("doc_id").eqNullSafe(F.col("__id"))).select("__row", "component_id")
-    chosen = rows.select("__row", "text").join(tied, "__row").groupBy("component_id").agg(F.min_by("__row", F.struct("text", "__row")).alias("__row"))
+    chosen = rows.select("__row", F.col("doc.text").alias("text")).join(tied, "__row").groupBy("component_id").agg(F.min_by("__row", F.struct("text", "__row")).alias("__row"))
     kept = first.where("n = 1").select(F.col("row").alias("__row")).union(chosen.select("__row"))
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+    return rows.join(kept, "__row", "left_semi").select("doc.*")

@@ -33,6 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def refuse(df: DataFrame, *names: str) -> None:
+    """Raise if ``df`` has a column that an operator adds: it would be overwritten."""
+    taken = sorted({c.lower() for c in df.columns} & {n.lower() for n in names})
+    if taken:
+        raise ValueError(f"the operator adds columns of these names: {', '.join(taken)}")
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` written once and read back: later steps neither recompute it nor see other row ids.
 

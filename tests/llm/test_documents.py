@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from fleetgauge.llm import packing, quality, sharding, simhash, token_counts, token_files
+from fleetgauge.llm import decontaminate, packing, quality, sharding, simhash, token_counts, token_files
 from fleetgauge.llm.graph import components
 from fleetgauge.session import shared_dir
 
@@ -182,3 +182,23 @@ def fits(lengths, room):
         if fits(lengths[1:], [r - lengths[0] * (j == i) for j, r in enumerate(room)]):
             return True
     return False
+
+
+def test_columns_with_names_of_their_own(spark):
+    """Input columns named like working columns keep their values, or are refused."""
+    rows = spark.createDataFrame([(1, "some text of a few words", 77, 5, "a"), (2, "quite another text stands here", 78, 6, "b"),
+                                  (3, "some text of a few words", 79, 7, "c")], "doc_id bigint, text string, __row int, component_id int, doc string")
+    kept = simhash.drop_near_duplicates(rows, 3, 2)
+    assert kept.columns == rows.columns and sorted(map(tuple, kept.collect())) == sorted(map(tuple, rows.where("doc_id < 3").collect()))
+    bench = spark.createDataFrame([(1, "quite another text stands here")], "item_id bigint, text string")
+    clean = decontaminate.drop_contaminated(rows, bench)
+    assert clean.columns == rows.columns and sorted(map(tuple, clean.collect())) == sorted(map(tuple, rows.where("doc_id <> 2").collect()))
+    pieces = spark.createDataFrame([(i, 3, i * 10, "x") for i in range(9)], "id int, length int, gap int, open string")
+    packed = packing.pack(pieces, 9)
+    assert sorted((r["id"], r["gap"], r["open"]) for r in packed.collect()) == [(i, i * 10, "x") for i in range(9)]
+    for taken in ("offset", "__GAP"):
+        with pytest.raises(ValueError):
+            packing.pack(pieces.withColumnRenamed("gap", taken), 9)
+    for taken in ("shard", "__place"):
+        with pytest.raises(ValueError):
+            sharding.shuffle_shards(pieces.withColumnRenamed("gap", taken), 3)
