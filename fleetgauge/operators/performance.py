@@ -211,14 +211,14 @@ def filters_used(planlog: DataFrame, planinfo: DataFrame, scanlog: DataFrame, *,
     """
     by_query = [*fleet, "query"]
     step, node = [*by_query, "userid", "segment", "step"], [*by_query, "userid", "nodeid"]
-    s = recent(scanlog, "starttime", as_of, lookback).where(
-        ~F.col("perm_table_name").like(f"{WORKTABLE}%") & F.col("perm_table_name").like(table_like)).groupBy(
-        *step, trimmed("perm_table_name").alias("table")).agg(
+    scans = recent(scanlog, "starttime", as_of, lookback).where(
+        ~F.col("perm_table_name").like(f"{WORKTABLE}%") & F.col("perm_table_name").like(table_like))
+    s = scans.groupBy(*step, trimmed("perm_table_name").alias("table")).agg(
         F.sum(F.greatest(boundary_diff("second", "starttime", "endtime"), F.lit(0))).alias("secs"))
     p = planlog.where((F.col("info").like("Filter:%") & (F.col("nodeid") > 0)) | F.col("info").like("Join Filter:%")).select(
         *node, trimmed("info").alias("filter"))
-    i = told_of(planinfo.select(*node, "segment", "step"), s, step)
-    return told_of(p, s, by_query).join(i, node).join(s, step).groupBy(*fleet, "table", "filter").agg(
+    i = told_of(planinfo.select(*node, "segment", "step"), scans, by_query)
+    return told_of(p, scans, by_query).join(i, node).join(s, step).groupBy(*fleet, "table", "filter").agg(
         F.sum("secs").alias("secs"), F.count_distinct("query").alias("n_queries"), F.max("query").alias("last_query"))
 
 

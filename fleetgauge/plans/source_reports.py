@@ -3,8 +3,9 @@
 
 from pyspark.sql import Window as W, functions as F
 
+from ..operators import sketches
 from ..session import shared_dir
-from ..sources import delimited, jsonpath, manifest, scan, tables
+from ..sources import delimited, footers, jsonpath, manifest, scan, tables
 from ..streaming import trends
 from .registry import add
 
@@ -161,6 +162,48 @@ add("s13_column_catalog", lambda i: scan.column_catalog(i.lineitem, "lineitem"),
     for n, (c, t) in enumerate(_COLS, 1)))
 
 
+# ---- layout of the stored tables themselves, from their footers
+_NUMBERS = [c for c, t in _COLS if t in ("bigint", "int", "double")]
+
+
+def _feet(i):
+    return footers.parquet_footers(i.spark, [f"{i.sf_dir}/lineitem.parquet"])
+
+
+add("d11_stored_column_cost", lambda i: footers.column_cost(_feet(i)).where(F.col("column").isin(_NUMBERS)).select("column", "n_values", "n_nulls", "low", "high"),
+    " union all ".join(f"select '{c}' as column, count(*) as n_values, count(*) - count({c}) as n_nulls, cast(min({c}) as double) as low, cast(max({c}) as double) as high from lineitem"
+                       for c in _NUMBERS))
+
+
+def _sorted_copy(i):
+    """Rows in a range, and row groups a scan for it reads, of the events stored in order of their time."""
+    path = _path(i, "in-order")
+    i.events.repartitionByRange(8, "ts").sortWithinPartitions("ts").write.parquet(path)
+    feet = footers.parquet_footers(i.spark, [path])
+    day = lambda n: n * 86_400_000_000
+    return footers.groups_to_read(feet, "ts", low=day(19737), high=day(19739)).join(footers.file_skew(feet).select("folder", "files"), "folder").select(
+        "rows", (F.col("read_groups") < F.col("row_groups")).alias("skips"), (F.col("read_rows") < F.col("rows")).alias("fewer_rows"))
+
+
+add("l08_groups_to_read", _sorted_copy, "select count(*) as rows, true as skips, true as fewer_rows from events")
+
+
+def _sketched(i):
+    """Users per event type: days' sketches, stored, merged over a span and held against the exact count."""
+    path = _path(i, "sketches")
+    days = tables.create_table_as(sketches.daily_sketches(i.events, "user_id", "ts", keys=["event_type"]), path)
+    span = sketches.merged_distinct(days, keys=["event_type"], start="2024-01-05", end="2024-01-20")
+    inside = i.events.where("cast(ts as date) between date '2024-01-05' and date '2024-01-20'")
+    exact = inside.groupBy("event_type").agg(F.count_distinct("user_id").alias("n_users"))
+    close = F.abs(F.col("n_distinct") - F.col("n_users")) <= F.col("n_users") * 3 * sketches.relative_error()
+    return span.join(exact, "event_type").select("event_type", "n", "n_users", close.alias("within_error"))
+
+
+add("a02_merged_sketches", _sketched, """
+    select event_type, count(*) as n, count(distinct user_id) as n_users, true as within_error from events
+    where cast(ts as date) between date '2024-01-05' and date '2024-01-20' group by 1""")
+
+
 # ---- streaming variants: the bound log is stored as files, then read as a stream
 def _streamed(i, log, build):
     path = _path(i, "stream")

@@ -25,6 +25,19 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def filter_at_scans(spark: SparkSession, *, small_mb: int = 64, large_mb: int = 1024) -> SparkSession:
+    """Let a join's small side cut down the scan of its large one by a Bloom filter of the keys, before the shuffle.
+
+    Made for the logs without a time of their own (plans, steps, metrics): the reports join them to the statements of a
+    window, and only rows of those statements leave the scan. Spark builds the filter only where the bounded side is
+    estimated at ``small_mb`` at most and the scan at ``large_mb`` at least, and never beyond its size limit.
+    """
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", "true")
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", f"{small_mb}m")
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", f"{large_mb}m")
+    return spark
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the folder every executor can reach (``spark.checkpoint.dir``).
 

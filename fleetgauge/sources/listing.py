@@ -11,13 +11,20 @@ from pyspark.sql import DataFrame
 _LISTED = "folder string, url string, name string, bytes bigint"
 
 
+def opened(url: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URL, and the path there."""
+    if "://" not in url and not url.startswith("file:"):
+        return fs.LocalFileSystem(), url
+    return fs.FileSystem.from_uri(url if "://" in url else url.replace("file:/", "file:///", 1))
+
+
 def _files(folder: str) -> list[tuple[str, str, str, int]]:
-    """The files of a folder and of its subfolders; none if there is no such folder. Hidden ones are left out."""
-    if "://" in folder or folder.startswith("file:"):
-        system, path = fs.FileSystem.from_uri(folder.replace("file:/", "file:///") if not folder.startswith("file://") else folder)
-        prefix = folder[:folder.index(path)] if path in folder else ""
-    else:
-        system, path, prefix = fs.LocalFileSystem(), folder, ""
+    """The files of a folder and of its subfolders, or the file itself; none if there is neither. Hidden ones are left out."""
+    system, path = opened(folder)
+    prefix = folder[:folder.index(path)] if path in folder else ""
+    itself = system.get_file_info(path)
+    if itself.is_file:
+        return [(folder, folder, itself.base_name, itself.size)]
     found = system.get_file_info(fs.FileSelector(path, allow_not_found=True, recursive=True))
     inside = lambda info: info.path[len(path.rstrip("/")) + 1:].split("/")
     return [(folder, prefix + info.path, info.base_name, info.size) for info in found

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetgauge.operators import performance, queue
 from fleetgauge.operators.rows import recent, since
 from fleetgauge.plans.bindings import Inputs
-from fleetgauge.session import shared_dir
+from fleetgauge.session import filter_at_scans, shared_dir
 from fleetgauge.sources.logstore import exchanges, store_log, use_buckets
 
 from .conftest import DATA
@@ -106,3 +106,53 @@ def test_days_are_added_in_the_same_layout(spark):
     undated = store_log(log.limit(3).withColumn("queue_start_time", F.lit(None).cast("timestamp_ntz")), f"{name}_n", ts="queue_start_time", buckets=2,
                         path=shared_dir(spark, "undated"))
     assert undated.count() == 3 and recent(undated, "queue_start_time", "2030-01-01", None).count() == 0
+
+
+@pytest.fixture
+def filtered_scans(spark):
+    """Every join may filter its scans, and none is broadcast."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    names = ["spark.sql.optimizer.runtime.bloomFilter." + x for x in ("enabled", "creationSideThreshold", "applicationSideScanSizeThreshold")]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield lambda large: filter_at_scans(spark, large_mb=large)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    for name in names:
+        spark.conf.unset(name)
+
+
+def test_scans_of_plans_are_filtered_by_the_window(spark, filtered_scans):
+    """A Bloom filter of the window's statements stands at the scans of the plan logs; fewer rows leave them for a shorter window."""
+    bound = Inputs(spark, DATA)
+    logs = []
+    for n in ("planlog", "planinfo", "scanlog"):
+        path = shared_dir(spark, f"t-{n}")
+        bound[n].write.parquet(path)
+        logs.append(spark.read.parquet(path))
+    report = lambda days: performance.filters_used(*logs, as_of="1996-01-01", lookback=days)
+    filtered_scans(1 << 20)
+    unfiltered = report(200)
+    assert "might_contain" not in unfiltered._jdf.queryExecution().optimizedPlan().toString()       # the scan is not large enough
+    want = rows(unfiltered)
+    filtered_scans(0)
+    filtered = report(200)
+    assert "might_contain" in filtered._jdf.queryExecution().optimizedPlan().toString() and rows(filtered) == want and want
+
+    def left_the_scans(df):
+        """Rows written to shuffles, summed over the final plan."""
+        df.collect()
+        plan, total = df._jdf.queryExecution().executedPlan(), 0
+        waiting = [plan.executedPlan() if hasattr(plan, "executedPlan") else plan]
+        while waiting:
+            node = waiting.pop()
+            name = node.getClass().getSimpleName()
+            if name in ("ShuffleQueryStageExec", "BroadcastQueryStageExec", "ResultQueryStageExec"):
+                waiting.append(node.plan())
+                continue
+            if name == "ShuffleExchangeExec":
+                total += node.metrics().apply("shuffleRecordsWritten").value()
+            children = node.children()
+            waiting += [children.apply(k) for k in range(children.size())]
+        return total
+
+    few, many = left_the_scans(report(5)), left_the_scans(report(2000))
+    assert 0 < few < many / 2
