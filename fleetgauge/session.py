@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import uuid
+import zipfile
 
+from pyspark import SparkFiles
 from pyspark.sql import SparkSession
 
 RUNTIME_CONF = {
@@ -25,6 +27,20 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package's modules to the executors, once a session, as ``--py-files`` would: for functions that run there."""
+    context, home = spark.sparkContext, os.path.dirname(os.path.abspath(__file__))
+    if not any(os.path.basename(f) == "fleetgauge.zip" for f in context._python_includes):
+        archive = os.path.join(SparkFiles.getRootDirectory(), "package", "fleetgauge.zip")
+        os.makedirs(os.path.dirname(archive), exist_ok=True)
+        with zipfile.ZipFile(archive, "w") as out:
+            for folder, _, names in os.walk(home):
+                for full in (os.path.join(folder, n) for n in names if n.endswith(".py")):
+                    out.write(full, os.path.relpath(full, os.path.dirname(home)))
+        context.addPyFile(archive)
+    return spark
+
+
 def filter_at_scans(spark: SparkSession, *, small_mb: int = 64, large_mb: int = 1024) -> SparkSession:
     """Let a join's small side cut down the scan of its large one by a Bloom filter of the keys, before the shuffle.
 

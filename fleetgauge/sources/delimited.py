@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from ..session import ship_package
 from .listing import listed
 from .lines import numbered, records, text_lines
 
@@ -149,6 +150,7 @@ def export_in_pieces(df: DataFrame, path: str, *, max_bytes: int, order_by: list
                                              names=["piece", "pos", "value"])
             pos += len(values)
 
+    ship_package(df.sparkSession)
     ordered = df.orderBy(*order_by, *ties).select(line)
     lines = ordered.mapInArrow(cut, _PIECES).sortWithinPartitions("piece", "pos").select("piece", "value")
     writer = lines.write.mode("overwrite").partitionBy("piece")

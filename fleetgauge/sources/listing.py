@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 
+from ..session import ship_package
+
 _LISTED = "folder string, url string, name string, bytes bigint"
 
 
@@ -40,4 +42,5 @@ def listed(folders: DataFrame, column: str = "folder") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int64()))],
                                                  names=["folder", "url", "name", "bytes"])
 
+    ship_package(folders.sparkSession)
     return folders.select(column).distinct().mapInArrow(look, _LISTED)
