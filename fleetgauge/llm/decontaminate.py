@@ -8,6 +8,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .encoding import portions
@@ -15,6 +16,7 @@ from .storage import stored
 
 _STEP = 8                       # passages begin at every eighth word
 _SPANS = (2, 4, 8)              # and have 16, 32 or 64 words
+_FITTED = 32                    # words of the passages the latent space is fitted on
 _GRAM = 8                       # a run of so many words of an item (all of a shorter one) makes a candidate
 _PLAIN = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -47,29 +49,64 @@ def _span(words: int) -> int:
     return max([s for s in _SPANS if s * _STEP <= words], default=_SPANS[0])
 
 
-def document_frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> np.ndarray:
-    """In how many of ``docs`` each word occurs; every task sends one row a word."""
+def _pair_sums(passage: np.ndarray, at: np.ndarray, n: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over passages of the products of two words' counts: keys first * words + second (first <= second), sums.
+
+    ``passage``, ``at``, ``n`` are the entries of a sparse matrix of counts, ordered by passage and word.
+    """
+    first = np.flatnonzero(np.diff(passage, prepend=-1))
+    end = np.append(first, len(passage))[1:]
+    left = np.repeat(end, end - first) - np.arange(len(passage))
+    a = np.repeat(np.arange(len(passage)), left)
+    b = a + np.arange(len(a)) - np.repeat(np.cumsum(left) - left, left)
+    keys, where = np.unique(at[a] * words + at[b], return_inverse=True)
+    return keys, np.bincount(where, weights=n[a] * n[b], minlength=len(keys)).astype(np.int64)
+
+
+def corpus_counts(docs: DataFrame, vocabulary: dict[bytes, int], most: int = 4_000_000) -> DataFrame:
+    """a, b, n: over the passages of 32 words of all ``docs``, the sum of the products of the counts of the words a <= b;
+    and, with a = -1, in how many of ``docs`` word b occurs. Whole numbers, so their order does not matter.
+
+    One reading of the texts serves both. A task folds its sums and sends them on when it holds ``most``."""
+    size = len(vocabulary)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(len(vocabulary), np.int64)
-        known = vocabulary.keys()
+        get, found = vocabulary.get, np.zeros(size, np.int64)
+        keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def rows(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], names=["a", "b", "n"])
+
         for batch in batches:
-            for text in batch.column("text").to_numpy(zero_copy_only=False):
-                at = [vocabulary[w] for w in known & set(plain_words(text))]
-                n[at] += 1
-        seen = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(n[seen])], names=["word", "n"])
-
-    out = np.zeros(len(vocabulary))
-    for word, n in docs.select("text").mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n")).collect():
-        out[word] = n
-    return out
+            for part in portions(batch, most=2_000_000):
+                texts = [plain_words(t) for t in part.column("text").to_numpy(zero_copy_only=False)]
+                sizes = np.array([len(t) for t in texts], np.int64)
+                at = np.fromiter(map(get, chain.from_iterable(texts), repeat(-1)), np.int64, int(sizes.sum()))
+                text = np.repeat(np.arange(len(texts)), sizes)
+                word = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                passages = -(-sizes // _FITTED)
+                passage = np.repeat(np.cumsum(passages) - passages, sizes) + word // _FITTED
+                known = at >= 0
+                found += np.bincount(np.unique(text[known] * size + at[known]) % size, minlength=size)
+                entry, n = np.unique(passage[known] * size + at[known], return_counts=True)
+                new, more = _pair_sums(entry // size, entry % size, n, size)
+                keys, where = np.unique(np.concatenate([keys, new]), return_inverse=True)
+                sums = np.bincount(where, weights=np.concatenate([sums, more]), minlength=len(keys)).astype(np.int64)
+                if len(keys) >= most:
+                    yield rows(keys // size, keys % size, sums)
+                    keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        seen = np.flatnonzero(found)
+        yield rows(np.full(len(seen), -1), seen, found[seen])
+        yield rows(keys // size, keys % size, sums)
+
+    return docs.select("text").mapInArrow(count, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def randomised_svd(passages: DataFrame, words: int, rank: int, rounds: int = 2, seed: int = 4) -> np.ndarray:
     """The leading right singular vectors (words x rank) of a sparse matrix stored as rows (at, value).
 
-    Each round multiplies the matrix and its transpose with a thin basis: tasks send their partial products
-    of words x (rank + 8) numbers, whose size does not depend on the number of rows. There are at most two tasks.
+    Each round multiplies the matrix and its transpose with a thin basis, some rows at a time: tasks send their partial
+    products of words x (rank + 8) numbers, whose size does not depend on the number of rows. There are at most two tasks.
     """
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((words, min(words, rank + 8))))[0]
     rows = passages.coalesce(2)
@@ -78,15 +115,18 @@ def randomised_svd(passages: DataFrame, words: int, rank: int, rounds: int = 2,
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = np.zeros(basis.shape)
             for batch in batches:
-                for at, value in zip(batch.column("at").to_pylist(), batch.column("value").to_pylist()):
-                    value = np.array(value)
-                    out[at] += np.outer(value, value @ basis[at])
-            yield pa.RecordBatch.from_arrays([pa.array([out.astype(np.float32).tobytes()], pa.binary())], names=["part"])
+                for k in range(0, batch.num_rows, 256):
+                    at, value = (batch.column(c).slice(k, 256) for c in ("at", "value"))
+                    n = pc.list_value_length(at).to_numpy(zero_copy_only=False)
+                    dense = np.zeros((len(n), words))
+                    dense[np.repeat(np.arange(len(n)), n), at.flatten().to_numpy()] = value.flatten().to_numpy()
+                    out += dense.T @ (dense @ basis)
+            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["part"])
 
         parts = rows.mapInArrow(partial, "part binary").toLocalIterator()
         total = np.zeros(basis.shape)
         for r in parts:
-            total += np.frombuffer(r["part"], np.float32).reshape(basis.shape)
+            total += np.frombuffer(r["part"]).reshape(basis.shape)
         return total
 
     for _ in range(rounds):
@@ -96,13 +136,6 @@ def randomised_svd(passages: DataFrame, words: int, rank: int, rounds: int = 2,
     return basis @ vectors[:, np.argsort(-values)[:rank]]
 
 
-def _rows(words: list[bytes], vocabulary: dict[bytes, int], weight: np.ndarray) -> tuple[list[int], list[float]]:
-    """One passage's tf-idf row."""
-    at, n = np.unique([vocabulary[w] for w in words if w in vocabulary], return_counts=True)
-    at = at.astype(np.int64)
-    return at.tolist(), (n * weight[at]).tolist()
-
-
 def _runs(at: np.ndarray, words: int) -> np.ndarray:
     """A hash of the run of ``words`` words that begins at each place (the last ones have none)."""
     n = max(0, len(at) - words + 1)
@@ -124,29 +157,41 @@ def _grams(parts: list[list[bytes]], vocabulary: dict[bytes, int]) -> list[tuple
     return out
 
 
-def build_index(docs: DataFrame, parts: list[list[bytes]], words: set[bytes], total: int, rank: int, sample_docs: int,
-                emphasis: float = 10.0) -> Index:
-    """Fit the latent space on the segments and the passages of about ``sample_docs`` documents; document frequencies
-    of ``words`` (all of the items') count all documents. Segment rows weigh ``emphasis`` times as much, so that none
-    falls outside the space."""
-    spark = docs.sparkSession
+def build_index(docs: DataFrame, parts: list[list[bytes]], words: set[bytes], total: int, rank: int, emphasis: float = 10.0) -> Index:
+    """Fit the latent space on the segments and all passages of all documents; document frequencies of ``words`` (all
+    of the items') count all documents. Segment rows weigh ``emphasis`` times as much, so that none falls outside the space.
+
+    The tf-idf matrix of all passages is never written: its product with its transpose, a word's row with the other
+    words of its passages, has the same singular vectors in the same order and is summed from whole numbers.
+    """
     vocabulary = {w: i for i, w in enumerate(sorted(words))}
-    found = document_frequencies(docs, vocabulary)
+    counts = stored(corpus_counts(docs, vocabulary), "word-pairs")
+    found = np.zeros(len(vocabulary))
+    for word, n in counts.where("a < 0").select("b", "n").collect():
+        found[word] = n
     weight = np.log((total + 1) / (found + 1)) + 0.1
-
-    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    items = [np.unique([vocabulary[w] for w in part], return_counts=True) for part in parts]
+    own = _pair_sums(np.repeat(np.arange(len(parts)), [len(at) for at, _ in items]), *(np.concatenate(x) for x in zip(*items)), len(vocabulary))
+
+    emphasised = docs.sparkSession.createDataFrame(list(zip((own[0] // len(vocabulary)).tolist(), (own[0] % len(vocabulary)).tolist(), own[1].tolist())),
+                                                   "a bigint, b bigint, n bigint")
+    sums = counts.where("a >= 0").withColumn("n", F.col("n").cast("double")).unionByName(
+        emphasised.withColumn("n", F.col("n") * emphasis ** 2)).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    both = F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("other"), "n"), F.when(F.col("a") != F.col("b"), F.struct(F.col("b").alias("word"), F.col("a").alias("other"), "n")))
+    pairs = sums.select(F.inline(F.filter(both, lambda p: p.isNotNull())))
+    row = F.array_sort(F.collect_list(F.struct(F.col("other").cast("int").alias("other"), "n")))
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [_rows(words[k:k + 32], vocabulary, weight) for text in batch.column("text").to_pylist()
-                   for words in [plain_words(text)] for k in range(0, len(words), 32)]
-            out = [r for r in out if r[0]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.list_(pa.int32())), pa.array([r[1] for r in out], pa.list_(pa.float64()))],
-                                             names=["at", "value"])
-
-    sample = docs.select("text").sample(min(1.0, sample_docs / max(1, total)), 4).mapInArrow(passages, "at array<int>, value array<double>")
-    own = [r for r in (_rows(part, vocabulary, weight) for part in parts) if r[0]]
-    own = [(at, [emphasis * v for v in value]) for at, value in own]
-    rows = stored(sample.union(spark.createDataFrame(own, "at array<int>, value array<double>")), "passages")
-    latent = weight[:, None] * randomised_svd(rows, len(vocabulary), rank)
+            rows = batch.column("row")
+            at, n = (pc.struct_field(rows.flatten(), k) for k in (0, 1))
+            word = np.repeat(batch.column("word").to_numpy(), pc.list_value_length(rows).to_numpy(zero_copy_only=False))
+            value = weight[word] * weight[at.to_numpy()] * n.to_numpy()
+            sizes = np.cumsum(np.append(0, pc.list_value_length(rows).to_numpy(zero_copy_only=False))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(sizes), at), pa.ListArray.from_arrays(pa.array(sizes), pa.array(value))], names=["at", "value"])
+
+    grams = pairs.groupBy("word").agg(row.alias("row")).mapInArrow(weighed, "at array<int>, value array<double>")
+    latent = weight[:, None] * randomised_svd(stored(grams, "word-products"), len(vocabulary), rank)
     groups = []
     for span in _SPANS:
         members = np.array([i for i, part in enumerate(parts) if _span(len(part)) == span], np.int64)
@@ -232,12 +277,12 @@ def candidates(texts: list[list[bytes]], index: Index, cosine: float) -> Iterato
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 256, cosine: float = 0.35, subsequence: float = 0.7,
-                 answer_words: int = 10, answer: float = 0.5, sample_docs: int = 2000, block: int = 200) -> DataFrame:
+                 answer_words: int = 10, answer: float = 0.5, block: int = 200) -> DataFrame:
     """doc_id, item_id, cosine, subsequence, answer: which of ``docs`` (doc_id, text) hold which ``benchmark`` items
     (item_id, text), exactly or paraphrased.
 
-    1. Word weights come from all documents; a randomised SVD of tf-idf passages (all items and about
-       ``sample_docs`` documents, the documented bound of the fit) gives ``rank`` latent dimensions.
+    1. Word weights come from all documents; a randomised SVD of tf-idf passages (all items and all documents) gives
+       ``rank`` latent dimensions.
     2. Every passage of 16, 32 or 64 words, at every eighth word of every whole text, is compared with the items of its
        size; those at ``cosine`` or more are candidates. So is, whatever its words weigh, every passage with a run of
        eight words of an item (all words of a shorter one): a whole item is found however many documents hold it.
@@ -262,10 +307,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 256, cosine:
         for part in segments(words):
             held.append((row["item_id"], words, part))
             if len(held) == block:
-                found.append(_search(docs, held, total, rank, cosine, subsequence, answer_words, answer, sample_docs, out))
+                found.append(_search(docs, held, total, rank, cosine, subsequence, answer_words, answer, out))
                 held = []
     if held:
-        found.append(_search(docs, held, total, rank, cosine, subsequence, answer_words, answer, sample_docs, out))
+        found.append(_search(docs, held, total, rank, cosine, subsequence, answer_words, answer, out))
     rows = spark.createDataFrame([], out)
     for f in found:
         rows = rows.union(f)
@@ -273,7 +318,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 256, cosine:
     return rows.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.cosine", "best.subsequence", "best.answer")
 
 
-def _search(docs, held, total, rank, cosine, subsequence, answer_words, answer, sample_docs, out) -> DataFrame:
+def _search(docs, held, total, rank, cosine, subsequence, answer_words, answer, out) -> DataFrame:
     # the pieces of an item follow each other, and two items may share an id
     items, item_ids, item_of = [], [], []
     for item_id, words, _ in held:
@@ -281,7 +326,7 @@ def _search(docs, held, total, rank, cosine, subsequence, answer_words, answer,
             items.append(words)
             item_ids.append(item_id)
         item_of.append(len(items) - 1)
-    index = build_index(docs, [part for _, _, part in held], {w for words in items for w in words}, total, rank, sample_docs)
+    index = build_index(docs, [part for _, _, part in held], {w for words in items for w in words}, total, rank)
     rarest = [sorted(set(words), key=lambda w: (-index.weight[index.vocabulary[w]], w))[:answer_words] for words in items]
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
