@@ -120,10 +120,11 @@ def gradients(w: Weights, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray
     return {k: v / n for k, v in g.items()}, float(loss / n), last
 
 
-def train(w: Weights, texts: list[np.ndarray], lanes: int = 32, window: int = 32, rate: float = 0.01) -> tuple[Weights, int, float]:
+def train(w: Weights, texts: list[np.ndarray], lanes: int = 32, window: int = 32, rate: float = 0.01, moments: dict | None = None) -> tuple[Weights, int, float]:
     """One pass of truncated backpropagation with Adam over token sequences laid end to end in ``lanes`` lanes.
 
     Each text begins after word 0. State is carried from window to window. Returns weights, tokens, mean loss.
+    ``moments`` (empty at first) carries Adam's averages from one call to the next, for streams too long for one.
     """
     stream = np.concatenate([np.zeros(0, np.int64), *[np.concatenate([[0], t]) for t in texts]]).astype(np.int64)
     steps = (len(stream) - 1) // lanes
@@ -132,8 +133,9 @@ def train(w: Weights, texts: list[np.ndarray], lanes: int = 32, window: int = 32
     grid = stream[:steps * lanes].reshape(lanes, steps).T
     after = stream[1:steps * lanes + 1].reshape(lanes, steps).T
     w = {k: v.copy() for k, v in w.items()}
-    mean, square = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
-    h, losses, k = np.zeros((lanes, w["state"].shape[0]), np.float32), [], 0
+    moments = {} if moments is None else moments
+    mean, square, k = moments.get("held") or ({k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}, 0)
+    h, losses = np.zeros((lanes, w["state"].shape[0]), np.float32), []
     for at in range(0, steps, window):
         g, loss, h = gradients(w, grid[at:at + window], after[at:at + window], h)
         k += 1
@@ -144,6 +146,7 @@ def train(w: Weights, texts: list[np.ndarray], lanes: int = 32, window: int = 32
             square[name] += np.float32(0.01) * (v * v - square[name])
             w[name] -= np.float32(rate) * (mean[name] / np.float32(1 - 0.9 ** k)) / (np.sqrt(square[name] / np.float32(1 - 0.99 ** k)) + np.float32(1e-6))
         losses.append(loss)
+    moments["held"] = mean, square, k
     return w, steps * lanes, float(np.mean(losses[-max(1, len(losses) // 4):]))
 
 

@@ -87,29 +87,47 @@ def _model_tokens(head: Head, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     return model[at], ends, words, at
 
 
-def train_model(docs: DataFrame, head: Head, classes: int, width: int, embed: int, hidden: int, sample_docs: int, tasks: int, rounds: int) -> gru.Weights:
-    """Train the recurrent part on about ``sample_docs`` training documents (the documented bound of the fit).
+def train_model(docs: DataFrame, head: Head, classes: int, width: int, embed: int, hidden: int, sample_docs: int | None, tasks: int | None, rounds: int,
+                lanes: int = 128, stream: int = 500_000) -> gru.Weights:
+    """Train the recurrent part on all training documents, each learnt from once (``sample_docs`` bounds them for a trial).
 
-    The documents are dealt to ``tasks`` tasks; in each round every task runs truncated backpropagation over
-    its documents from the same weights, and the weights are averaged by the tokens seen.
+    The documents are dealt to ``rounds`` rounds by their content, and in a round each partition is a task (``tasks`` deals
+    them anew): it runs truncated backpropagation over its documents from the round's weights, about ``stream`` tokens in
+    memory at a time, and the weights are averaged by the tokens seen.
     """
     weights = gru.new_weights(classes * width, classes, embed, hidden)
-    share = min(1.0, sample_docs / max(1, docs.count()))
-    sample = docs.sample(share, 7).select("doc_id", "text").repartition(tasks, F.xxhash64("doc_id", "text"))
-    sample = stored(sample, "lm-sample").repartition(tasks, F.xxhash64("doc_id"))
+    share = 1.0 if sample_docs is None else min(1.0, sample_docs / max(1, docs.count()))
+    dealt = docs if share == 1 else docs.sample(share, 7)
+    dealt = dealt if tasks is None else stored(dealt.repartition(tasks, F.xxhash64("doc_id", "text")), "lm-dealt").repartition(tasks, F.xxhash64("doc_id", "text"))
     shared = docs.sparkSession.sparkContext.broadcast(head)
     for turn in range(rounds):
         def learn(batches: Iterator[pa.RecordBatch], weights: gru.Weights = weights, turn: int = turn) -> Iterator[pa.RecordBatch]:
-            texts = []
-            for batch in batches:
-                keep = pa.array([not held_out(d) for d in batch.column("doc_id").to_pylist()], pa.bool_())
-                model, ends, _, _ = _model_tokens(shared.value, batch.column("text").filter(keep))
-                texts += np.split(model, ends[:-1]) if len(ends) else []
-            new, tokens, _ = gru.train(weights, texts, rate=0.01 / (1 + turn))
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(new)], pa.binary()), pa.array([tokens], pa.int64())], names=["weights", "tokens"])
+            texts, held, tokens, moments = [], 0, 0, {}
+
+            def fit(lanes: int) -> list[np.ndarray]:
+                """Learn from the texts held; the tokens that fill no whole row of lanes are given back."""
+                nonlocal weights, tokens
+                weights, n, _ = gru.train(weights, texts, lanes, rate=0.01 / (1 + turn), moments=moments)
+                tokens += n
+                rest = np.concatenate([np.zeros(0, np.int64), *[np.append(0, t) for t in texts]])[n + 1:]
+                return [rest] if len(rest) else []
 
+            for batch in batches:
+                for part in portions(batch, most=4_000_000):
+                    keep = pa.array([not held_out(d) for d in part.column("doc_id").to_pylist()], pa.bool_())
+                    model, ends, _, _ = _model_tokens(shared.value, part.column("text").filter(keep))
+                    texts += np.split(model, ends[:-1]) if len(ends) else []
+                    held += len(model) + len(ends)
+                    if held >= stream:
+                        texts, held = fit(lanes), 0
+            texts = fit(lanes)
+            fit(1)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(weights)], pa.binary()), pa.array([tokens], pa.int64())], names=["weights", "tokens"])
+
+        mine = dealt.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == turn)
+        learnt = stored(mine.mapInArrow(learn, "weights binary, tokens bigint"), "lm-weights")
         mean, seen = {k: np.zeros(v.shape) for k, v in weights.items()}, 0
-        for row in sample.mapInArrow(learn, "weights binary, tokens bigint").toLocalIterator():
+        for row in learnt.toLocalIterator():
             seen += row["tokens"]
             for k, v in pickle.loads(row["weights"]).items():
                 mean[k] += v * float(row["tokens"])
@@ -119,13 +137,13 @@ def train_model(docs: DataFrame, head: Head, classes: int, width: int, embed: in
 
 
 def score_documents(docs: DataFrame, head_words: int = 200_000, classes: int = 32, width: int = 32, embed: int = 16, hidden: int = 16,
-                    sample_docs: int = 3000, tasks: int = 6, rounds: int = 2) -> DataFrame:
+                    sample_docs: int | None = None, tasks: int | None = None, rounds: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each of ``docs`` (doc_id, text).
 
     base_score is the smoothed unigram log10 probability of the whole text under the counts of all
     training documents. score is the recurrent model's: classes * width - 2 frequent words have a number of their own;
     all others share one, times the smoothed unigram share of the word among them. The state runs through a whole
-    text, window after window.
+    text, window after window. The model learns from all training documents (see ``train_model``).
 
     Words beyond the ``head_words`` most frequent (the only counts sent to all tasks) are folded per document and
     meet their counts in a join. A null text has no words, only its end. Repeated rows are scored each;

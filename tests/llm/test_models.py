@@ -193,3 +193,50 @@ def simhash_rows(docs):
     kept = drop_near_duplicates(docs, 3, 2)
     assert kept.columns == docs.columns
     return kept.collect()
+
+
+def test_the_latent_space_is_fitted_on_every_passage(spark):
+    rng = np.random.default_rng(8)
+    item = [f"v{k}" for k in range(12)]
+    texts = [" ".join(rng.choice(item[i % 2 * 6:][:6] + ["x", "y", "z"], int(n))) for i, n in enumerate(rng.integers(0, 150, 2500))] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    vocabulary = {w.encode(): i for i, w in enumerate(item)}
+    frequency, products = np.zeros(12), np.zeros((12, 12))
+    for t in texts:
+        all_words = (t or "").split()
+        frequency += [w in all_words for w in item]
+        for k in range(0, len(all_words), 32):
+            n = np.array([all_words[k:k + 32].count(w) for w in item])
+            products += np.outer(n, n)
+    for most in (10, 4_000_000):
+        got = {(r["a"], r["b"]): r["n"] for r in decontaminate.corpus_counts(docs, vocabulary, most).collect()}
+        assert [got[-1, i] for i in range(12)] == frequency.tolist()
+        assert all(got.get((i, j), 0) == products[i, j] for i in range(12) for j in range(i, 12))
+    parts = [b"v0 v1 v2 v3 v4 v5".split(), b"v6 v7 v8 v9 v10 v11".split()]
+    index = decontaminate.build_index(docs, parts, {w.encode() for w in item}, len(texts), 2)
+    order = [index.vocabulary[w.encode()] for w in item]
+    own = np.array([[float(w.encode() in p) for w in item] for p in parts])
+    weight = np.log((len(texts) + 1) / (frequency + 1)) + 0.1
+    values, vectors = np.linalg.eigh(weight[:, None] * (products + 100 * own.T @ own) * weight)
+    latent = weight[:, None] * vectors[:, -2:]
+    unit = own @ latent
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    assert np.allclose(index.groups[0][2][order], latent @ unit.T, atol=1e-3)
+
+
+def test_the_model_learns_from_every_training_document(spark, monkeypatch):
+    texts = [f"start {' '.join(f'w{i % 7}' for _ in range(40))} t{i}" for i in range(4000)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    train = [i for i in range(4000) if not scoring.held_out(i)]
+    seen = []
+    monkeypatch.setattr(scoring.pickle, "loads", lambda b, load=scoring.pickle.loads: seen.append(load(b)) or seen[-1])
+    rows = []
+    real = scoring.stored
+    monkeypatch.setattr(scoring, "stored", lambda df, purpose: rows.append(real(df, purpose)) or rows[-1])
+    counts = Counter(w for i in train for w in [*texts[i].split(), scoring.END])
+    head = scoring.Head(dict(counts), {scoring.END: 0, **{f"w{k}": k + 2 for k in range(7)}}, sum(counts.values()), len(counts), 1.0)
+    model = scoring.train_model(docs, head, 4, 8, 4, 4, None, None, 2, lanes=4, stream=10_000)
+    tokens = sum(r["tokens"] for df in rows for r in df.collect())
+    whole = sum(len(texts[i].split()) + 2 for i in train)          # each text begins after an end
+    assert len(rows) == 2 and tokens == whole - len(seen)            # but for the first end of each task
+    assert len(train) > 3000 and all(np.isfinite(v).all() for v in model.values())
