@@ -1,15 +1,15 @@
 """Lines of text files with their numbers, and records that span lines, without one task per file.
 
 A file is read in blocks by as many tasks as it has blocks. What depends on everything before a line (its number, whether
-it lies inside a quoted field) is a running total: it is added up inside each block, and one row a block
-carries the totals of the blocks before it. The same holds for compressed files, which are one block.
+it lies inside a quoted field) is a running total: it is added up inside each stretch of up to 65,536 lines of a block, and one
+row a stretch carries the totals of the stretches before it. The same holds for compressed files, which are one block.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-_BLOCK = ["__file", "__block"]
+_STRETCH = ["__file", "__block", "__stretch"]
 
 
 def text_lines(spark: SparkSession, paths, encoding: str = "UTF-8") -> DataFrame:
@@ -23,19 +23,21 @@ def text_lines(spark: SparkSession, paths, encoding: str = "UTF-8") -> DataFrame
 def running_along_files(lines: DataFrame, totals: dict[str, Column]) -> DataFrame:
     """``lines`` (from ``text_lines``, with any columns added) with inclusive running sums of columns along each file.
 
-    Lines are shuffled once, by block. The sums per block are taken from that same shuffle (whole rows on both sides), so
-    that both see one reading of the files: another one could cut them into other blocks.
+    Lines are shuffled once, by stretch (the high bits of their place), so that no task holds a whole block. The sums per stretch
+    are taken from that same shuffle (whole rows on both sides), so that both see one reading of the files: another
+    one could cut them into other blocks. One row a stretch is ordered per file.
     """
     amounts = {f"__a_{name}": amount.cast("long") for name, amount in totals.items()}
-    parts = lines.select("*", *[a.alias(n) for n, a in amounts.items()]).repartition(*_BLOCK)
-    inside = W.partitionBy(*_BLOCK).orderBy("__place").rowsBetween(W.unboundedPreceding, 0)
+    place = F.shiftright("__place", 16).alias("__stretch")
+    parts = lines.select("*", place, *[a.alias(n) for n, a in amounts.items()]).repartition(*_STRETCH)
+    inside = W.partitionBy(*_STRETCH).orderBy("__place").rowsBetween(W.unboundedPreceding, 0)
     local = parts.select("*", *[F.sum(f"__a_{name}").over(inside).alias(f"__i_{name}") for name in totals])
-    blocks = parts.groupBy(*_BLOCK).agg(*[F.sum(n).alias(n) for n in amounts], F.max(F.struct("__place", *parts.columns)).alias("__last"))
-    before = W.partitionBy("__file").orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = parts.groupBy(*_STRETCH).agg(*[F.sum(n).alias(n) for n in amounts], F.max(F.struct("__place", *parts.columns)).alias("__last"))
+    before = W.partitionBy("__file").orderBy("__block", "__stretch").rowsBetween(W.unboundedPreceding, -1)
     carry = blocks.where("__last is not null").select(
-        *_BLOCK, *[F.coalesce(F.sum(f"__a_{name}").over(before), F.lit(0)).alias(f"__c_{name}") for name in totals])
+        *_STRETCH, *[F.coalesce(F.sum(f"__a_{name}").over(before), F.lit(0)).alias(f"__c_{name}") for name in totals])
     kept = [F.col(c) for c in lines.columns]
-    return local.join(carry, _BLOCK).select(*kept, *[(F.col(f"__i_{name}") + F.col(f"__c_{name}")).alias(name) for name in totals])
+    return local.join(carry, _STRETCH).select(*kept, *[(F.col(f"__i_{name}") + F.col(f"__c_{name}")).alias(name) for name in totals])
 
 
 def numbered(lines: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetgauge.session import shared_dir
 from fleetgauge.sources import delimited, jsonpath, manifest, scan, tables
-from fleetgauge.sources.lines import records as spark_records, text_lines
+from fleetgauge.sources.lines import numbered, records as spark_records, text_lines
 
 
 def write_lines(spark, path, lines):
@@ -235,3 +235,14 @@ def test_an_export_is_seen_whole_or_not_at_all(spark):
     assert manifest.load_published(spark, path, read).count() == 50
     manifest.publish(spark, path, lambda folder: delimited.export_in_pieces(spark.range(80), folder, max_bytes=60, order_by=["id"]))
     assert manifest.load_published(spark, path, read).count() == 80
+
+
+def test_lines_of_one_block_are_numbered_by_many_tasks(spark, tmp_path):
+    n = 200_000
+    with gzip.open(tmp_path / "one.csv.gz", "wt") as out:
+        out.writelines(f"{i},{'x' if i % 1000 == 3 else i}\n" for i in range(1, n + 1))
+    found = numbered(text_lines(spark, str(tmp_path)))
+    assert found.where("split_part(value, ',', 1) = cast(line_number as string)").count() == n
+    place = "cast(shiftright(__place, 16) as string)"
+    assert found.selectExpr(f"{place} as p").distinct().count() == 4
+    assert "__stretch" in found._jdf.queryExecution().optimizedPlan().toString()
