@@ -56,7 +56,9 @@ def acl_entries(classes: DataFrame, ns: DataFrame, db: DataFrame, proc: DataFram
     raw = F.split_part(item, F.lit("="), F.lit(1))
     grantor = F.split_part(item, F.lit("/"), F.lit(2))
     plain = lambda c: F.translate(F.trim(c), '"', "")
-    return reduce(DataFrame.unionByName, parts).select(
+    # a catalog is a small file read by few tasks: its entries are dealt to all tasks before they are parsed
+    listed = reduce(DataFrame.unionByName, parts)
+    return listed.repartition(F.xxhash64(*listed.columns)).select(
         *fleet, *_ACL_OUT, F.when(raw == "", PUBLIC).otherwise(plain(raw)).alias("grantee"), plain(grantor).alias("grantor"),
         F.trim(F.split_part(F.split_part(item, F.lit("="), F.lit(2)), F.lit("/"), F.lit(1))).alias("privilege"),
         F.when(raw == "", PUBLIC).otherwise(F.trim(raw)).alias("grantee_quoted"), (F.col("pos") + 1).alias("grant_seq"))
@@ -82,17 +84,17 @@ def _look_up(kind: Column, order: dict[str, int]) -> Column:
 def grant_revoke_text(entries: DataFrame, defacl: DataFrame, users: DataFrame, *, acting_user: str | None = None, fleet=FLEET) -> DataFrame:
     """Grant and revoke statements rebuilding or removing each ACL entry, with their order."""
     fleet = list(fleet)
-    e = acl_explode(entries).withColumn("full_name", _full_name())
+    e = acl_explode(entries).withColumns({"full_name": _full_name(), "quoted_grantor": quote_ident("grantor")})
     kind, priv = F.col("object_type"), F.col("privilege")
     is_default = kind == "default acl"
     to = lambda word: F.concat(F.lit(f" {word} "), F.col("grantee_quoted"))
-    as_default = F.concat(F.lit("ALTER DEFAULT PRIVILEGES for user "), quote_ident("grantor"),
+    as_default = F.concat(F.lit("ALTER DEFAULT PRIVILEGES for user "), F.col("quoted_grantor"),
                           F.coalesce(F.concat(F.lit(" in schema "), quote_ident("schema_name"), F.lit(" ")), F.lit(" ")))
     head = F.when(is_default, as_default).otherwise("")
     other = (F.col("grantor") != F.lit(acting_user or "")) & (F.col("grantor") != SERVER_USER) & ~is_default
 
     def framed(cond, text):
-        return F.concat(F.when(cond, F.concat(F.lit("SET SESSION AUTHORIZATION "), quote_ident("grantor"), F.lit(";"))).otherwise(""), text,
+        return F.concat(F.when(cond, F.concat(F.lit("SET SESSION AUTHORIZATION "), F.col("quoted_grantor"), F.lit(";"))).otherwise(""), text,
                         F.when(cond, "RESET SESSION AUTHORIZATION;").otherwise(""))
 
     def grant(what, on_kind, with_option):
@@ -105,14 +107,15 @@ def grant_revoke_text(entries: DataFrame, defacl: DataFrame, users: DataFrame, *
     each = [F.when(F.instr(priv, letter) > 0, grant(word, None if letter == "X" else on_kind, F.instr(priv, letter + "*") > 0)).otherwise("")
             for letter, word, on_kind in LETTERS]
     body = body.otherwise(F.concat(*each))
-    shape = lambda df, ddl_type, order, text: df.select(
-        *fleet, *_ACL_OUT, "grantor", "grantee", F.lit(ddl_type).alias("ddl_type"), F.col("grant_seq").cast("int").alias("grant_seq"),
-        order.cast("int").alias("object_seq"), text.alias("ddl"))
+    shape = lambda ddl_type, order, text: F.struct(
+        F.lit(ddl_type).alias("ddl_type"), F.col("grant_seq").cast("int").alias("grant_seq"), order.cast("int").alias("object_seq"), text.alias("ddl"))
     on = F.when(kind.isin("table", "view") | is_default, "").otherwise(F.concat(kind, F.lit(" ")))
     revoke = F.concat(head, F.lit("REVOKE ALL on "), on, F.col("full_name"), to("FROM"), F.lit(";"))
-    grants = shape(e, "grant", _look_up(kind, GRANT_ORDER), framed(other, body))
-    revokes = shape(e.where(~(is_default & (F.col("grantee") == PUBLIC) & (F.col("object_name") == "functions"))), "revoke",
-                    _look_up(kind, REVOKE_ORDER), framed(other & (F.col("grantor") != F.coalesce("object_owner", F.lit(""))), revoke))
+    # both statements of an entry come from one reading of it
+    granted = shape("grant", _look_up(kind, GRANT_ORDER), framed(other, body))
+    revoked = F.when(~(is_default & (F.col("grantee") == PUBLIC) & (F.col("object_name") == "functions")), shape(
+        "revoke", _look_up(kind, REVOKE_ORDER), framed(other & (F.col("grantor") != F.coalesce("object_owner", F.lit(""))), revoke)))
+    statements = e.select(*fleet, *_ACL_OUT, "grantor", "grantee", F.inline(F.filter(F.array(granted, revoked), lambda s: s.isNotNull())))
     # database-wide default privileges get back what the revokes took from their owner
     own = with_owner(defacl.where("defaclnamespace = 0"), users, "defacluser", fleet)
     owner = quote_ident("owner_name")
@@ -122,7 +125,7 @@ def grant_revoke_text(entries: DataFrame, defacl: DataFrame, users: DataFrame, *
     restored = own.select(*fleet, none.alias("object_owner"), none.alias("schema_name"), default_acl_object().alias("object_name"),
                           F.lit("default acl").alias("object_type"), F.col("owner_name").alias("grantor"), none.alias("grantee"),
                           F.lit("revoke").alias("ddl_type"), F.lit(5).alias("grant_seq"), F.lit(5).alias("object_seq"), back.alias("ddl"))
-    return grants.unionByName(revokes).unionByName(restored)
+    return statements.unionByName(restored)
 
 
 # Letters that make a user or group a holder of something, per object kind.

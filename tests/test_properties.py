@@ -88,3 +88,27 @@ def test_tables_without_a_row_on_slice_zero_are_reported(spark, inputs):
     assert whole and part == [r for r in whole if r["tbl"] in listed]
     runs = layout.maintenance_summary(inputs.vacuumlog, perm, inputs.db, inputs.blocks, inputs.txns, as_of="2002-01-01 00:00:00")
     assert runs.where("table_name is null").count() == runs.where(~F.col("table_id").isin(*listed)).count()
+
+
+def test_commit_breakdown_adds_up_beyond_64_bits(spark):
+    n = 20_000
+    when = lambda s: f"timestamp_ntz '{s}'"
+    log = spark.range(n).selectExpr("id as query", "id as xid", f"{when('2024-01-01 00:00:00')} as starttime", f"{when('2024-01-01 00:00:02')} as endtime")
+    queued = spark.range(n).selectExpr("id as query", "7 as service_class", f"{when('2024-01-01 00:00:00')} as service_class_start_time",
+                                       f"{when('2024-01-01 00:00:00')} as queue_start_time", f"{when('2024-01-01 00:00:01')} as queue_end_time",
+                                       f"{when('2024-01-01 00:00:02')} as service_class_end_time")
+    commits = spark.range(n).selectExpr("id as xid", "0 as node", f"{when('1994-01-01 00:00:00')} as startqueue",
+                                        f"{when('1994-01-01 00:00:01')} as startwork", f"{when('1994-01-01 00:00:03')} as endtime")
+    row, = queue.queue_commit_breakdown(log, commits, queued).collect()
+    span = -(10_957 * 86_400 - 3) * 1_000_000
+    assert row.total_us == (n - 1) * span < -2 ** 63 and row.n_commits == n - 1
+    assert row.queue_us == (n - 1) * 1_000_000 and row.commit_us == (n - 1) * 2_000_000
+
+
+def test_acl_entries_are_dealt_to_all_tasks_before_they_are_parsed(spark):
+    from fleetgauge.plans import catalog_reports
+    i = Inputs(spark, DATA)
+    plan = privileges.grant_revoke_text(catalog_reports._entries(i), i.defacl, i.users)._jdf.queryExecution().optimizedPlan().toString()
+    parsed = [k for k, line in enumerate(plan.splitlines()) if "split_part" in line]
+    dealt = [k for k, line in enumerate(plan.splitlines()) if "RepartitionByExpression" in line]
+    assert dealt and min(parsed) < min(dealt)
