@@ -27,7 +27,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) ->
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = piece_table(tokenizer)
         for batch in batches:
-            for part in portions(batch):
+            for part in portions(batch, most=2_000_000):       # encoding holds some fifty times a portion
                 ids, ends = table.encode(part.column("text"), end_id)
                 ids = ids.astype("<u4")
                 sizes = np.diff(ends, prepend=0)
