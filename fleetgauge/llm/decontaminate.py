@@ -49,8 +49,8 @@ def _span(words: int) -> int:
     return max([s for s in _SPANS if s * _STEP <= words], default=_SPANS[0])
 
 
-def _pair_sums(passage: np.ndarray, at: np.ndarray, n: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sums over passages of the products of two words' counts: keys first * words + second (first <= second), sums.
+def _pairs(passage: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each two words of a passage (first <= second) and the product of their counts in it.
 
     ``passage``, ``at``, ``n`` are the entries of a sparse matrix of counts, ordered by passage and word.
     """
@@ -59,26 +59,39 @@ def _pair_sums(passage: np.ndarray, at: np.ndarray, n: np.ndarray, words: int) -
     left = np.repeat(end, end - first) - np.arange(len(passage))
     a = np.repeat(np.arange(len(passage)), left)
     b = a + np.arange(len(a)) - np.repeat(np.cumsum(left) - left, left)
-    keys, where = np.unique(at[a] * words + at[b], return_inverse=True)
-    return keys, np.bincount(where, weights=n[a] * n[b], minlength=len(keys)).astype(np.int64)
+    return at[a], at[b], n[a] * n[b]
 
 
-def corpus_counts(docs: DataFrame, vocabulary: dict[bytes, int], most: int = 4_000_000) -> DataFrame:
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order and their sums."""
+    keys, where = np.unique(keys, return_inverse=True)
+    return keys, np.bincount(where, weights=n, minlength=len(keys)).astype(np.int64)
+
+
+def corpus_counts(docs: DataFrame, vocabulary: dict[bytes, int], most: int = 4_000_000, often: int = 2_048) -> DataFrame:
     """a, b, n: over the passages of 32 words of all ``docs``, the sum of the products of the counts of the words a <= b;
     and, with a = -1, in how many of ``docs`` word b occurs. Whole numbers, so their order does not matter.
 
-    One reading of the texts serves both. A task folds its sums and sends them on when it holds ``most``."""
+    One reading of the texts serves both. A task numbers the words by their frequency in the first texts it reads and adds
+    the products of the ``often`` first ones up in a square array, the others' by key; it sends these on when it holds ``most``."""
     size = len(vocabulary)
+    side = min(size, often)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get, found = vocabulary.get, np.zeros(size, np.int64)
+        square = np.zeros(side * side, np.int64)
         keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        order = rank = None
+
+        def rows(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
 
-        def rows(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], names=["a", "b", "n"])
+        def pairs(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            a, b = order[a], order[b]
+            return rows(np.minimum(a, b) * size + np.maximum(a, b), n)
 
         for batch in batches:
-            for part in portions(batch, most=2_000_000):
+            for part in portions(batch, most=500_000):
                 texts = [plain_words(t) for t in part.column("text").to_numpy(zero_copy_only=False)]
                 sizes = np.array([len(t) for t in texts], np.int64)
                 at = np.fromiter(map(get, chain.from_iterable(texts), repeat(-1)), np.int64, int(sizes.sum()))
@@ -87,19 +100,31 @@ def corpus_counts(docs: DataFrame, vocabulary: dict[bytes, int], most: int = 4_0
                 passages = -(-sizes // _FITTED)
                 passage = np.repeat(np.cumsum(passages) - passages, sizes) + word // _FITTED
                 known = at >= 0
-                found += np.bincount(np.unique(text[known] * size + at[known]) % size, minlength=size)
-                entry, n = np.unique(passage[known] * size + at[known], return_counts=True)
-                new, more = _pair_sums(entry // size, entry % size, n, size)
-                keys, where = np.unique(np.concatenate([keys, new]), return_inverse=True)
-                sums = np.bincount(where, weights=np.concatenate([sums, more]), minlength=len(keys)).astype(np.int64)
+                at, text, passage = at[known], text[known], passage[known]
+                if order is None:
+                    order = np.argsort(-np.bincount(at, minlength=size), kind="stable")
+                    rank = np.argsort(order)
+                found += np.bincount(np.unique(text * size + at) % size, minlength=size)
+                entry = np.sort(passage * size + rank[at])
+                first = np.flatnonzero(np.diff(entry, prepend=-1))
+                a, b, n = _pairs(entry[first] // size, entry[first] % size, np.diff(first, append=len(entry)))
+                low = b < side
+                np.add.at(square, a[low] * side + b[low], n[low])
+                if not low.all():
+                    keys, sums = _summed(np.concatenate([keys, a[~low] * size + b[~low]]), np.concatenate([sums, n[~low]]))
                 if len(keys) >= most:
-                    yield rows(keys // size, keys % size, sums)
+                    yield pairs(keys // size, keys % size, sums)
                     keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
         seen = np.flatnonzero(found)
-        yield rows(np.full(len(seen), -1), seen, found[seen])
-        yield rows(keys // size, keys % size, sums)
+        yield rows(seen - size, found[seen])
+        if order is not None:
+            held = np.flatnonzero(square)
+            yield pairs(held // side, held % side, square[held])
+            yield pairs(keys // size, keys % size, sums)
 
-    return docs.select("text").mapInArrow(count, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    # one number for a and b: a * size + b
+    found = docs.select("text").mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    return found.select(F.floor(F.col("key") / size).alias("a"), F.pmod("key", F.lit(size)).cast("bigint").alias("b"), "n")
 
 
 def randomised_svd(passages: DataFrame, words: int, rank: int, rounds: int = 2, seed: int = 4) -> np.ndarray:
@@ -171,7 +196,8 @@ def build_index(docs: DataFrame, parts: list[list[bytes]], words: set[bytes], to
         found[word] = n
     weight = np.log((total + 1) / (found + 1)) + 0.1
     items = [np.unique([vocabulary[w] for w in part], return_counts=True) for part in parts]
-    own = _pair_sums(np.repeat(np.arange(len(parts)), [len(at) for at, _ in items]), *(np.concatenate(x) for x in zip(*items)), len(vocabulary))
+    a, b, n = _pairs(np.repeat(np.arange(len(parts)), [len(at) for at, _ in items]), *(np.concatenate(x) for x in zip(*items)))
+    own = _summed(a * len(vocabulary) + b, n)
 
     emphasised = docs.sparkSession.createDataFrame(list(zip((own[0] // len(vocabulary)).tolist(), (own[0] % len(vocabulary)).tolist(), own[1].tolist())),
                                                    "a bigint, b bigint, n bigint")
@@ -216,64 +242,111 @@ def common_subsequence(a: list[bytes], b: list[bytes]) -> int:
     return len(a) - row.bit_count()
 
 
-def candidates(texts: list[list[bytes]], index: Index, cosine: float) -> Iterator[tuple[int, int, int, int, float]]:
-    """text, first word, words, segment, cosine of every passage whose cosine with a segment is high enough, and of
-    those that begin with the step of a run of words of a segment, whatever their cosine.
+@dataclass(frozen=True)
+class Words:
+    """Some texts, one after the other, as the numbers of their words in a vocabulary (-1 for others)."""
+
+    at: np.ndarray
+    begin: np.ndarray
+    sizes: np.ndarray
+
+
+def numbered(texts: list[list[bytes]], vocabulary: dict[bytes, int]) -> Words:
+    sizes = np.array([len(t) for t in texts], np.int64)
+    at = np.fromiter(map(vocabulary.get, chain.from_iterable(texts), repeat(-1)), np.int64, int(sizes.sum()))
+    return Words(at, np.cumsum(sizes) - sizes, sizes)
+
+
+def candidates(texts: Words, index: Index, cosine: float) -> tuple[np.ndarray, ...]:
+    """text, first word, words, segment, cosine (an array each) of every passage whose cosine with a segment is high
+    enough, and of those that begin with the step of a run of words of a segment, whatever their cosine.
 
     The product with a segment is a sum over words, so each word's products with all segments are looked up and summed
     over the passage's steps.
     """
-    pad, get = max(_SPANS) - 1, index.vocabulary.get
-    sizes = np.array([len(t) for t in texts], np.int64)
+    pad, at, sizes = max(_SPANS) - 1, texts.at, texts.sizes
     steps = -(-sizes // _STEP) + pad
     begin = np.cumsum(steps) - steps
-    at = np.fromiter(map(get, chain.from_iterable(texts), repeat(-1)), np.int64, int(sizes.sum()))
-    text = np.repeat(np.arange(len(texts)), sizes)
-    word = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    word = np.arange(len(at)) - np.repeat(texts.begin, sizes)
     telling = at >= 0
+    none = np.zeros(0, np.int64)
     runs = [np.zeros((0, 2), np.int64)]                       # step, segment
     for length, hashes, owners in index.grams:
-        found = _runs(at, length)
+        unknown = np.cumsum(np.append(0, ~telling))
+        where = np.flatnonzero(unknown[length:] == unknown[:-length]) if len(at) >= length else none      # all words known
+        where = where[text[where] == text[where + length - 1]]
+        found = _runs(at, length)[where]
         low = np.searchsorted(hashes, found)
-        where = np.flatnonzero((hashes[np.minimum(low, len(hashes) - 1)] == found) & (text[:len(found)] == text[length - 1:]))
-        low, times = low[where], np.searchsorted(hashes, found[where], "right") - low[where]
+        same = hashes[np.minimum(low, len(hashes) - 1)] == found
+        where, low = where[same], low[same]
+        times = np.searchsorted(hashes, found[same], "right") - low
         nth = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
         step = begin[text[where]] + word[where] // _STEP
         runs.append(np.stack([np.repeat(step, times), owners[np.repeat(low, times) + nth]], axis=1))
     runs = np.unique(np.concatenate(runs), axis=0)
     at, text, word = at[telling], text[telling], word[telling]
+    out = [(none, none, none, none, np.zeros(0))]
     if not len(at):
-        return
+        return out[0]
     step = begin[text] + word // _STEP
     first = np.flatnonzero(np.diff(step, prepend=-1))
-    number = np.arange(len(step)) - np.repeat(first, np.diff(first, append=len(step)))
+    told = np.diff(first, append=len(step))                   # telling words of each step that has one
+    most = np.argsort(-told, kind="stable")
+    heads, held = first[most], np.bincount(told).tolist()
     total = int(steps.sum())
     mass = np.zeros(total + 1)
     mass[step[first] + 1] = np.add.reduceat(index.weight[at].astype(np.float64) ** 2, first)
     mass = np.cumsum(mass)
-    owner = np.repeat(np.arange(len(texts)), steps)
+    owner = np.repeat(np.arange(len(sizes)), steps)
     inside = np.arange(len(owner)) - begin[owner] < (steps - pad)[owner]
+    starts = np.flatnonzero(inside)
     for span, members, products in index.groups:
+        each, live = products[at[heads]], len(heads)
+        for k in range(1, len(held)):                         # the k-th telling word, where there is one
+            live -= held[k]
+            each[:live] += products[at[heads[:live] + k]]
         sums = np.zeros((total, len(members)), np.float32)
-        for k in range(_STEP):                                # the k-th telling word of each step that has one
-            nth = np.flatnonzero(number == k)
-            sums[step[nth]] += products[at[nth]]
+        sums[step[heads]] = each
         width = 1
         while width < span:                                   # spans are powers of two
             sums[:total - width] += sums[width:].copy()
             width *= 2
-        starts = np.flatnonzero(inside)
         # the passage's length is that of its tf-idf vector (words repeated in it counted apart), so that what it
         # has outside the latent space speaks against it
-        size = np.sqrt(np.maximum(mass[starts + span] - mass[starts], 0))
-        starts, size = starts[size > 0.05], size[size > 0.05]    # no word weighs less than 0.1
-        high = sums[starts] >= cosine * size[:, None]
+        size = np.zeros(total)
+        size[starts] = np.sqrt(np.maximum(mass[starts + span] - mass[starts], 0))
+        least = np.full(total, np.inf, np.float32)            # the least 32-bit number that is high enough
+        some = size > 0.05                                    # no word weighs less than 0.1
+        exact = cosine * size[some]
+        near = exact.astype(np.float32)
+        least[some] = np.where(near < exact, np.nextafter(near, np.float32(np.inf)), near)
+        high = sums >= least[:, None]
         own = runs[np.isin(runs[:, 1], members)]
-        high[np.searchsorted(starts, own[:, 0]), np.searchsorted(members, own[:, 1])] = True
-        for i, j in zip(*np.nonzero(high)):
-            s = int(starts[i])
-            t = int(owner[s])
-            yield t, (s - int(begin[t])) * _STEP, span * _STEP, int(members[j]), float(sums[s, j] / size[i])
+        high[own[:, 0], np.searchsorted(members, own[:, 1])] = True
+        i, j = np.divmod(np.flatnonzero(high), len(members))
+        t = owner[i]
+        out.append((t, (i - begin[t]) * _STEP, np.full(len(t), span * _STEP), members[j], sums[i, j] / size[i]))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def _telling(rarest: list[list[bytes]], vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each word of the vocabulary the items it is one of the ``rarest`` words of: where they begin in the list, how
+    many they are; the list."""
+    pairs = sorted((vocabulary[w], i) for i, words in enumerate(rarest) for w in words)
+    n = np.bincount(np.array([w for w, _ in pairs], np.int64), minlength=len(vocabulary) + 1)      # the last one stands for all others
+    return np.cumsum(n) - n, n, np.array([i for _, i in pairs], np.int64)
+
+
+def rare_places(texts: Words, telling: tuple[np.ndarray, np.ndarray, np.ndarray], item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """How many places from ``low`` to before ``high`` in the texts hold a rarest word of ``item`` (an array each)."""
+    first, n, items = telling
+    times = n[texts.at]
+    place = np.repeat(np.arange(len(times)), times)
+    nth = np.arange(len(place)) - np.repeat(np.cumsum(times) - times, times)
+    stride = len(times) + 1
+    held = np.sort(items[first[texts.at[place]] + nth] * stride + place)
+    return np.searchsorted(held, item * stride + high) - np.searchsorted(held, item * stride + low)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 256, cosine: float = 0.35, subsequence: float = 0.7,
@@ -328,25 +401,32 @@ def _search(docs, held, total, rank, cosine, subsequence, answer_words, answer,
         item_of.append(len(items) - 1)
     index = build_index(docs, [part for _, _, part in held], {w for words in items for w in words}, total, rank)
     rarest = [sorted(set(words), key=lambda w: (-index.weight[index.vocabulary[w]], w))[:answer_words] for words in items]
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared = docs.sparkSession.sparkContext.broadcast((index, _telling(rarest, index.vocabulary)))
+    sizes, asked, owner = (np.array(x, np.int64) for x in ([len(words) for words in items], [len(words) for words in rarest], item_of))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        index, telling = shared.value
         for batch in batches:
             for part in portions(batch, most=500_000):         # what is summed per step then stays in the cache
                 ids = part.column("doc_id").to_pylist()
-                texts = [plain_words(t) for t in part.column("text").to_numpy(zero_copy_only=False)]
+                words = [plain_words(t) for t in part.column("text").to_numpy(zero_copy_only=False)]
+                texts = numbered(words, index.vocabulary)
+                text, first, length, segment, cosines = candidates(texts, index, cosine)
+                item = owner[segment]
+                low, high = np.maximum(0, first - sizes[item]), np.minimum(texts.sizes[text], first + length + sizes[item])
+                # a place is no more than a word, so what fails here fails below
+                able = rare_places(texts, telling, item, texts.begin[text] + low, texts.begin[text] + high) / asked[item] >= answer
                 best: dict[tuple[int, int], tuple] = {}
-                for t, first, words, segment, close in candidates(texts, index, cosine):
-                    item = item_of[segment]
-                    if best.get((t, item), (0,))[0] == 1:
+                for t, i, a, b, close in zip(*(x[able].tolist() for x in (text, item, low, high, cosines))):
+                    if best.get((t, i), (0,))[0] == 1:
+                        continue
+                    near = words[t][a:b]
+                    told = len(set(rarest[i]) & set(near)) / len(rarest[i])
+                    if told < answer:
                         continue
-                    wanted = items[item]
-                    near = texts[t][max(0, first - len(wanted)):first + words + len(wanted)]
-                    share = common_subsequence(wanted, near) / len(wanted)
-                    told = len(set(rarest[item]) & set(near)) / len(rarest[item])
-                    if share >= subsequence and told >= answer:
-                        best[t, item] = max(best.get((t, item), (0,)), (share, close, told))
+                    share = common_subsequence(items[i], near) / len(items[i])
+                    if share >= subsequence:
+                        best[t, i] = max(best.get((t, i), (0,)), (share, close, told))
                 rows = [(ids[t], item_ids[i], c, s, a) for (t, i), (s, c, a) in best.items()]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), [pa.int64()] * 2 + [pa.float64()] * 3)],

@@ -4,6 +4,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -82,6 +83,45 @@ def test_a_long_item_is_found_whole_and_paraphrased(spark):
         assert {(r["doc_id"], r["item_id"]): round(r["subsequence"], 4) for r in found} == {(1, 1): 1.0, (2, 1): round(1250 / 1500, 4)}
 
 
+def test_only_passages_with_the_rare_words_are_compared_whole(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    common, rare = [f"c{k}" for k in range(20)], [f"r{k}" for k in range(10)]
+    item = " ".join(common + rare)
+    texts = [" ".join(rng.choice(common, 300)) + f" r{i % 10} r{(i + 1) % 10}" for i in range(60)] + [f"before it {item} and after it"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    calls, scans, index, real = [], [], decontaminate.build_index, decontaminate.common_subsequence
+    monkeypatch.setattr(decontaminate, "common_subsequence", lambda a, b: calls.append(1) or real(a, b))
+    monkeypatch.setattr(decontaminate, "build_index", lambda _, *rest: index(docs, *rest))
+    stub = SimpleNamespace(sparkSession=docs.sparkSession, mapInArrow=lambda scan, schema: scans.append(scan))
+    words = decontaminate.plain_words(item)
+    decontaminate._search(stub, [(7, words, words)], len(texts), 256, 0.0, 0.7, 10, 0.5, "")      # every passage is a candidate
+    found = [r for b in scans[0](iter(docs.toArrow().to_batches())) for r in b.to_pylist()]
+    assert [(r["doc_id"], r["item_id"], r["subsequence"], r["answer"]) for r in found] == [(60, 7, 1.0, 1.0)]
+    assert 1 <= len(calls) < 20                                                                     # of some 2,300
+
+
+def test_places_of_rare_words():
+    rng = np.random.default_rng(4)
+    vocabulary = {f"w{k}".encode(): k for k in range(30)}
+    rarest = [[f"w{k}".encode() for k in rng.choice(30, n, replace=False)] for n in (1, 4, 10)]
+    texts = [[f"w{k}".encode() for k in rng.integers(0, 40, n)] for n in (0, 50, 1, 200)]
+    words = decontaminate.numbered(texts, vocabulary)
+    flat = [w for t in texts for w in t]
+    item, low = rng.integers(0, 3, 300), rng.integers(0, len(flat), 300)
+    high = np.minimum(len(flat), low + rng.integers(0, 80, 300))
+    got = decontaminate.rare_places(words, decontaminate._telling(rarest, vocabulary), item, low, high)
+    assert got.tolist() == [sum(w in rarest[i] for w in flat[a:b]) for i, a, b in zip(item, low, high)]
+
+
+def test_products_of_rare_words_are_summed_like_those_of_frequent_ones(spark):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{k}" for k in (12 * rng.random(90) ** 2).astype(int)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    vocabulary = {f"w{k}".encode(): k for k in range(12)}
+    square, keys = ({(r["a"], r["b"]): r["n"] for r in decontaminate.corpus_counts(docs, vocabulary, often=often).collect()} for often in (12, 3))
+    assert square == keys and len(square) == 12 + 78
+
+
 def test_randomised_svd_is_close_to_the_exact_one(spark):
     rng = np.random.default_rng(1)
     dense = rng.standard_normal((60, 6)) @ rng.standard_normal((6, 25)) + 0.01 * rng.standard_normal((60, 25))
