@@ -173,6 +173,16 @@ def test_model_is_a_distribution_and_windows_do_not_matter():
     assert np.allclose(gru.score_texts(w, texts), gru.score_texts(w, texts, lanes=2, window=5), atol=1e-3)
 
 
+def test_lanes_stay_full_while_texts_of_all_lengths_are_scored(monkeypatch):
+    w, rng = gru.new_weights(64, 8, 4, 6, seed=2), np.random.default_rng(5)
+    texts = [rng.integers(0, 64, n) for n in [10] * 20 + [0, 100, 1] + [10] * 9]
+    alone = [float(gru.score_texts(w, [t])[0]) for t in texts]
+    real, steps = gru._run, []
+    monkeypatch.setattr(gru, "_run", lambda w, tokens, *rest: steps.append(len(tokens)) or real(w, tokens, *rest))
+    assert np.allclose(gru.score_texts(w, texts, lanes=4, window=7), alone, atol=1e-3)
+    assert sum(steps) == 100                                        # 391 tokens; four texts at a time would take 170 steps
+
+
 @pytest.mark.parametrize("head_words", [200_000, 50])
 def test_base_scores(spark, head_words):
     docs = odd_docs(spark)
