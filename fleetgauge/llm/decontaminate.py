@@ -105,9 +105,10 @@ def corpus_counts(docs: DataFrame, vocabulary: dict[bytes, int], most: int = 4_0
                     order = np.argsort(-np.bincount(at, minlength=size), kind="stable")
                     rank = np.argsort(order)
                 found += np.bincount(np.unique(text * size + at) % size, minlength=size)
-                entry = np.sort(passage * size + rank[at])
+                entry = passage * size + rank[at]
+                entry = np.sort(entry.astype(np.int32) if int(passages.sum()) * size < 2 ** 31 else entry)
                 first = np.flatnonzero(np.diff(entry, prepend=-1))
-                a, b, n = _pairs(entry[first] // size, entry[first] % size, np.diff(first, append=len(entry)))
+                a, b, n = _pairs(*np.divmod(entry[first].astype(np.int64), size), np.diff(first, append=len(entry)))
                 low = b < side
                 np.add.at(square, a[low] * side + b[low], n[low])
                 if not low.all():
@@ -310,7 +311,7 @@ def candidates(texts: Words, index: Index, cosine: float) -> tuple[np.ndarray, .
         sums[step[heads]] = each
         width = 1
         while width < span:                                   # spans are powers of two
-            sums[:total - width] += sums[width:].copy()
+            sums = sums[:-width] + sums[width:]
             width *= 2
         # the passage's length is that of its tf-idf vector (words repeated in it counted apart), so that what it
         # has outside the latent space speaks against it
@@ -321,7 +322,7 @@ def candidates(texts: Words, index: Index, cosine: float) -> tuple[np.ndarray, .
         exact = cosine * size[some]
         near = exact.astype(np.float32)
         least[some] = np.where(near < exact, np.nextafter(near, np.float32(np.inf)), near)
-        high = sums >= least[:, None]
+        high = sums >= least[:len(sums), None]
         own = runs[np.isin(runs[:, 1], members)]
         high[own[:, 0], np.searchsorted(members, own[:, 1])] = True
         i, j = np.divmod(np.flatnonzero(high), len(members))
