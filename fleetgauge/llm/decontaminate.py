@@ -18,6 +18,7 @@ _STEP = 8                       # passages begin at every eighth word
 _SPANS = (2, 4, 8)              # and have 16, 32 or 64 words
 _FITTED = 32                    # words of the passages the latent space is fitted on
 _GRAM = 8                       # a run of so many words of an item (all of a shorter one) makes a candidate
+_SENT = 64                      # words whose part of a product is sent as one row
 _PLAIN = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -133,12 +134,17 @@ def randomised_svd(passages: DataFrame, words: int, rank: int, rounds: int = 2,
 
     Each round multiplies the matrix and its transpose with a thin basis, some rows at a time: tasks send their partial
     products of words x (rank + 8) numbers, whose size does not depend on the number of rows. There are at most two tasks.
+    The driver takes the products some words at a time and holds a round's basis no longer than the round.
     """
+    context = passages.sparkSession.sparkContext
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((words, min(words, rank + 8))))[0]
     rows = passages.coalesce(2)
 
     def product(basis: np.ndarray) -> np.ndarray:
+        shared = context.broadcast(basis)
+
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            basis = shared.value
             out = np.zeros(basis.shape)
             for batch in batches:
                 for k in range(0, batch.num_rows, 256):
@@ -147,18 +153,25 @@ def randomised_svd(passages: DataFrame, words: int, rank: int, rounds: int = 2,
                     dense = np.zeros((len(n), words))
                     dense[np.repeat(np.arange(len(n)), n), at.flatten().to_numpy()] = value.flatten().to_numpy()
                     out += dense.T @ (dense @ basis)
-            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["part"])
+            for k in range(0, words, _SENT):
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([out[k:k + _SENT].tobytes()], pa.binary())], names=["first", "part"])
 
-        parts = rows.mapInArrow(partial, "part binary").toLocalIterator()
+        # dealt to partitions of some 2 MB, since a partition's rows reach the driver at once
+        parts = rows.mapInArrow(partial, "first bigint, part binary").repartition(-(-words // (8 * _SENT)))
         total = np.zeros(basis.shape)
-        for r in parts:
-            total += np.frombuffer(r["part"]).reshape(basis.shape)
+        for first, part in parts.toLocalIterator():
+            total[first:first + _SENT] += np.frombuffer(part).reshape(-1, basis.shape[1])
+        shared.destroy()
         return total
 
     for _ in range(rounds):
-        basis = np.linalg.qr(product(basis))[0]
+        image = product(basis)
+        del basis
+        basis = np.linalg.qr(image)[0]
+        del image
     image = product(basis)                                # A'A basis
     values, vectors = np.linalg.eigh(basis.T @ image)
+    del image
     return basis @ vectors[:, np.argsort(-values)[:rank]]
 
 

@@ -131,6 +131,25 @@ def test_randomised_svd_is_close_to_the_exact_one(spark):
     assert np.allclose(np.abs(np.linalg.svd(exact.T @ got)[1]), 1, atol=1e-3)
 
 
+def test_svd_sends_the_driver_some_words_at_a_time(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    dense = rng.standard_normal((150, 4)) @ rng.standard_normal((4, 200))
+    rows = spark.createDataFrame([(list(range(200)), r) for r in dense.tolist()], "at array<int>, value array<double>").repartition(3)
+    sent, frame, real = [], type(rows), type(rows).toLocalIterator
+
+    def watched(self, *args):
+        parts = self.rdd.glom().map(lambda p: [len(r["part"]) for r in p]).collect()
+        sent.extend(parts)
+        return real(self, *args)
+
+    monkeypatch.setattr(frame, "toLocalIterator", watched)
+    got = decontaminate.randomised_svd(rows, 200, 4)
+    exact = np.linalg.svd(dense)[2][:4].T
+    assert np.abs(np.abs(got.T @ exact) - np.eye(4)).max() < 1e-6
+    # 2 tasks, each 64 words of 12 numbers a row, in each of 3 rounds
+    assert max(max(p, default=0) for p in sent) == 64 * 12 * 8 and sum(map(sum, sent)) == 3 * 2 * 200 * 12 * 8
+
+
 def test_common_subsequence():
     rng = np.random.default_rng(2)
     for _ in range(50):
