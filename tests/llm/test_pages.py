@@ -159,3 +159,77 @@ def test_the_suffix_array_brings_repeated_runs_together(spark, monkeypatch):
     for cut in range(1, len(keys)):
         got = [r for b in html_text.repeated_neighbours(iter([batch(keys[:cut]), batch(keys[cut:])]), 3) for r in b.to_pylist()]
         assert [r["uid"] for r in got] == [0, 2, 4]
+
+
+def furnished(tag):
+    """200 pages of two hosts: a line of the site, a repeated or short line and words of a small vocabulary in ``tag``."""
+    rng = np.random.default_rng(5)
+    line, more = "one two three four five six seven eight nine ten", "this line is seen on few of the pages only"
+    return [(i, f"http://h{i % 2}.org/{i}", f"<div>{line if i % 5 else i}</div><{tag}>{' '.join(f'w{k}' for k in rng.integers(0, 3, 40))}</{tag}>"
+             f"<{tag}>{more if i % 60 < 2 else 'short'}</{tag}>" if i % 50 else None) for i in range(200)]
+
+
+def test_pages_with_an_article_go_through_the_suffix_array(spark, monkeypatch):
+    monkeypatch.setattr(html_text, "PORTION", 3000)
+    pages = furnished("article")
+    rows = spark.createDataFrame(pages, "page_id bigint, url string, html string").repartition(3)
+    blocks = {p[0]: html_text.page_blocks(p[2] or "") for p in pages}
+    found = html_text.extract_text(rows)
+    got = {r["page_id"]: r["text"] for r in found.collect()}
+    assert got == {i: "\n".join(b.text for b in blocks[i] if b.main) for i in blocks}
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "rangepartitioning(key" in plan and plan.count("ReusedExchange") == 2      # parsed once
+    parsed = html_text.parsed_portions(rows, 256)
+    assert parsed.count() > 3
+    marks = {}
+    for r in parsed.join(html_text.repeated_suffixes(parsed, 40_000, 3, 8), "portion", "left").collect():
+        part = pa.ipc.open_stream(bytes(r["pages"])).read_all()
+        suffixes = html_text.suffixes_of(part["host"].to_pylist(), part["texts"].combine_chunks(), 8)
+        marks |= dict(zip(part["page_id"].to_pylist(), html_text.covered_tokens(suffixes, np.array(r["runs"] or [], np.int64))))
+    for host in range(2):
+        mine = range(host, 200, 2)
+        for i, want in zip(mine, html_text.repeated_runs([[w for b in blocks[i] for w in b.text.split()] for i in mine], 8, 3)):
+            assert marks[i].tolist() == want.tolist()
+    assert sum(m.any() for m in marks.values()) > 150
+
+
+@pytest.mark.parametrize("least, length", [(1, 1), (2, 2), (3, 8), (40, 8), (3, 11)])
+def test_portions_give_what_whole_hosts_give(spark, monkeypatch, least, length):
+    monkeypatch.setattr(html_text, "PORTION", 3000)
+    pages = furnished("div")
+    rows = spark.createDataFrame([*pages, *pages[1:3]], "page_id bigint, url string, html string").repartition(3)
+    want = []
+    for host in range(2):
+        mine = [p for p in [*pages, *pages[1:3]] if p[0] % 2 == host]
+        parsed = [html_text.page_blocks(p[2] or "") for p in mine]
+        streams = [[w for b in blocks for w in b.text.split()] for blocks in parsed]
+        runs = [{tuple(s[j:j + length]) for j in range(len(s) - length + 1)} for s in streams]
+        for p, s, blocks in zip(mine, streams, parsed):
+            marked = np.zeros(len(s), bool)
+            for j in range(len(s) - length + 1):
+                if sum(tuple(s[j:j + length]) in r for r in runs) >= least:
+                    marked[j:j + length] = True
+            want.append((p[0], html_text.page_text(blocks, marked)))
+    assert sorted((r["page_id"], r["text"]) for r in html_text.extract_text(rows, 16, least, length).collect()) == sorted(want)
+
+
+def test_pages_without_words(spark):
+    rows = spark.createDataFrame([(1, "http://h/", None), (2, None, ""), (None, "http://h/", "<p> </p>"), (3, "x", "<article><br></article>")], "page_id bigint, url string, html string")
+    assert {r["page_id"]: (r["text"], r["n_chars"]) for r in html_text.extract_text(rows).collect()} == dict.fromkeys([1, 2, None, 3], ("", 0))
+
+
+def test_packed_numbers_are_read_back():
+    rng = np.random.default_rng(2)
+    for bits in (1, 5, 8, 20, 44):
+        for n in (1, 2, 7, 8, 3000):
+            numbers = np.sort(rng.integers(0, 1 << bits, n, dtype=np.uint64))
+            assert html_text.unpack(html_text.pack(numbers, bits), bits).tolist() == numbers.tolist()
+
+
+def test_marks_of_enough_pages_are_found():
+    sent = [(0, 1, [3, 3, 9]), (0, 2, [9]), (0, 3, [3, 5]), (4, 2, [3, 3]), (4, 3, [7, 7, 7])]
+    rows = [(n, portion, html_text.pack(np.array(marks, np.uint64), 8)) for n, portion, marks in sent]
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*part)], names=["range", "portion", "marks"])
+    for cut in range(1, len(rows)):
+        got = [r for b in html_text.shared_marks(iter([batch(rows[:cut]), batch(rows[cut:])]), 8, 3) for r in b.to_pylist()]
+        assert [(r["range"], r["portion"], html_text.unpack(r["marks"], 8).tolist()) for r in got] == [(0, 1, [3]), (0, 3, [3]), (4, 3, [7])]
